@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +19,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = 2**63 - 1
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors' Python workers, once an application, as they may not see the driver's folders."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _SHIPPED:
+        return
+    path = Path(tempfile.mkdtemp(prefix="ledgershift-")) / "ledgershift_modules.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for name in (root / "__init__.py", *sorted((root / "llm").glob("*.py"))):
+            z.write(name, name.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; only Spark opens the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

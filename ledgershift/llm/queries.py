@@ -5,20 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, line_rules
 from .common import table
+from .importance import resample
+from .media import picture_features, text_pictures
+from .mixing import mix_plan
 from .ngram_join import near_duplicates
+from .packing import pack_documents
+from .token_files import token_digests
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), text.alias("prompt"), text.alias("completion"))
+    records = chat.conversation_records(table(spark, sf_dir, "conversations")).unionByName(own, allowMissingColumns=True)
+    return chat.read_back(chat.format_chats(chat.canonical_turns(records)))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picture_features(text_pictures(table(spark, sf_dir, "documents"))).drop("phash")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_ratio", "sampling_key", "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op8_mixing, op9_quality_classifier)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": line_rules.ORACLE, "op5_chat_formatting": chat.ORACLE}
