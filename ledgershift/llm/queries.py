@@ -16,6 +16,7 @@ from .media import picture_features, text_pictures
 from .mixing import mix_plan
 from .ngram_join import near_duplicates
 from .packing import pack_documents
+from .substring_dedup import remove_repeats
 from .token_files import token_digests
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,13 +58,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_ratio", "sampling_key", "kept")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op8_mixing, op9_quality_classifier)
+    for f in (op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op8_mixing, op9_quality_classifier, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": line_rules.ORACLE, "op5_chat_formatting": chat.ORACLE}
