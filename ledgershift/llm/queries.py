@@ -18,6 +18,7 @@ from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
 from .token_files import token_digests
+from .toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,6 +50,10 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picture_features(text_pictures(table(spark, sf_dir, "documents"))).drop("phash")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op8_mixing, op9_quality_classifier, op10_substring_dedup)
+    for f in (pipeline, op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op7_toxicity, op8_mixing, op9_quality_classifier, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": line_rules.ORACLE, "op5_chat_formatting": chat.ORACLE}
