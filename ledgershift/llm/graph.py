@@ -1,4 +1,4 @@
-"""Connected components by alternating large and small stars; no edge, label or component reaches the driver."""
+"""Connected components by hooking and pointer jumping; no edge, label or component reaches the driver."""
 
 from __future__ import annotations
 
@@ -8,32 +8,40 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _nearest(edges: DataFrame, strict_side: str) -> DataFrame:
-    """For each vertex u of directed edges(u, w) its smallest neighbour or itself."""
-    low = edges.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return materialize(low, strict_side)
+def roots(parents: DataFrame, most: int = 40) -> DataFrame:
+    """(v, c) of a forest parents(v, p), p < v: c is the root above v. Two jumps a job; a path of n steps takes log3(n) jobs.
+
+    parents is a written table, so adaptive execution can split the children of one root.
+    """
+    now = materialize(parents, "cc-parents")
+    for _ in range(most):
+        one, two = now.select(F.col("v").alias("p"), F.col("p").alias("p1")), now.select(F.col("v").alias("p1"), F.col("p").alias("p2"))
+        up = now.join(one, "p", "left").join(two, "p1", "left")
+        now = materialize(up.select("v", F.coalesce("p2", "p1", "p").alias("p"), F.col("p2").isNotNull().alias("more")), "cc-parents")
+        if now.where("more").isEmpty():
+            return now.select("v", F.col("p").alias("c"))
+        now = now.drop("more")
+    raise RuntimeError("components did not settle")
 
 
 def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(v, c) for each vertex of edges(a, b): c is the smallest vertex of its component. Self loops and repeats are allowed.
+    """(v, c) of edges(a, b): c is the smallest vertex of v's component; vertices that are their component's smallest are left out.
 
-    A round keeps components and at most the number of edges; the number of rounds is logarithmic in practice.
-    A hub's edges are summed before the shuffle, and the join that follows is between written tables, so that
-    adaptive execution can split a hub.
+    A round hooks each vertex to its smallest smaller neighbour, finds the roots, and keeps the edges between different
+    roots. Self loops and repeats are allowed; without edges the result is empty.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).distinct(), "cc-edges")
+    label = None
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w"))
     for _ in range(most):
-        both = now.union(now.select(F.col("w").alias("u"), F.col("u").alias("w")))
-        low = _nearest(both, "cc-large")
-        large = materialize(both.where("w > u").join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u <> w").distinct(), "cc-edges")
-        low = _nearest(large, "cc-small")
-        moved = large.join(low, "u")
-        small = moved.select(F.col("w").alias("u"), F.col("m").alias("w")).union(moved.select("u", F.col("m").alias("w")))
-        small = materialize(small.where("u <> w").distinct(), "cc-edges")
-        done = small.exceptAll(now).isEmpty() and now.exceptAll(small).isEmpty()
-        now = small
-        if done:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("v"), F.col("w").alias("c")).union(now.select(F.col("w").alias("v"), F.col("w").alias("c")).distinct())
+        found = roots(edges.groupBy("v").agg(F.min("w").alias("p")))
+        if label is None:
+            label = found
+        else:
+            moved = label.join(found.select(F.col("v").alias("c"), F.col("c").alias("d")), "c", "left")
+            label = moved.select("v", F.coalesce("d", "c").alias("c")).union(found)
+        left = edges.join(found, "v", "left").select("w", F.coalesce("c", "v").alias("a"))
+        left = left.join(found.select(F.col("v").alias("w"), "c"), "w", "left").select("a", F.coalesce("c", "w").alias("b"))
+        edges = materialize(left.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).distinct(), "cc-edges")
+        if edges.isEmpty():
+            return materialize(label, "components")
+    raise RuntimeError("components did not settle")

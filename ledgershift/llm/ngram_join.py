@@ -9,8 +9,10 @@ Candidates are verified on all shingles that have two documents or more.
 
 Scale: frequencies come from one exchange of packed 32-bit hashes in blocks (a block sends a shingle once, with its count,
 so a shingle of a third of all documents costs a block one entry) and its answer; documents with over a quarter of unique
-shingles leave here, which needs no index. Equal sets collapse to one class before the index. Within a posting list
-only a star is verified at first; pairs within one component need no check, pairs across components get one.
+shingles leave here, which needs no index. Equal sets collapse to one class before the index.
+A posting list is known by its hub, its smallest class; lists with one hub are one group, so that a pair that shares
+hundreds of signatures is looked at once. A star to one hub is verified first. Then only members outside their hub's
+component ask, and are compared with the whole group by an inverted index, in blocks of askers and asked of bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, bucket_count, materialize, pack, unpack
-from .graph import components
+from .graph import components, roots
 from .kernels import blocks, grams, hash_words, mix, text_buffer
 
 SHINGLE = 5
@@ -34,6 +36,9 @@ RARE = 64
 #: Frequent prefix shingles a class, about.
 CLASS_SIZE = 16
 
+#: Members of a posting group, asking or asked, in one task at most (about).
+BLOCK = 1024
+
 _ROWS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.binary()), ("sigs", pa.list_(pa.int64()))])
 
@@ -202,15 +207,41 @@ def _assemble(rows: pa.Table, rare: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(tokens, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], schema=_SETS)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    def full(data: bytes) -> np.ndarray:
-        low, high = unpack(data)
-        return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+def _tokens(data: bytes) -> np.ndarray:
+    low, high = unpack(data)
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
+def _across(rows: pa.Table, percent: int) -> pa.Table:
+    """Links between those that ask and those asked in other components, one for each component that an asker meets."""
+    asks = rows.column("asks").to_numpy()
+    v, c, n = (rows.column(x).to_numpy() for x in ("v", "c", "n"))
+    tokens = [_tokens(x) for x in rows.column("tokens").to_pylist()]
+    asked = np.flatnonzero(~asks)
+    a, b = [], []
+    if len(asked):
+        index = np.concatenate([tokens[i] for i in asked.tolist()])
+        owner = np.repeat(np.arange(len(asked)), [len(tokens[i]) for i in asked.tolist()])
+        order = np.argsort(index, kind="stable")
+        index, owner = index[order], owner[order]
+        for q in np.flatnonzero(asks).tolist():
+            left, right = np.searchsorted(index, tokens[q], "left"), np.searchsorted(index, tokens[q], "right")
+            size = right - left
+            hits = np.repeat(left - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            common = np.bincount(owner[hits], minlength=len(asked))
+            good = asked[(100 * common >= percent * (n[q] + n[asked] - common)) & (c[asked] != c[q])]
+            _, one = np.unique(c[good], return_index=True)
+            a += [int(v[q])] * len(one)
+            b += v[good[one]].tolist()
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
+
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
         for i, (na, nb, ta, tb) in enumerate(zip(*(b.column(c).to_pylist() for c in ("na", "nb", "ta", "tb")), strict=True)):
-            both = np.concatenate((full(ta), full(tb)))
+            both = np.concatenate((_tokens(ta), _tokens(tb)))
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= percent * (na + nb - common):
@@ -227,7 +258,7 @@ def shingle_sets(docs: DataFrame, rare: int = RARE, buckets: int | None = None)
     return told.groupBy("block").applyInArrow(lambda rows: _assemble(rows, rare), "doc_id long, n long, s1 long, s2 long, tokens binary, sigs array<long>")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, buckets: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per row of docs(doc_id long, text string, ...): doc_id, n_shingles, component_id, n_links.
 
     component_id: the smallest doc_id that links reach; n_links: verified links of its class of equal sets that were
@@ -239,9 +270,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, bucket
         raise ValueError("prefixes are made for a similarity of 75 % or more")
     sets = materialize(shingle_sets(docs, rare, buckets), "shingle-sets")
     reps = materialize(sets.where("sigs is not null").select(F.col("s1").alias("v"), "s2", "n", "tokens", "sigs").dropDuplicates(["v", "s2"]), "set-classes")
-    sig = reps.select("v", "n", F.explode("sigs").alias("sig"))
-    shared = sig.groupBy("sig").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high")
-    post = materialize(sig.join(materialize(shared, "postings-shared"), "sig"), "postings")
+    sig = reps.select("v", F.explode("sigs").alias("sig"))
+    shared = sig.groupBy("sig").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub < last").drop("last")
+    member = materialize(sig.join(materialize(shared, "postings"), "sig").select("hub", "v").distinct(), "posting-members")
     sized = reps.select("v", "n", "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -251,28 +282,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, bucket
         full = full.where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent)
         return full.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(partial(_verify, percent=percent), "a long, b long")
 
-    links = materialize(verified(post.where("v <> low").groupBy("v").agg(F.min("low").alias("a")).select("a", F.col("v").alias("b"))), "links")
-    tried = links.limit(0)
-    for turn in range(3):
+    star = member.where("v <> hub").groupBy("v").agg(F.min("hub").alias("a")).select("a", F.col("v").alias("b"))
+    links = materialize(verified(star), "links")
+    label = roots(links.select(F.col("b").alias("v"), F.col("a").alias("p")))
+    at = member.join(label, "v", "left").select("hub", "v", F.coalesce("c", "v").alias("c"))
+    group = at.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("v") == F.col("hub"), F.col("c"))).alias("hub_c"))
+    group = group.where("c0 < c1").select("hub", "hub_c", F.ceil(F.col("k") / block).cast("int").alias("parts"))
+    at = at.join(materialize(group, "posting-groups"), "hub").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    asks = at.where("c <> hub_c").select("hub", "v", "c", F.lit(True).alias("asks"), F.col("part").alias("i"), F.explode(every).alias("j"))
+    asked = at.select("hub", "v", "c", F.lit(False).alias("asks"), F.explode(every).alias("i"), F.col("part").alias("j"))
+    full = asks.union(asked).join(sized, "v")
+    more = materialize(full.groupBy("hub", "i", "j").applyInArrow(lambda rows: _across(rows, percent), "a long, b long"), "links")
+    if not more.isEmpty():
+        links = links.union(more)
         label = components(links)
-        at = post.select("sig", "v", "n").join(label, "v", "left").select("sig", "v", "n", F.coalesce("c", "v").alias("c"))
-        mixed = at.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("v", "c").alias("v0"), F.max_by("v", "c").alias("v1")).where("c0 < c1")
-        mixed = materialize(mixed, "postings-mixed")
-        at = materialize(at.join(mixed, "sig"), "postings-open")
-        if at.isEmpty():
-            break
-        if turn < 2:
-            hub, hub_c = ("v0", "c0") if turn == 0 else ("v1", "c1")
-            pairs = at.where(F.col("c") != F.col(hub_c)).select(F.least("v", hub).alias("a"), F.greatest("v", hub).alias("b")).distinct()
-        else:
-            other = at.select("sig", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = at.select("sig", F.col("v").alias("a"), "n", "c").join(other, "sig").where("a < b and c <> cb")
-            pairs = pairs.where(F.col("n") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("n") * percent).select("a", "b").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if turn < 2:
-            tried = pairs.union(tried)
-        links = links.union(materialize(verified(pairs), "links"))
-    label = components(links)
     of = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("low")).join(label.withColumnRenamed("v", "s1"), "s1", "left")
     of = of.select("s1", "s2", "low", F.coalesce("c", "s1").alias("c"))
     degree = links.select(F.explode(F.array("a", "b")).alias("s1")).groupBy("s1").agg(F.count("*").alias("n_links"))
