@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
 from .kernels import Words, blocks, grams, hash_words, mix, text_buffer
 
 BUCKETS = 1 << 16
@@ -105,12 +105,14 @@ def labelled_sample(labels: DataFrame, label: str, most: int = LABELLED, where:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column log_ratio; no shuffle."""
+    ship(docs.sparkSession)
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return docs.mapInArrow(partial(_score, ratio=model.ratio), ", ".join([*names, "log_ratio double"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     """Models of docs(doc_id, text) and of those with labels(doc_id, quality) = 1. Without labels nothing is rejected."""
+    ship(docs.sparkSession)
     sample = materialize(labelled_sample(labels, "quality", most), "quality-sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")
     parts = rows.select("text", "label").mapInArrow(_count, "range int, counts binary")

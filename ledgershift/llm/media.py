@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
@@ -175,10 +177,12 @@ def text_pictures(docs: DataFrame, level: int = 6) -> DataFrame:
     Null or empty text: one row of zero samples. Repeated rows and equal texts have equal pictures. A null doc_id stays
     null. Other columns are not read. Texts of any length: a picture has as many rows as it needs.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(partial(_to_media, level=level), _MEDIA)
 
 
 def picture_features(media: DataFrame) -> DataFrame:
     """Decodes media(doc_id, n_bytes, media) and returns sizes, digests and the hash, as hex (`feature`) and bytes (`phash`)."""
+    ship(media.sparkSession)
     return media.mapInArrow(_features, _FEATURES)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bucket_count, materialize, pack, unpack
+from .common import NULL_ID, bucket_count, materialize, pack, ship, unpack
 from .graph import components, roots
 from .kernels import blocks, grams, hash_words, mix, text_buffer
 
@@ -251,6 +251,7 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def shingle_sets(docs: DataFrame, rare: int = RARE, buckets: int | None = None) -> DataFrame:
     """(doc_id, n, s1, s2, tokens, sigs) for each row of docs(doc_id, text); tokens and sigs only where a partner is possible."""
+    ship(docs.sparkSession)
     bits = (buckets or bucket_count(docs)).bit_length() - 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = rows.mapInArrow(partial(_requests, bits=bits), "key long, block long, data binary")

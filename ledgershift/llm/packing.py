@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .kernels import blocks
 from .token_ids import encode_column
 
@@ -125,5 +126,6 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     sequences and a rest. A null doc_id stays null. Other columns are not read. An empty table gives no piece.
     sequence_id: the split's number, then a number in it.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(partial(_pack, path=path, end_id=end_id, capacity=capacity, group_tokens=group_tokens), PIECES)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bucket_count, materialize, pack, scratch_dir, unpack
+from .common import NULL_ID, bucket_count, materialize, pack, scratch_dir, ship, unpack
 from .kernels import Words, blocks, grams, hash_words, mix, text_buffer
 
 WINDOW = 50
@@ -261,7 +261,7 @@ def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame |
     Null, empty and short texts (under 50 words) lose nothing. Repeated rows with one doc_id are one document, and lose
     nothing to each other. Null doc_ids come after all and do not precede each other. Other columns pass or are not read.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     buckets = buckets or bucket_count(docs)
     bits = buckets.bit_length() - 1
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

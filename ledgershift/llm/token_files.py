@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_splits, scratch_dir
+from .common import n_splits, scratch_dir, ship
 from .token_ids import encode_column
 
 #: Bytes of a row group and of a page; rows a page at most.
@@ -42,6 +42,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 1, parts: int | None = None) -> None:
     """Write docs(doc_id, text) as token files in folder `out`, in ascending doc_id (null first; ties by text)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(parts or 2 * n_splits(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     ids = dealt.mapInArrow(partial(_encode, path=path, end_id=end_id), "doc_id long, part int, part_start long, n_tokens long, tokens array<int>")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, ship
 from .importance import labelled_sample
 
 #: Labelled rows used at most, voters at most, and beginnings of words tried as patterns.
@@ -137,6 +137,7 @@ def training(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     """Learn from labels(doc_id, toxic) of training rows, at most `most` (the smallest hashes). Without labels of both kinds no voter is found."""
+    ship(docs.sparkSession)
     sample = materialize(labelled_sample(labels, "toxic", most, training(F.col("doc_id"))), "toxic-sample")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = materialize(rows.select("label", "text"), "toxic-training")
