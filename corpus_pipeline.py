@@ -28,11 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, that of the smallest doc_id; documents without a word stay.
 
-    Repeated rows of a doc_id go but for one. A row without a doc_id stays unless a document with one is in its component.
+    Repeated rows of a doc_id go but for one. Rows without a doc_id stay.
     """
     groups = near_duplicates(docs).where(~(F.col("doc_id").eqNullSafe(F.col("component_id")))).select("doc_id").distinct()
     kept = docs.join(materialize(groups, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]) if _repeats(kept) else kept
+    if not _repeats(kept):
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def _repeats(docs: DataFrame) -> bool:
