@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import kpi  # noqa: F401
+from . import docs, kpi  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

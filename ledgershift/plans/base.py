@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -29,4 +31,6 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Quer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
