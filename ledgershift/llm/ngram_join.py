@@ -139,7 +139,7 @@ def _answers(rows: pa.Table) -> pa.Table:
             own = np.cumsum(step, dtype=np.int64)[shared]
             keep.append(i)
             data.append(pack(low[shared], own.astype("<u2"), d[shared], low_many, m))
-    return pa.Table.from_arrays([rows.column("key").take(keep), rows.column("block").take(keep), pa.array(data, pa.binary())], schema=_ROWS)
+    return pa.Table.from_arrays([rows.column("key").take(pa.array(keep, pa.int64())), rows.column("block").take(pa.array(keep, pa.int64())), pa.array(data, pa.binary())], schema=_ROWS)
 
 
 def _signatures(n: int, tok: np.ndarray, df: np.ndarray, rare: int) -> np.ndarray:
@@ -213,12 +213,13 @@ def _tokens(data: bytes) -> np.ndarray:
 
 
 def _across(rows: pa.Table, percent: int) -> pa.Table:
-    """Links between those that ask and those asked in other components, one for each component that an asker meets."""
+    """Links between those that ask and those asked in other components; none between components that links here have joined."""
     asks = rows.column("asks").to_numpy()
     v, c, n = (rows.column(x).to_numpy() for x in ("v", "c", "n"))
     tokens = [_tokens(x) for x in rows.column("tokens").to_pylist()]
     asked = np.flatnonzero(~asks)
     a, b = [], []
+    _, part = np.unique(c, return_inverse=True)
     if len(asked):
         index = np.concatenate([tokens[i] for i in asked.tolist()])
         owner = np.repeat(np.arange(len(asked)), [len(tokens[i]) for i in asked.tolist()])
@@ -229,10 +230,11 @@ def _across(rows: pa.Table, percent: int) -> pa.Table:
             size = right - left
             hits = np.repeat(left - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             common = np.bincount(owner[hits], minlength=len(asked))
-            good = asked[(100 * common >= percent * (n[q] + n[asked] - common)) & (c[asked] != c[q])]
-            _, one = np.unique(c[good], return_index=True)
+            good = asked[(100 * common >= percent * (n[q] + n[asked] - common)) & (part[asked] != part[q])]
+            other, one = np.unique(part[good], return_index=True)
             a += [int(v[q])] * len(one)
             b += v[good[one]].tolist()
+            part[np.isin(part, other)] = part[q]
     a, b = np.array(a, np.int64), np.array(b, np.int64)
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
