@@ -91,9 +91,9 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError("no PNG signature")
     at, idat, size, ended = 8, [], None, False
     while at < len(data) and not ended:
-        (length,) = struct.unpack_from(">I", data, at)
+        length = int.from_bytes(data[at : at + 4])
         kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + length]
-        if len(body) != length or struct.unpack_from(">I", data, at + 8 + length)[0] != zlib.crc32(body, zlib.crc32(kind)):
+        if len(data) < at + 12 + length or struct.unpack_from(">I", data, at + 8 + length)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of chunk {kind!r}")
         if kind == b"IHDR":
             size = struct.unpack(">IIBBBBB", body)
