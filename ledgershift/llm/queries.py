@@ -15,6 +15,7 @@ from .importance import resample
 from .media import picture_features, text_pictures
 from .mixing import mix_plan
 from .ngram_join import near_duplicates
+from .oracles import ORACLE_SQL  # noqa: F401
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
 from .token_files import token_digests
@@ -28,7 +29,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (pipeline, op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op7_toxicity, op8_mixing, op9_quality_classifier, op10_substring_dedup)
 }
-
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": line_rules.ORACLE, "op5_chat_formatting": chat.ORACLE}
