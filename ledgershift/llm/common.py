@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,12 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_SCRATCH: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one of our own where it is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one for this application."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='ledgershift-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_SCRATCH:
+            _OWN_SCRATCH[app] = f"file://{tempfile.mkdtemp(prefix='ledgershift-')}"
+            atexit.register(shutil.rmtree, _OWN_SCRATCH[app].removeprefix("file://"), ignore_errors=True)
+        shared = _OWN_SCRATCH[app]
     return shared.rstrip("/")
 
 
