@@ -12,6 +12,7 @@ import xxhash
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15
 _LONG_WORD = 256
+_PART = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,11 +78,20 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Wo
     starts_text[offsets] = True
     begin = np.flatnonzero(inside[1:] & (edge | starts_text))
     stop = np.flatnonzero(inside[:-1] & (edge | starts_text))
-    power, inverse = _pow(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _TABLE)[data] * power[:n], out=total[1:])
+    table = _LOWER if lower else _TABLE
+    h = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):  # some words at a time: eight bytes a character are held for these only
+        at = begin[i]
+        j = max(i + 1, int(np.searchsorted(stop, at + _PART, "right")))
+        span = int(stop[j - 1] - at)
+        power, inverse = _pow(span + 1)
+        total = np.zeros(span + 1, np.uint64)
+        np.cumsum(table[data[at : at + span]] * power[:span], out=total[1:])
+        h[i:j] = (total[stop[i:j] - at] - total[begin[i:j] - at]) * inverse[begin[i:j] - at]
+        i = j
     size = (stop - begin).astype(np.uint64)
-    h = mix((total[stop] - total[begin]) * inverse[begin] + size * _M1)
+    h = mix(h + size * _M1)
     for i in np.flatnonzero(size > _LONG_WORD):
         word = data[begin[i] : stop[i]].tobytes()
         h[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
