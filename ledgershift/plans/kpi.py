@@ -250,7 +250,21 @@ def series_conflict_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("period_start",),
 )
 def unit_consistency_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 50 < 3")
+    return _unit_errors(table(spark, sf_dir, "events").where("event_id % 50 < 3"))
+
+
+@query(
+    """WITH v AS (SELECT event_type AS metric, (user_id % 7)::VARCHAR AS scope, date_trunc('month', ts)::DATE AS s, round(value, 0) AS value, CASE WHEN user_id % 5 = 0 THEN 'USD' WHEN user_id % 5 = 1 THEN '' ELSE 'usd ' END AS unit FROM events),
+    u AS (SELECT metric, scope, count(DISTINCT nullif(lower(trim(unit)), '')) AS units FROM v GROUP BY ALL),
+    g AS (SELECT metric, scope, s, min(value) AS lo, max(value) AS hi FROM v GROUP BY ALL)
+    SELECT metric, scope, s AS period_start, CASE WHEN units > 1 THEN 'mixed_units' ELSE 'conflicting_values' END AS error FROM g JOIN u USING (metric, scope) WHERE units > 1 OR NOT abs(lo - hi) <= 1e-9 * greatest(abs(lo), abs(hi))""",
+    ("period_start",),
+)
+def unit_consistency_errors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unit_errors(table(spark, sf_dir, "events"))
+
+
+def _unit_errors(rows: DataFrame) -> DataFrame:
     unit = F.when(F.col("user_id") % 5 == 0, "USD").when(F.col("user_id") % 5 == 1, "").otherwise("usd ")
     start = F.trunc("ts", "month").cast("date")
     values = rows.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("metric"), (F.col("user_id") % 7).cast("string").alias("scope"), start.alias("start"), F.last_day(start).alias("end"), F.round("value", 0).alias("value"), unit.alias("unit"))

@@ -51,3 +51,10 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 5 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_unit_errors_of_all_events(spark, tmp_path):
+    """Conflicts of events that a sample by event_id would leave out are reported."""
+    events = "select * from values (7, 0, 'view', timestamp '2001-01-02', 1.0), (8, 0, 'view', timestamp '2001-01-03', 2.0), (50, 1, 'view', timestamp '2001-01-04', 5.0) as t(event_id, user_id, event_type, ts, value)"
+    spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in plans.QUERIES["unit_consistency_errors_all"](spark, str(tmp_path)).collect()] == [("view", "0", "2001-01-01", "conflicting_values")]
