@@ -67,14 +67,41 @@ def validate_claims(claims: DataFrame, sources: DataFrame) -> DataFrame:
     return by.select("claim_id", reason.alias("reason"))
 
 
+def _signed(classes: DataFrame, least: float) -> DataFrame:
+    """(kind, c, n, m, sig): of each set size m that a partner can have, the single or the pairs of the rarest sources of which both share one."""
+    n, m = F.col("n"), F.col("m")
+    common = F.ceil(F.lit(least) * (n + m) / (1 + least) - 1e-9).cast("int")
+    sizes = classes.withColumn("m", F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))))
+    sizes = sizes.withColumn("common", F.greatest(common, F.lit(1))).where((F.col("common") <= F.least("n", "m")) & ~((n == m) & (F.col("common") == n)))
+    prefix = sizes.withColumn("p", F.slice("sources", F.lit(1), n - F.col("common") + F.least("common", F.lit(2))))
+    pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.array(x, y))))
+    sig = F.when(F.col("common") == 1, F.transform("p", lambda x: F.array(x))).otherwise(pairs)
+    return prefix.select("kind", "c", "n", "m", F.explode(sig).alias("sig"))
+
+
 def near_duplicate_findings(findings: DataFrame, least: float = 0.8) -> DataFrame:
-    """(finding_id, earlier_id) of one kind whose source sets have Jaccard >= least; joined on shared sources and counted."""
-    item = findings.select("finding_id", "kind", F.explode("sources").alias("source"))
-    size = findings.select("finding_id", F.size("sources").alias("n"))
-    pair = item.alias("a").join(item.alias("b"), ["kind", "source"]).where("a.finding_id > b.finding_id")
-    pair = pair.groupBy(F.col("a.finding_id").alias("finding_id"), F.col("b.finding_id").alias("earlier_id")).agg(F.count("*").alias("common"))
-    pair = pair.join(size, "finding_id").join(size.select(F.col("finding_id").alias("earlier_id"), F.col("n").alias("m")), "earlier_id")
-    return pair.where(F.col("common") >= F.lit(least) * (F.col("n") + F.col("m") - F.col("common"))).select("finding_id", "earlier_id")
+    """(finding_id, earlier_id) of one kind whose source sets have Jaccard >= least.
+
+    Equal sets are one class. Two classes of sizes n and m need `common` shared sources, so they share one, or a pair, of
+    their n - common + 1 (+ 2) rarest ones: joined on those, verified on whole sets, then spread to the classes' findings.
+    """
+    rows = findings.where(F.col("kind").isNotNull() & (F.size("sources") > 0)).select("finding_id", "kind", F.array_sort(F.array_distinct("sources")).alias("key"))
+    classes = rows.groupBy("kind", "key").agg(F.min("finding_id").alias("c"))
+    item = classes.select("kind", "c", F.explode("key").alias("source"))
+    item = item.join(item.groupBy("kind", "source").agg(F.count("*").alias("often")), ["kind", "source"])
+    ordered = item.groupBy("kind", "c").agg(F.array_sort(F.collect_list(F.struct("often", "source"))).getField("source").alias("sources"))
+    sig = _signed(ordered.withColumn("n", F.size("sources")), least)
+    small, large = sig.where("n <= m").alias("a"), sig.where("n >= m").alias("b")
+    same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.n") == F.col("b.m")) & (F.col("a.m") == F.col("b.n")) & (F.col("a.sig") == F.col("b.sig"))
+    pair = small.join(large, same).where("a.n < b.n or a.c < b.c").select("a.kind", F.col("a.c").alias("x"), F.col("b.c").alias("y")).distinct()
+    sets = ordered.select("kind", F.col("c").alias("x"), F.col("sources").alias("sx"))
+    pair = pair.join(sets, ["kind", "x"]).join(sets.select("kind", F.col("x").alias("y"), F.col("sx").alias("sy")), ["kind", "y"])
+    common = F.size(F.array_intersect("sx", "sy"))
+    pair = pair.where(common >= F.lit(least) * (F.size("sx") + F.size("sy") - common)).select("kind", "x", "y")
+    pair = pair.union(classes.select("kind", F.col("c").alias("x"), F.col("c").alias("y")))
+    member = rows.join(classes, ["kind", "key"]).select("kind", F.col("c").alias("x"), F.col("finding_id").alias("i"))
+    out = pair.join(member, ["kind", "x"]).join(member.select("kind", F.col("x").alias("y"), F.col("i").alias("j")), ["kind", "y"])
+    return out.where("x <> y or i > j").select(F.greatest("i", "j").alias("finding_id"), F.least("i", "j").alias("earlier_id"))
 
 
 def _pack(groups: Iterator[pd.DataFrame], budget: int, most: int) -> Iterator[pd.DataFrame]:

@@ -143,9 +143,17 @@ def claim_validation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.finding_id, b.finding_id AS earlier_id FROM f a JOIN f b ON a.kind = b.kind AND a.finding_id > b.finding_id AND len(list_intersect(a.s, b.s)) > 0 WHERE len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"""
 )
 def finding_dedupe_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey < 2000")
+    return E.near_duplicate_findings(_order_findings(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey < 2000")))
+
+
+@query()
+def finding_dedupe_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.near_duplicate_findings(_order_findings(spark, sf_dir, table(spark, sf_dir, "orders")))
+
+
+def _order_findings(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     rows = orders.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderkey").alias("finding_id"), F.col("o_orderpriority").alias("kind"))
-    return E.near_duplicate_findings(rows.agg(F.collect_set(F.col("l_suppkey") % 25).alias("sources")))
+    return rows.agg(F.collect_set(F.col("l_suppkey") % 25).alias("sources"))
 
 
 @query("SELECT lang AS period, count(*) AS documents, sum(n_chars)::BIGINT AS chars, count(DISTINCT source) AS sources, count(*) FILTER (n_chars < 100) AS short_documents FROM documents GROUP BY lang")

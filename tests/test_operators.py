@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import difflib
+import random
 
 import pytest
 from ledgershift.functions import numbers as N
@@ -162,3 +163,22 @@ def test_batches_keep_sources_whole(spark):
     rows = spark.createDataFrame([("k", i, s) for i, s in enumerate([40, 30, 50, 200, 20])], "k string, at int, n int")
     got = claims.pack_batches(rows, "k", "at", "n", budget=100, most=2).orderBy("ord").collect()
     assert [r.batch for r in got] == [0, 0, 1, -1, 1]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 1.0])
+def test_near_duplicate_findings_by_brute_force(spark, least):
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice("ab"), rnd.sample(range(9), rnd.randint(0, 7))) for i in range(160)]
+    rows += [(200 + i, "c", [x for x in range(25) if x not in (i, 2 * i)]) for i in range(12)] + [(300, None, [1]), (301, None, [1])]
+    got = claims.near_duplicate_findings(spark.createDataFrame(rows, "finding_id long, kind string, sources array<long>"), least).collect()
+    want = [(i, j) for i, k, s in rows for j, l, t in rows if i > j and k == l and k and set(s) & set(t) and len(set(s) & set(t)) >= least * len(set(s) | set(t))]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_near_duplicate_findings_of_later_orders(spark, tmp_path):
+    """Orders beyond the first 2000 are compared too."""
+    spark.createDataFrame([(7, "1-URGENT"), (5000, "1-URGENT"), (6000, "2-HIGH")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, 3), (5000, 28), (6000, 3)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    from ledgershift import plans
+
+    assert [tuple(r) for r in plans.QUERIES["finding_dedupe_jaccard_all"](spark, str(tmp_path)).collect()] == [(5000, 7)]
