@@ -30,7 +30,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Repeated rows of a doc_id go but for one. Rows without a doc_id stay.
     """
-    groups = near_duplicates(docs).where(~(F.col("doc_id").eqNullSafe(F.col("component_id")))).select("doc_id").distinct()
+    groups = near_duplicates(docs, counts=False).where(~(F.col("doc_id").eqNullSafe(F.col("component_id")))).select("doc_id").distinct()
     kept = docs.join(materialize(groups, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
     if not _repeats(kept):
         return kept

@@ -13,6 +13,8 @@ shingles leave here, which needs no index. Equal sets collapse to one class befo
 A posting list is known by its hub, its smallest class; lists with one hub are one group, so that a pair that shares
 hundreds of signatures is looked at once. A star to one hub is verified first. Then only members outside their hub's
 component ask, and are compared with the whole group by an inverted index, in blocks of askers and asked of bounded size.
+Where links are counted, a group compares all its pairs instead, save those that meet under a smaller hub; it gives one
+count a class, and a spanning set of its links for the components.
 """
 
 from __future__ import annotations
@@ -239,6 +241,57 @@ def _across(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
+def _met(mine: np.ndarray, index: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many of `mine` each of n owners has in the sorted index."""
+    left, right = np.searchsorted(index, mine, "left"), np.searchsorted(index, mine, "right")
+    size = right - left
+    hits = np.repeat(left - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    return np.bincount(owner[hits], minlength=n)
+
+
+def _inverted(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    index, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(index, kind="stable")
+    return index[order], owner[order]
+
+
+def _count(rows: pa.Table, percent: int) -> pa.Table:
+    """All pairs of one part with another of a group, without those that share a smaller hub: (v, null, links of v) and a spanning set (a, b, null)."""
+    hub, i, j = (rows.column(x)[0].as_py() for x in ("hub", "i", "j"))
+    v, n, part = (rows.column(x).to_numpy() for x in ("v", "n", "part"))
+    tokens = [_tokens(x) for x in rows.column("tokens").to_pylist()]
+    values, of = _ragged(rows.column("hubs"))
+    less = values < hub
+    values, cut = values[less], np.searchsorted(of[less], np.arange(len(v) + 1))
+    hubs = [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    asks, asked = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    links, joined, a, b = np.zeros(len(v), np.int64), np.arange(len(v)), [], []
+    if len(asks) and len(asked):
+        by_token, by_hub = _inverted([tokens[x] for x in asked.tolist()]), _inverted([hubs[x] for x in asked.tolist()])
+        for q in asks.tolist():
+            common = _met(tokens[q], *by_token, len(asked))
+            good = (100 * common >= percent * (n[q] + n[asked] - common)) & ((asked > q) | (i != j))
+            if not good.any():
+                continue
+            good = asked[good & (_met(hubs[q], *by_hub, len(asked)) == 0)]
+            links[q] += len(good)
+            links[good] += 1
+            new = good[joined[good] != joined[q]]
+            other, one = np.unique(joined[new], return_index=True)
+            a += [int(v[q])] * len(one)
+            b += v[new[one]].tolist()
+            joined[np.isin(joined, other)] = joined[q]
+    some = np.flatnonzero(links)
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    counts = pa.table([pa.array(v[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], names=["a", "b", "k"])
+    return pa.concat_tables([counts, pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "k"])])
+
+
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         good = []
@@ -261,11 +314,11 @@ def shingle_sets(docs: DataFrame, rare: int = RARE, buckets: int | None = None)
     return told.groupBy("block").applyInArrow(lambda rows: _assemble(rows, rare), "doc_id long, n long, s1 long, s2 long, tokens binary, sigs array<long>")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, buckets: int | None = None, block: int = BLOCK, counts: bool = True) -> DataFrame:
     """One row per row of docs(doc_id long, text string, ...): doc_id, n_shingles, component_id, n_links.
 
-    component_id: the smallest doc_id that links reach; n_links: verified links of its class of equal sets that were
-    needed (a spanning set of the component's links, not each link). percent: 75 or more.
+    component_id: the smallest doc_id that links reach; n_links: the classes of equal sets that its own class links to.
+    Without counts no n_links are given, and a pair inside a component need not be compared. percent: 75 or more.
     Null or empty text: no shingle, its own component. Repeated rows are equal sets and link. A null doc_id stays null,
     after every id. Other columns are not read. Very long texts are blocks of their own.
     """
@@ -277,6 +330,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, bucket
     shared = sig.groupBy("sig").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub < last").drop("last")
     member = materialize(sig.join(materialize(shared, "postings"), "sig").select("hub", "v").distinct(), "posting-members")
     sized = reps.select("v", "n", "tokens")
+    if counts:
+        links, label, degree = _all_links(member, sized, percent, block)
+    else:
+        links, label = _spanning_links(member, sized, percent, block)
+    of = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("low")).join(label.withColumnRenamed("v", "s1"), "s1", "left")
+    of = of.select("s1", "s2", "low", F.coalesce("c", "s1").alias("c"))
+    of = of.join(of.groupBy("c").agg(F.min("low").alias("component_id")), "c")
+    if counts:
+        of = of.join(degree, "s1", "left")
+    of = materialize(of.select("s1", "s2", "component_id", *(["n_links"] if counts else [])), "class-components")
+    out = sets.select("doc_id", "n", "s1", "s2").join(of, ["s1", "s2"], "left")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    null = F.lit(NULL_ID)
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counts else []
+    return out.select(F.nullif("doc_id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(own, null).alias("component_id"), *more)
+
+
+def _all_links(member: DataFrame, sized: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A spanning set of links (a, b), the components (v, c), and (s1, n_links): each candidate pair is verified once."""
+    parts = member.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    hubs = member.groupBy("v").agg(F.collect_list("hub").alias("hubs"))
+    at = member.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    at = at.select("hub", "v", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+    at = at.select("hub", "v", "part", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"))
+    full = at.join(sized.join(hubs, "v"), "v")
+    found = materialize(full.groupBy("hub", "i", "j").applyInArrow(lambda rows: _count(rows, percent), "a long, b long, k long"), "links")
+    links = found.where("b is not null").select("a", "b")
+    degree = found.where("b is null").groupBy(F.col("a").alias("s1")).agg(F.sum("k").alias("n_links"))
+    return links, components(links), degree
+
+
+def _spanning_links(member: DataFrame, sized: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """A spanning set of links (a, b) and the components (v, c)."""
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs(a, b)."""
@@ -300,12 +386,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, bucket
     if not more.isEmpty():
         links = links.union(more)
         label = components(links)
-    of = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("low")).join(label.withColumnRenamed("v", "s1"), "s1", "left")
-    of = of.select("s1", "s2", "low", F.coalesce("c", "s1").alias("c"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("s1")).groupBy("s1").agg(F.count("*").alias("n_links"))
-    of = of.join(of.groupBy("c").agg(F.min("low").alias("component_id")), "c").join(degree, "s1", "left")
-    of = materialize(of.select("s1", "s2", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "class-components")
-    out = sets.select("doc_id", "n", "s1", "s2").join(of, ["s1", "s2"], "left")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    null = F.lit(NULL_ID)
-    return out.select(F.nullif("doc_id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(own, null).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return links, label

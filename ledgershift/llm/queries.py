@@ -29,7 +29,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+    return near_duplicates(table(spark, sf_dir, "documents"), counts=False)
+
+
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +78,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (pipeline, op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op7_toxicity, op8_mixing, op9_quality_classifier, op10_substring_dedup)
+    for f in (pipeline, op1_packing, op2_ngram_jaccard_join, op2_ngram_links, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op7_toxicity, op8_mixing, op9_quality_classifier, op10_substring_dedup)
 }

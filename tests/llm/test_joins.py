@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from ledgershift.llm import kernels, substring_dedup
 from ledgershift.llm.graph import components
 from ledgershift.llm.ngram_join import near_duplicates
@@ -137,3 +138,18 @@ def test_word_hashes_follow_words_only():
     assert np.diff(w.first).tolist() == [3, 0, 0, 3, 2, 2]
     assert w.hash[1] == w.hash[6] and w.hash[0] == w.hash[9] and len(set(w.hash.tolist())) == 7
     assert [b.num_rows for b in kernels.blocks([data], size=5)] == [1, 2, 1, 1, 1] or sum(b.num_rows for b in kernels.blocks([data], size=5)) == 6
+
+
+@pytest.mark.parametrize("rare, block", [(64, 1024), (2, 8)])
+def test_join_counts_every_link(spark, rare, block):
+    """Links between different set classes, by brute force; five texts that are all alike have ten."""
+    long = [f"q{i}" for i in range(300)]
+    rows = mutated(3) + [(100 + k, " ".join([*long[: 50 * k + 20], f"new{k}", *long[50 * k + 20 :]])) for k in range(5)] + [(200, " ".join(long)), (201, " ".join(long))]
+    docs = spark.createDataFrame(rows, SIMPLE)
+    out = near_duplicates(docs, rare=rare, buckets=16, block=block)
+    check_join(rows, out)
+    check_join(rows, near_duplicates(docs, rare=rare, buckets=16, block=block, counts=False))
+    sets = {shingle_set(t) for _, t in rows}
+    links = {s: sum(x != s and 100 * len(x & s) >= 75 * len(x | s) for x in sets if s) for s in sets}
+    assert sorted((r.doc_id, r.n_links) for r in out.collect()) == sorted((i, links[shingle_set(t)]) for i, t in rows)
+    assert [links[shingle_set(t)] for i, t in rows if 100 <= i < 105] == [5] * 5
