@@ -149,6 +149,19 @@ def _bucket(rows: pa.Table, bounds: tuple[int, ...]) -> pa.Table:
     return _told(np.concatenate(docs or none), np.concatenate(codes or none), np.concatenate(full or [np.zeros(0, bool)]), key, pack(*run, np.zeros(0, "<u1")))
 
 
+def _dealt_again(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Runs of another bucket number, cut at this one's bucket limits; parts of one bucket are merged there."""
+    for b in batches:
+        for data in b.column("run"):
+            f, c, doc, end = unpack(data.as_py())
+            cut = np.flatnonzero(np.diff(f >> np.uint64(64 - bits), prepend=np.uint64(0))) if len(f) else np.zeros(0, np.int64)
+            cut = np.unique(np.concatenate(([0], cut, [len(f)])))
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            keys = [int(f[x] >> np.uint64(64 - bits)) for x, _ in spans]
+            runs = [pack(f[x:y], c[x:y], doc[x:y], end) for x, y in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.binary())], schema=_SENT)
+
+
 def _told(doc: np.ndarray, code: np.ndarray, full: np.ndarray, bucket: int | None = None, run: bytes | None = None) -> pa.Table:
     n = len(doc)
     out = pa.table([pa.array(doc, pa.int64()), pa.array(code, pa.int64()), pa.array(full, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_TOLD)
@@ -255,15 +268,16 @@ def _cut(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], texts: bool)
 def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame | None = None, batches: int = BATCHES, buckets: int | None = None, keep_texts: bool = False) -> tuple[DataFrame, DataFrame]:
     """Deduplicate docs(doc_id long, text string, ...) against itself and what is indexed; returns (result, new index).
 
-    index: the second value of an earlier call with the same `buckets`; history: the (doc_id, text) that it covers.
+    index: the second value of an earlier call, with the bits of its bucket numbers; buckets are not fewer than its own,
+    unless given, and runs of another bucket number are dealt again by their fingerprints; history: the (doc_id, text) that it covers.
     result: docs' doc_id, n_words, n_removed, kept_sha256; with keep_texts docs' columns instead, text holding the kept words.
     A word goes if a window over it starts in a document of a smaller doc_id, in docs or history, on input texts.
     Null, empty and short texts (under 50 words) lose nothing. Repeated rows with one doc_id are one document, and lose
     nothing to each other. Null doc_ids come after all and do not precede each other. Other columns pass or are not read.
     """
     ship(docs.sparkSession)
-    buckets = buckets or bucket_count(docs)
-    bits = buckets.bit_length() - 1
+    had = [r.bits for r in index.select("bits").distinct().collect()] if index is not None else []
+    bits = buckets.bit_length() - 1 if buckets else max([bucket_count(docs).bit_length() - 1, *had])
     kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = tuple(docs.columns) if keep_texts else ("doc_id", "text")
     no_null = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
@@ -276,9 +290,12 @@ def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame |
     bounds = tuple(sorted(plain(docs).agg(F.percentile_approx("doc_id", at).alias("q")).first()["q"] or ())) if at else ()
     sent = plain(docs).mapInArrow(partial(_anchors, bits=bits), "key long, data binary")
     if index is not None:
-        sent = sent.unionByName(index.select(F.col("bucket").alias("key"), F.col("run").alias("data")))
+        runs = index.where(F.col("bits") == bits).select(F.col("bucket").alias("key"), F.col("run").alias("data"))
+        if set(had) - {bits}:
+            runs = runs.unionByName(index.where(F.col("bits") != bits).select("run").mapInArrow(partial(_dealt_again, bits=bits), "key long, data binary"))
+        sent = sent.unionByName(runs)
     told = materialize(sent.groupBy("key").applyInArrow(lambda x: _bucket(x, bounds), _TOLD_DDL), "fingerprints")
-    grown = told.where("run is not null").select("bucket", "run")
+    grown = told.where("run is not null").select("bucket", "run", F.lit(bits).alias("bits"))
     answers = told.where("code is not null").groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("full"), F.col("code"))).alias("full"), F.collect_set(F.when(~F.col("full"), F.col("code"))).alias("check")
     )

@@ -153,3 +153,16 @@ def test_join_counts_every_link(spark, rare, block):
     links = {s: sum(x != s and 100 * len(x & s) >= 75 * len(x | s) for x in sets if s) for s in sets}
     assert sorted((r.doc_id, r.n_links) for r in out.collect()) == sorted((i, links[shingle_set(t)]) for i, t in rows)
     assert [links[shingle_set(t)] for i, t in rows if 100 <= i < 105] == [5] * 5
+
+
+@pytest.mark.parametrize("first_buckets, second_buckets", [(None, None), (64, 16), (16, 64)])
+def test_increments_with_another_number_of_buckets(spark, first_buckets, second_buckets):
+    """An index of many splits takes a small increment: passages that stand in history still go."""
+    rows = sorted(mutated(2, 60))
+    old, new = spark.createDataFrame(rows[:30], SIMPLE), spark.createDataFrame(rows[30:], SIMPLE)
+    base = old if first_buckets else old.repartition(300)
+    first, index = substring_dedup.ingest(base, batches=1, buckets=first_buckets)
+    index = substring_dedup.write_index(index)
+    second, grown = substring_dedup.ingest(new, index=index, history=old, batches=1, buckets=second_buckets)
+    check_removed(rows, first.union(second))
+    assert {r.bits for r in grown.select("bits").collect()} == {(second_buckets or 2048).bit_length() - 1}
