@@ -2,14 +2,14 @@
 
 A text is a bag of hashed n-grams: words, pairs of words, word shapes and pairs of shapes (a shape keeps punctuation and
 has one letter for a run of capitals, small letters, digits or other letters). Two multinomial models, of texts labelled
-good and of the raw corpus, give each n-gram a log ratio; a text's importance weight is their product. Texts are drawn
-without replacement with probabilities in proportion to weight**(1 / temperature): the k largest keys log weight +
-temperature * Gumbel noise, with noise from a hash of doc_id. k is the number of texts above the cut that parts labelled
-good and bad texts best.
+good and of the raw corpus, give each n-gram a log ratio; log_ratio is its mean over a text's n-grams, so that long texts
+are not certain where short ones are doubtful. Texts are drawn without replacement with probabilities in proportion to
+exp(log_ratio / temperature): the k largest of log_ratio + temperature * Gumbel noise, the noise from a hash of doc_id.
+k is a budget: the number of texts times the share of good ones among labelled ones, plus `errors` standard errors of it.
 
 Scale: counts of the raw model are over all documents, in vectors of fixed size summed task by task and bucket range by
-bucket range; only they reach the driver. The labelled sample has a bound. Nothing with text is shuffled. The k-th key is
-found by histograms over all keys, each of fixed size.
+bucket range, in two levels; only the 64 sums reach the driver. The labelled sample has a bound. Nothing with text is
+shuffled. The k-th key is found by histograms over all keys, each of fixed size.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, ship
 from .kernels import Words, blocks, grams, hash_words, mix, text_buffer
@@ -29,8 +31,9 @@ from .kernels import Words, blocks, grams, hash_words, mix, text_buffer
 BUCKETS = 1 << 16
 #: Labelled rows used at most (the smallest hashes of doc_id).
 LABELLED = 20_000
-TEMPERATURE = 0.25
-_RANGES = 64
+#: Noise in units of the mean log ratio, standard errors added to the budget, and the weight of a bucket's prior in n-grams.
+TEMPERATURE, ERRORS, PRIOR = 0.05, 2.0, 10.0
+_RANGES, _TASKS = 64, 512
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 57, 88, 120, 111
@@ -60,6 +63,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts: n-grams of all texts and of good ones, by range of buckets."""
     raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for block in blocks(batches, size=1 << 20):
         f, own = features(block.column("text"))
@@ -67,27 +71,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = block.column("label").fill_null(0).to_numpy(zero_copy_only=False) == 1
         good += np.bincount(f[label[own]], minlength=BUCKETS)
     data = [np.concatenate(x).astype("<i8").tobytes() for x in zip(np.split(raw, _RANGES), np.split(good, _RANGES), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(_RANGES, dtype=np.int32)), pa.array(data, pa.binary())], names=["range", "counts"])
+    some = np.full(_RANGES, TaskContext.get().partitionId() // _TASKS, np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(_RANGES, dtype=np.int32)), pa.array(some), pa.array(data, pa.binary())], names=["range", "tasks", "counts"])
 
 
 def _add(rows: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, "<i8") for x in rows.column("counts").to_pylist())
-    return pa.table({"range": rows.column("range").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    return rows.slice(0, 1).set_column(2, "counts", pa.array([total.astype("<i8").tobytes()], pa.binary()))
 
 
 def _score(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, size=1 << 20):
         f, own = features(block.column("text"))
-        total = np.bincount(own, weights=ratio[f], minlength=block.num_rows)
-        yield block.append_column("log_ratio", pa.array(np.round(total, 6)))
+        total = np.bincount(own, weights=ratio[f], minlength=block.num_rows).astype(float)  # no n-gram: bincount gives integers
+        mean = total / np.maximum(1, np.bincount(own, minlength=block.num_rows))
+        yield block.append_column("log_ratio", pa.array(np.round(mean, 9)))
 
 
 @dataclass
 class Model:
-    """The log ratio of each bucket, and the cut on a text's log ratio."""
+    """The log ratio of each bucket, and the share of texts to keep (null: all)."""
 
     ratio: np.ndarray
-    cut: float
+    share: float | None
+
+
+def log_ratios(raw: np.ndarray, good: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Log of good's probability over raw's for each bucket; a bucket starts with `prior` n-grams of the common mixture."""
+    common = good.sum() / max(1.0, raw.sum())
+    return np.log((good + prior * common) / ((raw + prior) * common)) if common else np.zeros(len(raw))
 
 
 def _noise(doc_id: Column, seed: int) -> Column:
@@ -106,38 +118,30 @@ def labelled_sample(labels: DataFrame, label: str, most: int = LABELLED, where:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column log_ratio; no shuffle."""
     ship(docs.sparkSession)
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(partial(_score, ratio=model.ratio), ", ".join([*names, "log_ratio double"]))
+    return docs.mapInArrow(partial(_score, ratio=model.ratio), T.StructType([*docs.schema.fields, T.StructField("log_ratio", T.DoubleType())]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
-    """Models of docs(doc_id, text) and of those with labels(doc_id, quality) = 1. Without labels nothing is rejected."""
-    ship(docs.sparkSession)
-    sample = materialize(labelled_sample(labels, "quality", most), "quality-sample")
+def counts(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams in each bucket: of all texts, and of those that sample(doc_id, label) calls good."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id", "left")
-    parts = rows.select("text", "label").mapInArrow(_count, "range int, counts binary")
-    sums = parts.groupBy("range").applyInArrow(lambda x: _add(x), "range int, counts binary")
+    kind = "range int, tasks int, counts binary"
+    parts = rows.select("text", "label").mapInArrow(_count, kind)
+    sums = parts.groupBy("range", "tasks").applyInArrow(lambda x: _add(x), kind).groupBy("range").applyInArrow(lambda x: _add(x), kind)
     total = np.zeros((_RANGES, 2, BUCKETS // _RANGES), np.int64)
     for r in sums.collect():  # 64 rows of 16 KB, whatever the input
         total[r["range"]] = np.frombuffer(r["counts"], "<i8").reshape(2, -1)
-    raw, good = (total[:, i].ravel().astype(float) for i in (0, 1))
-    prior = (raw + 1) / (raw + 1).sum()
-    weight = 1e-3 * good.sum() + 1
-    ratio = np.log((good + weight * prior) / (good.sum() + weight)) - np.log(prior)
-    if not good.sum():
-        return Model(np.zeros(BUCKETS), -np.inf)
-    model = Model(ratio, -np.inf)
-    seen = score(rows.where("label is not null").select("label", "text"), model).select("label", "log_ratio").toPandas()  # at most `most` rows
-    x, y = seen["log_ratio"].to_numpy(), seen["label"].to_numpy()
-    if len(x) and 0 < y.sum() < len(y):
-        order = np.argsort(x, kind="stable")
-        x, y = x[order], y[order]
-        bad_below, good_below = np.append(0, np.cumsum(y == 0)), np.append(0, np.cumsum(y == 1))
-        gain = bad_below / bad_below[-1] - good_below / good_below[-1]
-        edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
-        gain[1:-1][x[1:] == x[:-1]] = -1
-        model.cut = float(edges[int(np.argmax(gain))])
-    return model
+    return total[:, 0].ravel().astype(float), total[:, 1].ravel().astype(float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, errors: float = ERRORS) -> Model:
+    """Models of docs(doc_id, text) and of those with labels(doc_id, quality) = 1. Without labels of both kinds all is kept."""
+    ship(docs.sparkSession)
+    sample = materialize(labelled_sample(labels, "quality", most), "quality-sample")
+    n, n_good = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < n_good < n:
+        return Model(np.zeros(BUCKETS), None)
+    share = n_good / n
+    return Model(log_ratios(*counts(docs, sample)), min(1.0, share + errors * (share * (1 - share) / n) ** 0.5))
 
 
 def _kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
@@ -160,21 +164,28 @@ def _kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = 17, most: int = LABELLED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = 17, most: int = LABELLED, columns: tuple[str, ...] | None = None) -> DataFrame:
     """docs(doc_id long, text string, ...) with log_ratio double, sampling_key double and kept boolean.
 
-    Null or empty text: log ratio 0. Repeated rows: equal keys, kept or rejected alike; equal keys at the limit are all
-    kept. A null doc_id takes one fixed noise. Empty tables give empty results; without labels of both kinds all is kept.
-    Other columns pass through; columns named like the three new ones are replaced.
+    columns: those of docs to return, all if not given; without `text` among them texts are scored once, not twice.
+    Null or empty text: log ratio 0, so it is drawn like a text that fits both models equally. Repeated rows: equal keys,
+    kept or rejected alike; equal keys at the limit are all kept. A null doc_id takes one fixed noise. Empty tables give
+    empty results; without labels of both kinds all is kept. Other columns pass through; columns named like the three
+    new ones are replaced.
     """
     new = ("log_ratio", "sampling_key", "kept")
     model = fit(docs, labels, most)
-    kept = docs.drop(*(c for c in docs.columns if c.lower() in new))
-    kept = kept.withColumn("text", F.col("text").cast("string"))
+    own = [c for c in columns or docs.columns if c.lower() not in new]
+    texts = docs.select(*dict.fromkeys([*own, "doc_id", "text"])).withColumn("text", F.col("text").cast("string"))
     key = F.col("log_ratio") + F.lit(temperature) * _noise(F.coalesce(F.col("doc_id"), F.lit(-1)), seed)
-    if model.cut == -np.inf:
-        return score(kept, model).withColumn("sampling_key", key).withColumn("kept", F.lit(True))
-    keys = materialize(score(kept.select("doc_id", "text"), model).select("log_ratio", key.alias("key")), "quality-keys")
-    k = keys.where(F.col("log_ratio") >= F.lit(model.cut)).count()
-    limit = _kth_largest(keys, k) if k else float("inf")
-    return score(kept, model).withColumn("sampling_key", key).withColumn("kept", F.col("sampling_key") >= F.lit(limit))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return score(rows, model).withColumn("sampling_key", key)
+
+    if model.share is None:
+        return keyed(texts).select(*own, "log_ratio", "sampling_key", F.lit(True).alias("kept"))
+    again = "text" in own
+    keys = materialize(keyed(texts.select("doc_id", "text")).select("sampling_key") if again else keyed(texts).drop("text"), "quality-keys")
+    n = keys.count()
+    limit = _kth_largest(keys.select(F.col("sampling_key").alias("key")), round(n * model.share)) if n else 0.0
+    return (keyed(texts) if again else keys).select(*own, "log_ratio", "sampling_key", (F.col("sampling_key") >= F.lit(limit)).alias("kept"))

@@ -64,8 +64,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_ratio", "sampling_key", "kept")
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=("doc_id",))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
