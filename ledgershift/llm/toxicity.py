@@ -2,12 +2,18 @@
 
 Voters are mined from training labels: whole words (lexicon) and word beginnings of three to six letters (patterns) that
 toxic documents have far more often than others (a likelihood ratio test, its level set by the number of candidates).
-The label model is a two-class latent model: for each voter the chance to fire on either class, and the prior, are
-estimated by expectation maximisation on votes alone; voters that still correlate inside a class (a word and its own
-beginning) share one voice, by the inverse of their summed correlations. Its posteriors are the labels of a logistic
-regression over the votes, whose level is set on the training labels last.
-
-Scale: the training sample has a bound, as have voters; counting and voting are passes without a shuffle of texts.
+What counts for a voter are the different contexts (words before and after) in which toxic documents have it, so that
+copies of one document, exact or near, are no evidence for all of its words. Of voters with the same first letters the
+one with the best ratio stands for the others.
+The label model is a two-class latent model, fitted by expectation maximisation on the votes of all documents that are
+not held out, labelled or not (equal texts once), with the counts of labelled ones held fixed: the share of either class,
+its chance that any voter fires, for each voter its rate in either class (its accuracy), and its correlations inside
+the toxic class: how many more other voters fire with it than fire at large, by which correlated voters share a voice.
+Its posteriors are the labels of a logistic regression over votes and hashed word frequencies of the text.
+
+Scale: two passes over texts, without a shuffle of them. Votes leave the first as patterns (numbers of the voters that
+fired) with counts; a round of the label model is one pass over the table of patterns, summed in two levels in vectors
+of one number a voter. The labelled sample has a bound; nothing else has.
 """
 
 from __future__ import annotations
@@ -20,16 +26,21 @@ from functools import lru_cache, partial
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
 from .importance import labelled_sample
+from .kernels import hash_words, text_buffer
 
-#: Labelled rows used at most, voters at most, and beginnings of words tried as patterns.
-LABELLED, VOTERS, BEGINNINGS = 20_000, 256, (3, 4, 5, 6)
+#: Labelled rows used at most, and beginnings of words tried as patterns.
+LABELLED, BEGINNINGS = 20_000, (3, 4, 5, 6)
 #: Toxic training documents that a voter has at least, and the least share of toxic ones among the documents that have it.
 SUPPORT, PRECISION = 3, 0.9
+#: Rounds of the label model, hashed word features, tasks added up in one group.
+ROUNDS, HASHED, _TASKS = 12, 512, 256
 
 
 def marks(text: str) -> set[str]:
@@ -38,13 +49,15 @@ def marks(text: str) -> set[str]:
     return {f"={w}" for w in words} | {f"^{w[:k]}" for w in words for k in BEGINNINGS if len(w) > k}
 
 
-def _mine(batches: Iterator[pa.RecordBatch], among: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-    count: Counter[str] = Counter()
+def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and in how many other texts each mark is."""
+    bad: Counter[str] = Counter()
+    good: Counter[str] = Counter()
     for b in batches:
-        for text in b.column("text").to_pylist():
-            found = marks(text or "")
-            count.update(found if among is None else found & among)
-    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["mark", "n"])
+        for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
+            (bad if label == 1 else good).update(marks(text or ""))
+    every = list({**bad, **good})
+    yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([bad[x] for x in every], pa.int64()), pa.array([good[x] for x in every], pa.int64())], names=["mark", "a", "b"])
 
 
 @lru_cache(2)
@@ -59,62 +72,143 @@ def _automaton(voters: tuple[str, ...]) -> ahocorasick.Automaton:
     return out
 
 
-def votes(texts: list[str | None], voters: tuple[str, ...]) -> np.ndarray:
-    """Which voters fire on each text (rows texts), a boolean matrix."""
-    out = np.zeros((len(texts), len(voters)), bool)
+def votes(texts: list[str | None], voters: tuple[str, ...]) -> list[list[int]]:
+    """For each text the numbers of the voters that fire, ascending."""
     if not voters:
-        return out
-    machine = _automaton(voters)
-    for row, text in zip(out, texts, strict=True):
-        low = (text or "").lower()
+        return [[] for _ in texts]
+    machine, out = _automaton(voters), []
+    for text in texts:
+        low, fired = (text or "").lower(), set()
         for end, (size, which) in machine.iter(low):
             at = end - size + 1
             if at and low[at - 1].isalpha():
                 continue
             more = end + 1 < len(low) and low[end + 1].isalpha()
-            for i, whole in which:
-                if more != whole:
-                    row[i] = True
+            fired.update(i for i, whole in which if more != whole)
+        out.append(sorted(fired))
     return out
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], voters: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """(voter, context) for each place where a voter fires: a hash of the word before and the word after it."""
+    number = {v: i for i, v in enumerate(voters)}
+    for b in batches:
+        found = set()
+        for text in b.column("text").to_pylist():
+            words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+            for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                for i in (number.get(f"={w}"), *(number.get(f"^{w[:k]}") for k in BEGINNINGS if len(w) > k)):
+                    if i is not None:
+                        found.add((i, xxhash.xxh3_64_intdigest(f"{before} {after}") >> 1))
+        voter, context = zip(*sorted(found), strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(voter, pa.int32()), pa.array(context, pa.int64())], names=["voter", "context"])
+
+
+def _distinct(mined: list[tuple[str, int, int]], share: float) -> list[tuple[str, int, int]]:
+    """Of marks (mark, a, b) that begin alike, the one with the best ratio (then the most toxic documents, the shortest, whole words first)."""
+    best: dict[str, None] = {}
+    out = []
+    for mark, a, b in sorted(mined, key=lambda x: (-ratio(x[1], x[2], share), -x[1], len(x[0]), x[0][0] == "^", x[0])):
+        text = mark[1:]
+        if not any(text[:k] in best for k in range(1, len(text) + 1)) and not any(x.startswith(text) for x in best):
+            best[text] = None
+            out.append((mark, a, b))
+    return sorted(out)
+
+
+def ratio(a: float, b: float, share: float) -> float:
+    """Twice the log likelihood ratio of a mark in a toxic and b other documents, where a share of documents is toxic."""
+    return 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0)) if a else 0.0
+
+
 @dataclass
-class Model:
-    """Voters, and the linear classifier over their votes."""
+class LabelModel:
+    """For either class (other, toxic): its share, the chance that any voter fires, and each voter's rate where some do; and voters' voices.
+
+    Which of several languages' voters are silent says nothing, so silence counts only where all are.
+    """
+
+    share: np.ndarray
+    some: np.ndarray
+    rate: np.ndarray
+    voice: np.ndarray
+
+    def logits(self, voter: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Log odds of toxic for n rows, voter[i] having fired in row[i]; what fires counts as one voice at least."""
+        voices = np.bincount(row, weights=self.voice[voter], minlength=n)
+        heard = np.bincount(row, weights=(self.voice * np.log(self.rate[1] / self.rate[0]))[voter], minlength=n) / np.where(voices > 0, np.minimum(1, voices), 1)
+        some, none = (np.log(x[1] / x[0]) for x in (self.some, 1 - self.some))
+        return np.log(self.share[1] / self.share[0]) + np.where(voices > 0, some + heard, none)
+
+    def posterior(self, voter: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(voter, row, n), -30, 30)))
+
+
+def _flat(patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Voters of all patterns in one array, and the row of each."""
+    voter = np.frombuffer(b"".join(patterns), "<u4").astype(np.int64)
+    return voter, np.repeat(np.arange(len(patterns)), [len(x) // 4 for x in patterns])
+
+
+def expected(post: np.ndarray, voter: np.ndarray, row: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+    """Sums over documents (row i stands for n[i] of them, toxic with chance post[i]) that the next model needs.
+
+    All, toxic, those with a vote, toxic ones with a vote, toxic x votes; then for each of m voters fired, fired and
+    toxic, fired x toxic x votes.
+    """
+    toxic, cast = n * post, np.bincount(row, minlength=len(n))
+    each = [np.bincount(voter, weights=w[row], minlength=m) for w in (n.astype(float), toxic, toxic * cast)]
+    return np.concatenate([[n.sum(), toxic.sum(), n[cast > 0].sum(), toxic[cast > 0].sum(), (toxic * cast).sum()], *each])
+
+
+def improved(sums: np.ndarray) -> LabelModel:
+    """The model of expected counts; a voter's voice is one over one more than the votes that come with it beyond the usual."""
+    n, toxic, some, some_toxic, cast = sums[:5]
+    fired, fired_toxic, fired_cast = sums[5:].reshape(3, -1)
+    usual = (fired + 1e-3) / (some + 1)
+    rate = np.stack([(fired - fired_toxic + 2 * usual) / (some - some_toxic + 2), (fired_toxic + 2 * usual) / (some_toxic + 2)]).clip(1e-9, 1)
+    any_ = np.array([(some - some_toxic + 0.5) / (n - toxic + 1), (some_toxic + 0.5) / (toxic + 1)]).clip(1e-9, 1 - 1e-6)
+    share = float(np.clip(toxic / max(n, 1), 1e-5, 0.9))
+    more = fired_cast / np.maximum(fired_toxic, 1e-9) - 1 - (cast - fired_toxic) / max(some_toxic, 1e-9)
+    return LabelModel(np.array([1 - share, share]), any_, rate, 1 / (1 + np.maximum(0, more)))
+
+
+def _expected(batches: Iterator[pa.RecordBatch], model: LabelModel) -> Iterator[pa.RecordBatch]:
+    m = len(model.voice)
+    total = np.zeros(5 + 3 * m)
+    for b in batches:
+        for k in range(0, b.num_rows, 4096):
+            some = b.slice(k, 4096)
+            voter, row = _flat(some.column("votes").to_pylist())
+            total += expected(model.posterior(voter, row, some.num_rows), voter, row, some.column("n").to_numpy(), m)
+    yield _sums(TaskContext.get().partitionId() // _TASKS, total)
+
+
+def _sums(tasks: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([tasks], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["tasks", "sums"])
+
+
+def _add(rows: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, "<f8") for x in rows.column("sums").to_pylist()], axis=0)
+    return pa.Table.from_batches([_sums(rows.column("tasks")[0].as_py(), total)])
 
-    voters: tuple[str, ...]
-    weights: np.ndarray
-    bias: float
 
+def label_model(patterns: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+    """The label model fitted to patterns(votes binary, n long), a written table, and to the expected counts `known` of labelled documents.
 
-def label_model(fired: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of the toxic class for each row of votes, with correlated voters sharing a voice."""
-    n, m = fired.shape
-    x = fired.astype(float)
-    voice = np.ones(m)
-    post = np.where(fired.any(axis=1), 0.9, prior / 10)
-    for step in range(rounds):
-        w = np.stack([1 - post, post])
-        rate = (w @ x + 0.5 * np.array([[0.01], [1.0]])) / (w.sum(axis=1, keepdims=True) + np.array([[1.0], [2.0]]))
-        rate = np.clip(rate, 1e-6, 1 - 1e-6)
-        rate[1] = np.maximum(rate[1], rate[0])  # voters are mined for the toxic class
-        base = np.clip(post.mean(), 1e-4, 0.9)
-        if step % 10 == 5:  # correlations left inside the toxic class
-            z = (x - rate[1]) * np.sqrt(post)[:, None]
-            cov = z.T @ z / max(post.sum(), 1)
-            sd = np.sqrt(np.diag(cov)) + 1e-9
-            voice = 1 / np.maximum(1, np.clip(cov / np.outer(sd, sd), 0, 1).sum(axis=1))
-        logit = np.log(base / (1 - base)) + x @ (voice * np.log(rate[1] / rate[0])) + (1 - x) @ (voice * np.log((1 - rate[1]) / (1 - rate[0])))
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
-            return new
-        post = new
-    return post
-
-
-def linear_classifier(fired: np.ndarray, target: np.ndarray, decay: float = 1e-3, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps; votes only add to the score (weights are not negative)."""
-    x = np.column_stack([fired.astype(float), fired.any(axis=1), np.ones(len(fired))])
+    Without the known ones the two classes could become those of two languages' voters.
+    """
+    model, kind = improved(known), "tasks int, sums binary"
+    for _ in range(rounds):
+        parts = patterns.mapInArrow(partial(_expected, model=model), kind).groupBy("tasks").applyInArrow(lambda x: _add(x), kind)
+        got = [np.frombuffer(r["sums"], "<f8") for r in parts.sort("tasks").collect()]  # a row for 256 tasks
+        model = improved(np.sum([known, *got], axis=0))
+    return model
+
+
+def linear_classifier(x: np.ndarray, target: np.ndarray, n_votes: int, decay: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Newton steps; the first n_votes features (votes) only add to the score."""
+    x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), decay * len(x))
     ridge[-1] = 1e-6
@@ -124,80 +218,119 @@ def linear_classifier(fired: np.ndarray, target: np.ndarray, decay: float = 1e-3
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), grad)
         step *= min(1.0, 5 / max(1e-9, np.abs(step).max()))
         w = w - step
-        w[:-1] = np.maximum(w[:-1], 0)
-        if np.abs(step).max() < 1e-6:
+        w[:n_votes] = np.maximum(w[:n_votes], 0)
+        if np.abs(step).max() < 1e-5:
             break
     return w[:-1], float(w[-1])
 
 
+@dataclass
+class Model:
+    """Voters, and the linear classifier over their votes, whether any fired, and hashed word frequencies."""
+
+    voters: tuple[str, ...]
+    weights: np.ndarray
+    bias: float
+
+    def logits(self, column: pa.Array) -> np.ndarray:
+        m, n = len(self.voters), len(column)
+        patterns = votes(column.to_pylist(), self.voters)
+        z = np.array([self.weights[p].sum() + (self.weights[m] if p else 0) for p in patterns], float)
+        bucket, own, size = _hashed(column)
+        return z + self.bias + np.bincount(own, weights=self.weights[m + 1 :][bucket], minlength=n) / np.maximum(1, size)
+
+
+def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, text's index) of each word (A-Z as a-z), and the words of each text."""
+    w = hash_words(*text_buffer(column), lower=True)
+    return (w.hash % np.uint64(HASHED)).astype(np.int64), w.owner, np.diff(w.first)
+
+
 def training(doc_id: Column) -> Column:
     """Rows from which labels may be learnt: crc32 of doc_id as text modulo 5 is not 0."""
     return F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 5 != 0
 
 
+def _vote(batches: Iterator[pa.RecordBatch], voters: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 512):
+            fired = [np.array(x, "<u4").tobytes() for x in votes(b.column("text").slice(k, 512).to_pylist(), voters)]
+            yield pa.RecordBatch.from_arrays([pa.array(fired, pa.binary()), b.column("key").slice(k, 512)], names=["votes", "key"])
+
+
+def _train(batches: Iterator[pa.RecordBatch], voters: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Label, votes and word frequencies (32-bit floats) of the labelled sample."""
+    for b in batches:
+        for k in range(0, b.num_rows, 512):
+            texts = b.column("text").slice(k, 512)
+            fired = [np.array(x, "<u4").tobytes() for x in votes(texts.to_pylist(), voters)]
+            bucket, own, size = _hashed(texts)
+            words = np.zeros((len(texts), HASHED), "<f4")
+            np.add.at(words, (own, bucket), 1)
+            words /= np.maximum(1, size)[:, None]
+            out = [b.column("label").slice(k, 512), pa.array(fired, pa.binary()), pa.array([x.tobytes() for x in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["label", "votes", "words"])
+
+
+def _mined(rows: DataFrame, bad: int, good: int) -> list[tuple[str, int, int]]:
+    """Marks that pass the tests, with their toxic and other documents; counted and tested on executors."""
+    found = rows.mapInArrow(_mine, "mark string, a long, b long").groupBy("mark").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= SUPPORT)
+    found = materialize(found, "toxic-marks")
+    a, b, share = F.col("a"), F.col("b"), bad / (bad + good)
+    level = 2 * float(np.log(max(2, found.count())))
+    each = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0))
+    fine = found.where((a >= PRECISION * (a + b)) & (a / bad > b / good) & (each >= level))
+    able = [tuple(r) for r in fine.select("mark", "a", "b").sort("mark").collect()]  # what the tests leave of the labelled sample's words
+    places = rows.where("label = 1").select("text").mapInArrow(partial(_contexts, voters=tuple(x[0] for x in able)), "voter int, context long")
+    seen = {r["voter"]: r["n"] for r in places.groupBy("voter").agg(F.countDistinct("context").alias("n")).collect()}
+    able = [(m, min(x, seen.get(i, 0)), y) for i, (m, x, y) in enumerate(able)]
+    return _distinct([x for x in able if x[1] >= max(SUPPORT, PRECISION * (x[1] + x[2])) and ratio(x[1], x[2], share) >= level], share)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
-    """Learn from labels(doc_id, toxic) of training rows, at most `most` (the smallest hashes). Without labels of both kinds no voter is found."""
+    """Learn from labels(doc_id, toxic) of training rows, at most `most` (the smallest hashes), and from the votes of all training rows.
+
+    Without labels of both kinds no voter is found.
+    """
     ship(docs.sparkSession)
     sample = materialize(labelled_sample(labels, "toxic", most, training(F.col("doc_id"))), "toxic-sample")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(training(F.col("doc_id")), F.lit(False)))
+    rows = plain.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text"))  # a repeated doc_id counts once
     rows = materialize(rows.select("label", "text"), "toxic-training")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
-    if not bad or not good:
-        return Model((), np.zeros(1), -5.0)
-
-    def counted(label: int, among: frozenset[str] | None = None) -> DataFrame:
-        found = rows.where(F.col("label") == label).select("text").mapInArrow(partial(_mine, among=among), "mark string, n long")
-        return found.groupBy("mark").agg(F.sum("n").alias("n"))
-
-    often = counted(1).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "mark").limit(50_000).toPandas()
-    other = counted(0, frozenset(often["mark"])).toPandas()
-    a = often["n"].to_numpy(float)
-    b = often["mark"].map(dict(zip(other["mark"], other["n"], strict=True))).fillna(0).to_numpy(float)
-    share = bad / (bad + good)
-    ratio = 2 * (a * np.log(a / ((a + b) * share)) + np.where(b > 0, b * np.log(np.maximum(b, 1) / ((a + b) * (1 - share))), 0))
-    fine = (a >= PRECISION * (a + b)) & (a / bad > b / good) & (ratio >= 2 * np.log(max(2, len(often))))
-    order = np.lexsort((often["mark"].to_numpy(), -ratio))
-    voters = tuple(often["mark"].to_numpy()[[i for i in order if fine[i]][:VOTERS]].tolist())
-    seen = rows.mapInArrow(partial(_vote, voters=voters), "label int, votes binary").toPandas()  # at most `most` rows of `VOTERS` bits
-    fired = np.array([np.unpackbits(np.frombuffer(x, np.uint8), count=len(voters)) for x in seen["votes"]], bool).reshape(len(seen), len(voters))
-    label = seen["label"].to_numpy() == 1
-    post = label_model(fired, share)
-    weights, bias = linear_classifier(fired, post)
-    level = np.column_stack([fired.astype(float), fired.any(axis=1)]) @ weights + bias
-    return Model(voters, weights, bias - _best_cut(level, label))
-
-
-def _best_cut(level: np.ndarray, label: np.ndarray) -> float:
-    """The level that parts training labels best (balanced accuracy), midway between the two scores that it parts."""
-    x, first = np.unique(level, return_inverse=True)
-    bad, good = np.bincount(first, weights=label), np.bincount(first, weights=~label)
-    gain = np.append(0, np.cumsum(good / good.sum() - bad / bad.sum()))
-    k = int(np.argmax(gain))
-    return float(x[0] - 1 if k == 0 else x[-1] + 1 if k == len(x) else (x[k] + x[k - 1]) / 2)
-
-
-def _vote(batches: Iterator[pa.RecordBatch], voters: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        bits = np.packbits(votes(b.column("text").to_pylist(), voters), axis=1)
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([x.tobytes() for x in bits], pa.binary())], names=["label", "votes"])
+    mined = _mined(rows, bad, good) if bad and good else []
+    if not mined:
+        return Model((), np.zeros(1 + HASHED), -5.0)
+    voters, m = tuple(x[0] for x in mined), len(mined)
+    seen = rows.mapInArrow(partial(_train, voters=voters), "label int, votes binary, words binary").toPandas()  # at most `most` rows
+    voter, row = _flat(seen["votes"].tolist())
+    known = expected(seen["label"].to_numpy(float), voter, row, np.ones(len(seen)), m)
+    fired = plain.select("text", F.xxhash64("text").alias("key")).mapInArrow(partial(_vote, voters=voters), "votes binary, key long")
+    patterns = fired.groupBy("key").agg(F.first("votes").alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))  # equal texts, equal votes
+    model = label_model(materialize(patterns, "toxic-votes"), known)
+    x = np.zeros((len(seen), m + 1 + HASHED))
+    x[row, voter] = 1
+    x[:, m] = x[:, :m].any(axis=1)
+    x[:, m + 1 :] = np.frombuffer(b"".join(seen["words"]), "<f4").reshape(len(seen), HASHED)
+    weights, bias = linear_classifier(x, model.posterior(voter, row, len(seen)), m + 1)
+    return Model(voters, weights, bias)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, 512):
             some = b.slice(k, 512)
-            fired = votes(some.column("text").to_pylist(), model.voters)
-            z = np.column_stack([fired.astype(float), fired.any(axis=1)]) @ model.weights if model.voters else np.zeros(len(fired))
-            score = np.round(1 / (1 + np.exp(-np.clip(z + model.bias, -30, 30))), 9)
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+            z = model.logits(some.column("text"))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 9))], names=["doc_id", "score"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs(doc_id long, text string, ...).
 
-    Null or empty text: no vote, the lowest score. Repeated rows: equal scores. A null doc_id stays null and is held out
-    from nothing (false). Labels twice: the larger one. No labels of one kind: all scores low. Other columns are not read.
+    Null or empty text: no vote and no word, the score of the bias alone. Repeated rows: equal scores; in the labelled
+    sample a doc_id counts once. A null doc_id stays null, is held out from nothing (false), and teaches nothing. Labels
+    twice: the larger one. No labels of one kind: all scores low. Other columns are not read.
     """
     model = fit(docs, labels, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
