@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import chat, line_rules
 from .common import table
 from .importance import resample
-from .media import picture_features, text_pictures
+from .media import media_features
 from .mixing import mix_plan
 from .ngram_join import near_duplicates
 from .oracles import ORACLE_SQL  # noqa: F401
@@ -52,7 +52,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return picture_features(text_pictures(table(spark, sf_dir, "documents"))).drop("phash")
+    return media_features(table(spark, sf_dir, "documents")).drop("phash")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
