@@ -8,7 +8,8 @@ cumulative demand, and the inverse of that gives the time at which a word of the
 that position with a range partitioning.
 
 Scale: running sums are in two levels, hash buckets of a source and documents in a bucket, so a source of a third of all
-rows is spread over thousands of tasks' keys. The text is read once, for its number of words.
+rows is spread over tens of thousands of keys. Rows carry their columns through the running sum, so repeated rows have
+places of their own and nothing is joined back. Rows without a position are sorted by a hash behind those with one.
 """
 
 from __future__ import annotations
@@ -46,34 +47,40 @@ def _position(at, schedules):
     return F.when(a == b, at).otherwise((F.sqrt(a * a + (b * b - a * a) * at) - a) / F.when(a != b, b - a))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
-    """For each row of docs(doc_id long, source string, text string, ...): doc_id, text_key, size, source_size, target, taken, first_take, position, again_position.
-
-    first_take: words of the first pass over the source, the rest of `taken` is from later passes; positions lie in 0..1,
-    null where nothing is taken. Null or empty text: size 0, nothing taken. Null source: a source of its own, the last.
-    Ties in the hash order (repeated rows) go by size; such rows are taken each. All sizes 0: targets 0. Other columns
-    are not read. Sorted by position (range partitioning), untaken rows last.
-    """
-    key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
-    text = F.col("text").cast("string")
-    sized = docs.select("doc_id", key.alias("skey"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"))
-    sized = sized.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("h", 1, 3))
-    sized = materialize(sized, "mix-sizes")
-    targets = materialize(source_targets(sized.select("skey", "size"), weights, share, most), "mix-targets")
-    sums = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
+def _plan(docs: DataFrame, weights, share: float, most: int, schedules) -> DataFrame:
+    """docs' columns, as a struct `_row`, with the columns of mix_plan."""
+    source, text = F.col("source").cast("string"), F.col("text").cast("string")
+    key = F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), key.alias("skey"), word_count(text).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), text, F.lit(""))).alias("h"))
+    rows = rows.withColumn("bucket", F.substring("h", 1, 4))
+    sums = materialize(rows.groupBy("skey", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
+    targets = materialize(source_targets(sums, weights, share, most), "mix-targets")
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_before"))
+    sums = sums.select("skey", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("bucket_before"))
     within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(materialize(sums, "mix-buckets"), ["skey", "bucket"]).join(F.broadcast(targets) if _few(targets) else targets, "skey")
-    start = F.col("bucket_before") + F.col("before")
-    demand = F.floor("target")
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.join(sums, ["skey", "bucket"]).join(F.broadcast(targets) if _few(targets) else targets, "skey")
+    start, demand = F.col("bucket_before") + F.col("before"), F.floor("target")
     takes = [F.greatest(F.lit(0), F.least(F.col("size"), demand - F.col("source_size") * e - start)).cast("long") for e in range(most)]
-    rows = rows.withColumn("takes", F.array(*takes)).withColumn("first_take", F.col("takes")[0])
-    rows = rows.withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x))
-    due = [F.when(F.col("takes")[e] > 0, _position((F.col("source_size") * e + start + F.col("takes")[e] / 2) / F.col("target"), schedules)) for e in (0, 1)]
-    rows = rows.select("doc_id", "text_key", "size", "source_size", "target", "taken", "first_take", due[0].alias("position"), due[1].alias("again_position"))
-    return rows.orderBy(F.col("position").asc_nulls_last())
+    rows = rows.withColumn("takes", F.array(*takes))
+    at = [F.when(F.col("takes")[e] > 0, _position((F.col("source_size") * e + start + F.col("takes")[e] / 2) / F.col("target"), schedules)) for e in range(most)]
+    return rows.select("_row", "doc_id", "size", "source_size", "target", "h", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), "takes", F.array(*at).alias("positions"))
+
+
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
+    """For each row of docs(doc_id long, source string, text string, ...): doc_id, size, source_size, target, taken, position, again_position.
+
+    position, again_position: when in training (0..1) the document is due, the first time and in the second pass over its
+    source; null where nothing is taken. Null or empty text: size 0, nothing taken. Null source: a source of its own, the
+    last. A null doc_id takes its place by its text. Ties in the hash order (repeated rows) go by size; such rows are
+    taken each. All sizes 0: targets 0. Empty tables: no row. Other columns are not read. Sorted by position (range
+    partitioning), untaken rows last.
+    """
+    rows = _plan(docs.select("doc_id", "source", "text"), weights, share, most, schedules).drop("_row")
+    rows = rows.withColumn("position", F.col("positions")[0]).withColumn("again_position", F.col("positions")[1] if most > 1 else F.lit(None).cast("double"))
+    late = F.lit(1.5) + F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2**33
+    return rows.orderBy(F.coalesce("position", late)).select("doc_id", "size", "source_size", "target", "taken", "position", "again_position")
 
 
 def _few(targets: DataFrame, most: int = 10_000) -> bool:
@@ -81,16 +88,15 @@ def _few(targets: DataFrame, most: int = 10_000) -> bool:
     return targets.limit(most + 1).count() <= most
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs' columns, a row for each time a document is taken, sorted by training position; one taken in part keeps its first words."""
-    plan = materialize(mix_plan(docs, **options).where("taken > 0").drop("size"), "mix-plan")
-    plan = plan.groupBy("doc_id", "text_key").agg(*(F.first(c).alias(c) for c in ("taken", "first_take", "position", "again_position")))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.explode(F.array(F.struct(F.col("first_take").alias("take"), F.col("position").alias("at")), F.struct((F.col("taken") - F.col("first_take")).alias("take"), F.col("again_position").alias("at")))).alias("_p"))
-    plan = plan.where("_p.take > 0")
-    text = F.col("text").cast("string")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")))
-    part = F.col("_p.take") < word_count(text)
-    rows = rows.withColumn("text", F.when(part, F.array_join(F.slice(words(text), 1, F.greatest(F.lit(1), F.col("_p.take").cast("int"))), " ")).otherwise(text))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.orderBy("_p.at").select(*docs.columns)
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, schedules=SCHEDULES) -> DataFrame:
+    """docs' columns, a row for each time a document is taken, sorted by training position; one taken in part keeps its first words.
+
+    n_chars, where docs has it, follows the text. Nulls, ties and repeated rows as in mix_plan: each repeated row is
+    taken by itself, so the words of the result are those of the plan. Columns of any other name pass through.
+    """
+    rows = _plan(docs, weights, share, most, schedules).where("taken > 0")
+    rows = rows.select("_row", "size", F.explode(F.arrays_zip("takes", "positions")).alias("_p")).where("_p.takes > 0")
+    text, take = F.col("_row.text").cast("string"), F.col("_p.takes")
+    cut = F.when(take < F.col("size"), F.array_join(F.slice(words(text), 1, F.greatest(F.lit(1), take.cast("int"))), " ")).otherwise(text)
+    new = {"text": cut} | ({"n_chars": F.length(cut).cast("long")} if "n_chars" in docs.columns else {})
+    return rows.orderBy("_p.positions").select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))

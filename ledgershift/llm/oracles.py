@@ -18,18 +18,22 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(other) AS component_id FROM n JO
 """
 
 MIXING = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::DOUBLE AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::DOUBLE AS weight FROM s),
 f AS (SELECT *, coalesce(sum(source_size * 2) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
   sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left, sum(source_size) OVER () AS total FROM w WINDOW o AS (ORDER BY source_size / weight, source IS NULL, source)),
 l AS (SELECT *, (total * 1.5::DOUBLE - full_before) / weight_left AS level FROM f),
 t AS (SELECT source, source_size, weight, max(CASE WHEN level * weight <= source_size * 2 THEN level END) OVER () AS level FROM l),
-g AS (SELECT source, source_size, least(source_size * 2, coalesce(level * weight, source_size * 2)) AS target FROM t),
-x AS (SELECT d.doc_id, d.size, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-  (greatest(0, least(size, floor(target) - b)) + greatest(0, least(size, floor(target) - source_size - b)))::BIGINT AS taken FROM x
+g AS (SELECT source, source_size, weight, least(source_size * 2, coalesce(level * weight, source_size * 2)) AS target FROM t),
+x AS (SELECT d.doc_id, d.size, source_size, target, weight, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+y AS (SELECT *, greatest(0, least(size, floor(target) - b)) AS t0, greatest(0, least(size, floor(target) - source_size - b)) AS t1,
+  CASE weight WHEN 3 THEN 1.5 WHEN 1 THEN 0.5 ELSE 1 END::DOUBLE AS p, CASE weight WHEN 3 THEN 0.5 WHEN 1 THEN 1.5 ELSE 1 END::DOUBLE AS q FROM x),
+z AS (SELECT *, CASE WHEN t0 > 0 THEN (b + t0 / 2) / target END AS a0, CASE WHEN t1 > 0 THEN (source_size + b + t1 / 2) / target END AS a1 FROM y)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (t0 + t1)::BIGINT AS taken,
+  CASE WHEN p = q THEN a0 ELSE (sqrt(p * p + (q * q - p * p) * a0) - p) / (q - p) END AS position,
+  CASE WHEN p = q THEN a1 ELSE (sqrt(p * p + (q * q - p * p) * a1) - p) / (q - p) END AS again_position FROM z
 """
 
 SUBSTRINGS = rf"""
