@@ -11,18 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgershift.llm.common import materialize, table
-from ledgershift.llm.importance import resample
+from ledgershift.llm.common import mark, materialize, release, table
+from ledgershift.llm.importance import NEW_COLUMNS, resample
 from ledgershift.llm.mixing import mixed_documents
 from ledgershift.llm.ngram_join import near_duplicates
 from ledgershift.llm.packing import pack_documents
 from ledgershift.llm.queries import TOKENIZER
-from ledgershift.llm.substring_dedup import ingest
+from ledgershift.llm.substring_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps. Empty and null texts have no evidence against them, and stay."""
-    return resample(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that importance resampling draws. Empty and null texts have log ratio 0 and are drawn like any other; repeated rows alike.
+
+    Ties at the limit stay; without labels of both kinds, all stay. Columns of the operator's names are those of docs.
+    """
+    aside = {c: f"__{c}" for c in docs.columns if c.lower() in NEW_COLUMNS}
+    kept = resample(docs.withColumnsRenamed(aside), table(spark, sf_dir, "labels")).where("kept")
+    return kept.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,19 +47,25 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has; one that loses all its words goes. n_chars follows the text."""
-    kept, _ = ingest(docs, keep_texts=True)
-    kept = kept.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the passages that an earlier document has; one that loses all its words goes. n_chars follows the text.
+
+    Null and empty texts stay, as empty ones. Repeated rows of a doc_id lose nothing to each other; rows without a doc_id
+    come after all others. Other columns pass.
+    """
+    kept = remove_repeats(docs, keep_texts=True)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, by training position; a row for each time."""
+    """Documents as often as the mix takes them, by training position; a row for each time.
+
+    Null and empty texts are not taken; a null source is the last one; each repeated row is taken by itself.
+    """
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens; a null or empty text is one token, each repeated row a document."""
     return pack_documents(docs, TOKENIZER, end_id=2)
 
 
@@ -72,7 +83,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each result but the last written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, since, docs)  # what the stage has written besides, and its input
     return STAGES[-1][1](spark, docs, sf_dir)
