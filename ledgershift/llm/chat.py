@@ -9,6 +9,7 @@ Only DataFrame functions. A conversation is one row, as its digest needs; work i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,13 +38,12 @@ def unescape(text: Column) -> Column:
 
 
 def _role(role: Column) -> Column:
-    """A role for the header line: backslash and newline written as two characters, control strings escaped."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    r"""A role for the header line: backslash as \b and newline as \n, so that a backslash is always one of two letters' first; then control strings."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def _role_back(role: Column) -> Column:
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 @dataclass(frozen=True)
@@ -70,17 +70,30 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
-def _paths(name: str, kind: T.DataType) -> list[str]:
-    if isinstance(kind, T.ArrayType):
-        return _paths(f"{name}[]", kind.elementType)
+def _some(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Whether any element of an array passes."""
+    return lambda value: F.coalesce(F.exists(value, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+
+
+def _field(name: str, test: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda value: test(value.getField(name))
+
+
+def _filled(name: str, kind: T.DataType) -> list[tuple[str, Callable[[Column], Column]]]:
+    """(path, test of a value) for the nested field paths of a type. An array none of whose elements holds anything is filled as `name[]`."""
     if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in _paths(f"{name}.{f.name}", f.dataType)]
-    return [name]
+        return [(p, _field(f.name, test)) for f in kind.fields for p, test in _filled(f"{name}.{f.name}", f.dataType)]
+    if isinstance(kind, T.ArrayType):
+        inside = [(p, _some(test)) for p, test in _filled(f"{name}[]", kind.elementType)]
+        none = lambda value: value.isNotNull() & ~F.greatest(F.lit(False), *(test(value) for _, test in inside), F.lit(False))
+        return [*inside, (f"{name}[]", none)] if inside[0][0] != f"{name}[]" else inside
+    return [(name, lambda value: value.isNotNull())]
 
 
 def field_paths(records: DataFrame, skip: tuple[str, ...]) -> Column:
-    """The sorted nested field paths of a row's filled columns, joined by a comma."""
-    filled = [F.when(F.col(f"`{f.name}`").isNotNull(), F.lit(",".join(sorted(_paths(f.name, f.dataType))))) for f in sorted(records.schema.fields, key=lambda f: f.name) if f.name not in skip]
+    """The sorted nested field paths that a row fills, joined by a comma."""
+    every = [(p, test(F.col(f"`{f.name}`"))) for f in records.schema.fields if f.name not in skip for p, test in _filled(f.name, f.dataType)]
+    filled = [F.when(x, F.lit(p)) for p, x in sorted(every, key=lambda p: p[0])]
     return F.array_join(F.array_compact(F.array(*filled)), ",") if filled else F.lit("")
 
 
@@ -95,29 +108,42 @@ def _turn_of(role: str, text: str):
     return turn
 
 
+def _mapping(layout: Layout, kinds: dict[str, T.DataType]) -> tuple[list[str], Column] | None:
+    """Fingerprinted path lists that a layout takes, and its turns; None where the table has no such fields."""
+    if not layout.array:
+        if not set(layout.paths) <= set(kinds) or any(isinstance(kinds[c], (T.ArrayType, T.StructType, T.MapType)) for c in layout.paths):
+            return None
+        return [",".join(layout.paths)], F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"`{c}`").cast("string").alias("text")) for r, c in layout.turns))
+    kind = kinds.get(layout.array)
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType) or not set(layout.fields) <= set(kind.elementType.fieldNames()):
+        return None
+    return [",".join(layout.paths), *layout.paths, f"{layout.array}[]"], F.transform(F.col(layout.array), _turn_of(*layout.fields))
+
+
 def canonical_turns(records: DataFrame, key: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """records(key, columns of any layouts) -> key, fingerprint long, turns array<struct<role, text>>; null turns where no mapping fits.
 
-    A column counts as filled if it is not null. Null roles and texts inside a filled array are empty; `keep` names
-    columns that are no part of a layout. Repeated rows give repeated results; an empty array gives no turn.
+    A nested field counts as filled if any value of it is not null. Roles or texts that are null in an array, some or
+    all, are empty; an empty array gives no turn. `keep` names columns that are no part of a layout; of the name
+    fingerprint or turns, they are replaced. A column of a layout's name but another type fits no mapping. Repeated rows
+    give repeated results.
     """
-    have = {f.name for f in records.schema.fields}
+    keep = tuple(c for c in keep if c not in ("fingerprint", "turns"))
+    kinds = {f.name: f.dataType for f in records.schema.fields}
+    own = F.xxhash64(field_paths(records, (key, *keep)))
     known = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for layout in layouts:
-        top = {p.split("[")[0].split(".")[0] for p in layout.paths}
-        if not top <= have:
-            continue
-        if layout.array:
-            turns = F.transform(F.col(layout.array), _turn_of(*layout.fields))
-        else:
-            turns = F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).cast("string").alias("text")) for r, c in layout.turns))
-        known = F.when(F.col("fingerprint") == F.xxhash64(F.lit(",".join(layout.paths))), turns).otherwise(known)
-    rows = records.withColumn("fingerprint", F.xxhash64(field_paths(records, (key, *keep))))
-    return rows.select(key, *keep, "fingerprint", known.alias("turns"))
+    for found in (_mapping(x, kinds) for x in layouts):
+        if found:
+            known = F.when(own.isin(*(F.xxhash64(F.lit(p)) for p in found[0])), found[1]).otherwise(known)
+    return records.select(key, *keep, own.alias("fingerprint"), known.alias("turns"))
 
 
 def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """turns(key, turns) -> key, formatted string, loss_mask array<struct<skip, keep, rest>> (characters, one entry a turn); null turns: no turn."""
+    """turns(key, turns) -> key, formatted string, loss_mask array<struct<skip, keep, rest>> (characters, one entry a turn).
+
+    Null turns: no turn, an empty text. Empty texts and roles are turns. Repeated rows give repeated results; a null key
+    stays null. Other columns are not read.
+    """
     marked = F.transform(F.coalesce("turns", F.array().cast("array<struct<role:string,text:string>>")), lambda t: F.struct(F.concat(F.lit(OPEN), _role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
     rows = turns.select(key, marked.alias("m"))
     size = len(CLOSE)
@@ -126,7 +152,10 @@ def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def read_back(chats: DataFrame, key: str = "conv_id") -> DataFrame:
-    """formatted and loss_mask -> key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """formatted and loss_mask -> key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    An empty text has no turn, and the digests of nothing. Repeated rows give repeated results. Other columns are not read.
+    """
     pieces = F.split("formatted", _java(CLOSE))
     rows = chats.select(key, F.length("formatted").cast("long").alias("formatted_chars"), F.slice(pieces, 1, F.size(pieces) - 1).alias("p"), "loss_mask")
     # a header is one line: what follows it is the text

@@ -34,6 +34,8 @@ LABELLED = 20_000
 #: Noise in units of the mean log ratio, standard errors added to the budget, and the weight of a bucket's prior in n-grams.
 TEMPERATURE, ERRORS, PRIOR = 0.05, 2.0, 10.0
 _RANGES, _TASKS = 64, 512
+#: What resample() adds to its input's columns.
+NEW_COLUMNS = ("log_ratio", "sampling_key", "kept")
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 57, 88, 120, 111
@@ -173,9 +175,8 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
     empty results; without labels of both kinds all is kept. Other columns pass through; columns named like the three
     new ones are replaced.
     """
-    new = ("log_ratio", "sampling_key", "kept")
     model = fit(docs, labels, most)
-    own = [c for c in columns or docs.columns if c.lower() not in new]
+    own = [c for c in columns or docs.columns if c.lower() not in NEW_COLUMNS]
     texts = docs.select(*dict.fromkeys([*own, "doc_id", "text"])).withColumn("text", F.col("text").cast("string"))
     key = F.col("log_ratio") + F.lit(temperature) * _noise(F.coalesce(F.col("doc_id"), F.lit(-1)), seed)
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bucket_count, materialize, pack, ship, unpack
+from .common import NULL_ID, bucket_count, join_hot, materialize, pack, ship, unpack
 from .graph import components, roots
 from .kernels import blocks, grams, hash_words, mix, text_buffer
 
@@ -335,8 +335,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, bucket
     else:
         links, label = _spanning_links(member, sized, percent, block)
     of = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("low")).join(label.withColumnRenamed("v", "s1"), "s1", "left")
-    of = of.select("s1", "s2", "low", F.coalesce("c", "s1").alias("c"))
-    of = of.join(of.groupBy("c").agg(F.min("low").alias("component_id")), "c")
+    of = materialize(of.select("s1", "s2", "low", F.coalesce("c", "s1").alias("c")), "set-components")
+    of = join_hot(of, of.groupBy("c").agg(F.min("low").alias("component_id")), "c")
     if counts:
         of = of.join(degree, "s1", "left")
     of = materialize(of.select("s1", "s2", "component_id", *(["n_links"] if counts else [])), "class-components")

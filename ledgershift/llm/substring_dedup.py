@@ -17,23 +17,24 @@ The text is shuffled once by doc_id, to meet its answers; both joins that need i
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import partial
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NULL_ID, bucket_count, materialize, pack, scratch_dir, ship, unpack
+from .common import NULL_ID, bucket_count, materialize, pack, scratch_path, ship, unpack
 from .kernels import Words, blocks, grams, hash_words, mix, text_buffer
 
 WINDOW = 50
 GRAM = 25
-#: Batches in which a whole table is ingested, by ascending doc_id.
-BATCHES = 4
+#: Increments in which a whole table is ingested, each through the written index of the ones before, and batches of an increment; both by ascending doc_id.
+INCREMENTS, BATCHES = 2, 2
 
 _SENT = pa.schema([("key", pa.int64()), ("data", pa.binary())])
 _TOLD = pa.schema([("doc_id", pa.int64()), ("code", pa.int64()), ("full", pa.bool_()), ("bucket", pa.int64()), ("run", pa.binary())])
@@ -82,8 +83,9 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """A block's entries by bucket, the smallest doc_id for each (f, c); the other ones are duplicates here and now."""
-    for block in blocks(batches, size=4 << 20):
+    """A block's entries by bucket, the smallest doc_id for each (f, c); the other ones are duplicates here and now (a key of the block's own, below 0)."""
+    part = TaskContext.get().partitionId()
+    for seq, block in enumerate(blocks(batches, size=4 << 20)):
         ids = block.column("doc_id").to_numpy()
         _, text, window, f = _windows(hash_words(*text_buffer(block.column("text"))))
         t, f, c, _ = _entries(text, window, f)
@@ -92,7 +94,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         doc, f, c = doc[order], f[order], c[order]
         least = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(doc)))) if len(doc) else doc
         late = doc > least
-        keys, data = [-1], [pack(doc[late].astype("<i8"), _code(f[late], c[late]).astype("<i8"))]
+        keys, data = [-1 - (part << 32 | seq)], [pack(doc[late].astype("<i8"), _code(f[late], c[late]).astype("<i8"))]
         doc, f, c = doc[new], f[new], c[new]
         cut = np.searchsorted(f >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         for p in range(1 << bits):
@@ -100,26 +102,49 @@ def _anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
             if a < b:
                 keys.append(p)
                 data.append(pack(f[a:b], c[a:b], doc[a:b].astype("<i8")))
-        keys[0] = -1 - int(f[0] >> np.uint64(24)) % (1 << 40) if len(f) else -1
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], schema=_SENT)
 
 
+def _place(run: list[np.ndarray], f: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ascending (f, c): the place of each in the sorted run, and whether it is there. One fingerprint's contexts are halved until found."""
+    low, high = np.searchsorted(run[0], f, "left"), np.searchsorted(run[0], f, "right")
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        less = open_ & (run[1][np.minimum(middle, len(run[1]) - 1)] < c)
+        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    there = low < len(run[0])
+    there[there] = (run[0][low[there]] == f[there]) & (run[1][low[there]] == c[there])
+    return low, there
+
+
 def _merge(run: list[np.ndarray], new: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Merge-join a sorted batch with a sorted run: the compacted run; (doc, code) of whole duplicates; (doc, code) to verify."""
-    f, c, doc = (np.concatenate(x) for x in zip(run, new, strict=True))
-    fresh = np.arange(len(f)) >= len(run[0])
-    order, first = _first_of(doc, c, f)  # two sorted runs: the stable sort merges them
-    f, c, doc, fresh = f[order], c[order], doc[order], fresh[order]
+    """Merge-join a sorted batch with a sorted run: the compacted run; (doc, code) of whole duplicates; (doc, code) to verify.
+
+    Linear in both: the run is not sorted again, new entries are put in their places. To verify are all entries of a
+    fingerprint with several contexts, one of which is new or has an earlier document now.
+    """
+    f, c, doc = new
+    first = np.ones(len(f), bool)
+    first[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
     group = np.cumsum(first) - 1
-    least = doc[first][group]
-    late = doc > least
-    kept = [x[first] for x in (f, c, doc)]
+    uf, uc, least = f[first], c[first], doc[first]
+    at, there = _place(run, uf, uc)
+    known = run[2].copy()
+    before = least.copy()
+    before[there] = known[at[there]]
+    changed = ~there | (least < before)
+    least = np.minimum(least, before)
+    known[at[there]] = least[there]
+    late = doc > least[group]
+    fresh = ~there
+    kept = [np.insert(x, at[fresh], y[fresh]) for x, y in zip((run[0], run[1], known), (uf, uc, least), strict=True)]
     of_f = np.ones(len(kept[0]), bool)
     of_f[1:] = kept[0][1:] != kept[0][:-1]
-    family = np.cumsum(of_f) - 1
-    contexts = np.bincount(family)
-    touched = np.bincount(family, weights=np.bincount(group, weights=fresh)) > 0
-    open_ = (contexts > 1)[family] & touched[family]
+    start = np.flatnonzero(of_f)
+    contexts = np.diff(np.append(start, len(of_f)))
+    touched = np.zeros(len(start), bool)
+    touched[np.searchsorted(kept[0][start], uf[changed])] = True
+    open_ = np.repeat(touched & (contexts > 1), contexts)
     return kept, [doc[late], _code(f[late], c[late])], [kept[2][open_], _code(kept[0][open_], kept[1][open_])]
 
 
@@ -193,7 +218,8 @@ def _window_code(window: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 def _to_verify(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Windows of entries to verify, by bucket, each once a block with the smallest doc_id; later ones are duplicates here and now."""
-    for block in blocks(batches, size=4 << 20):
+    part = TaskContext.get().partitionId()
+    for seq, block in enumerate(blocks(batches, size=4 << 20)):
         ids = block.column("doc_id").to_numpy()
         _, text, window, f = _windows(hash_words(*text_buffer(block.column("text"))))
         t, g, c, of = _entries(text, window, f)
@@ -204,7 +230,7 @@ def _to_verify(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
         w, v, doc = w[order], v[order], doc[order]
         least = np.repeat(doc[new], np.diff(np.append(np.flatnonzero(new), len(doc)))) if len(doc) else doc
         late = doc > least
-        keys, data = [-1], [pack(doc[late].astype("<i8"), _window_code(w[late], v[late]).astype("<i8"))]
+        keys, data = [-1 - (part << 32 | seq)], [pack(doc[late].astype("<i8"), _window_code(w[late], v[late]).astype("<i8"))]
         w, v, doc = w[new], v[new], doc[new]
         cut = np.searchsorted(w >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         for p in range(1 << bits):
@@ -212,7 +238,6 @@ def _to_verify(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
             if a < b:
                 keys.append(p)
                 data.append(pack(w[a:b], mix(v[a:b]).astype("<u4"), doc[a:b].astype("<i8"), _window_code(w[a:b], v[a:b]).astype("<i8")))
-        keys[0] = -1 - int(w[0] >> np.uint64(24)) % (1 << 40) if len(w) else -1
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], schema=_SENT)
 
 
@@ -231,10 +256,10 @@ def _verified(rows: pa.Table) -> pa.Table:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], texts: bool) -> Iterator[pa.RecordBatch]:
-    """Words removed and kept; only texts with answers are hashed again."""
+    """Words removed and kept; only texts with answers are hashed again. With texts, columns `names` of documents that keep a word or had none."""
     for block in blocks(batches, size=2 << 20):
-        full, full_row = _ragged(block.column("full"))
-        dup, dup_row = _ragged(block.column("windows"))
+        full, full_row = _ragged(block.column("__full"))
+        dup, dup_row = _ragged(block.column("__windows"))
         some = np.unique(np.concatenate((full_row, dup_row)))
         data, offsets = text_buffer(block.column("text"))
         raw = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -257,12 +282,14 @@ def _cut(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], texts: bool)
                 if removed[i]:
                     split[i] = list(compress(split[i], mine.tolist()))
         kept = [b" ".join(x) for x in split]
-        own = [block.column(c) for c in names]
         if texts:
-            kept = [k if r else x for k, r, x in zip(kept, removed.tolist(), raw, strict=True)]
-            own[names.index("text")] = pa.array([x.decode() for x in kept], pa.string())
-        more = [pa.array(n), pa.array(removed), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-        yield pa.RecordBatch.from_arrays([*own, *more], names=[*names, "n_words", "n_removed", "kept_sha256"])
+            own = {c: block.column(c) for c in names}
+            own["text"] = pa.array([(k if r else x).decode() for k, r, x in zip(kept, removed.tolist(), raw, strict=True)], pa.string())
+            out = pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+            yield out.filter(pa.array((removed == 0) | (removed < n)))
+        else:
+            digests = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n), pa.array(removed), digests], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame | None = None, batches: int = BATCHES, buckets: int | None = None, keep_texts: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -270,24 +297,23 @@ def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame |
 
     index: the second value of an earlier call, with the bits of its bucket numbers; buckets are not fewer than its own,
     unless given, and runs of another bucket number are dealt again by their fingerprints; history: the (doc_id, text) that it covers.
-    result: docs' doc_id, n_words, n_removed, kept_sha256; with keep_texts docs' columns instead, text holding the kept words.
+    result: docs' doc_id, n_words, n_removed, kept_sha256; with keep_texts docs' columns instead, text holding the kept
+    words, without documents that lose every word.
     A word goes if a window over it starts in a document of a smaller doc_id, in docs or history, on input texts.
     Null, empty and short texts (under 50 words) lose nothing. Repeated rows with one doc_id are one document, and lose
-    nothing to each other. Null doc_ids come after all and do not precede each other. Other columns pass or are not read.
+    nothing to each other. Null doc_ids come after all and do not precede each other. Columns of any other name pass
+    with keep_texts, and are not read without. Empty tables give empty results.
     """
     ship(docs.sparkSession)
     had = [r.bits for r in index.select("bits").distinct().collect()] if index is not None else []
     bits = buckets.bit_length() - 1 if buckets else max([bucket_count(docs).bit_length() - 1, *had])
-    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    columns = tuple(docs.columns) if keep_texts else ("doc_id", "text")
     no_null = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
 
     def plain(df: DataFrame) -> DataFrame:
         return df.select(no_null, text)
 
-    at = [k / batches for k in range(1, batches)]
-    bounds = tuple(sorted(plain(docs).agg(F.percentile_approx("doc_id", at).alias("q")).first()["q"] or ())) if at else ()
+    bounds = _quantiles(docs, batches)
     sent = plain(docs).mapInArrow(partial(_anchors, bits=bits), "key long, data binary")
     if index is not None:
         runs = index.where(F.col("bits") == bits).select(F.col("bucket").alias("key"), F.col("run").alias("data"))
@@ -302,24 +328,49 @@ def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame |
     answers = answers.withColumn("check", F.array_except("check", "full"))
     answers = materialize(answers, "fingerprint-answers")
     corpus = plain(docs) if history is None else plain(docs).unionByName(plain(history))
-    check = answers.where(F.size("check") > 0).select(F.col("doc_id").alias("_id"), "check")
-    asked = corpus.join(check, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "check")
+    check = answers.where(F.size("check") > 0).select(F.col("doc_id").alias("__doc"), "check")
+    asked = corpus.join(check, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "check")
     found = asked.mapInArrow(partial(_to_verify, bits=bits), "key long, data binary").groupBy("key").applyInArrow(lambda x: _verified(x), "doc_id long, code long")
     found = found.groupBy("doc_id").agg(F.collect_set("code").alias("windows"))
-    both = answers.select("doc_id", "full").join(found, "doc_id", "full").select(F.col("doc_id").alias("_id"), "full", "windows")
-    rows = docs.withColumns({"doc_id": no_null, "text": text}).select(*columns).join(both, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    ddl = ", ".join([*(f"`{c}` {'long' if c == 'doc_id' else 'string' if c == 'text' else kind[c]}" for c in columns), "n_words long, n_removed long, kept_sha256 string"])
-    out = rows.mapInArrow(partial(_cut, names=columns, texts=keep_texts), ddl).withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
-    return (out if keep_texts else out.drop("text")), grown
+    both = answers.select("doc_id", "full").join(found, "doc_id", "full").select(F.col("doc_id").alias("__doc"), F.col("full").alias("__full"), F.col("windows").alias("__windows"))
+    columns = tuple(docs.columns) if keep_texts else ("doc_id", "text")
+    rows = docs.withColumns({"doc_id": no_null, "text": text}).select(*(f"`{c}`" for c in columns))
+    rows = rows.join(both, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    kinds = {"doc_id": T.LongType(), "text": T.StringType()}
+    if keep_texts:
+        schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in docs.schema.fields])
+    else:
+        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    out = rows.mapInArrow(partial(_cut, names=columns, texts=keep_texts), schema)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID))), grown
+
+
+def _quantiles(docs: DataFrame, parts: int) -> tuple[int, ...]:
+    """Ascending doc_ids that cut docs in about equal parts; fewer where they coincide."""
+    at = [k / parts for k in range(1, parts)]
+    return tuple(sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), at).alias("q")).first()["q"] or ()))) if at else ()
 
 
-def write_index(index: DataFrame, name: str | None = None) -> DataFrame:
-    """The index as files sorted by bucket in the shared folder, for the next increment."""
-    path = f"{scratch_dir(index.sparkSession)}/ledgershift/{name or 'index-' + uuid.uuid4().hex}"
+def write_index(index: DataFrame, path: str | None = None) -> DataFrame:
+    """The index as files sorted by bucket, in the shared folder unless a path is given, for the next increment."""
+    path = path or scratch_path(index.sparkSession, "index")
     index.sortWithinPartitions("bucket").write.option("compression", "zstd").parquet(path)
     return index.sparkSession.read.schema(index.schema).parquet(path)
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row of docs, deduplicated against itself; see ingest()."""
-    return ingest(docs, batches=batches)[0]
+def remove_repeats(docs: DataFrame, increments: int = INCREMENTS, batches: int = BATCHES, keep_texts: bool = False) -> DataFrame:
+    """Each row of docs deduplicated against all docs, as ingest() returns it; see there.
+
+    docs come in increments by ascending doc_id. Each is merge-joined with the index of those before it, which is
+    written and read back in between.
+    """
+    cuts = _quantiles(docs, increments)
+    doc_id = F.col("doc_id").cast("long")
+    index, out = None, None
+    for k in range(len(cuts) + 1):
+        later = F.lit(True) if k == 0 else doc_id.isNull() | (doc_id > cuts[k - 1])
+        some = docs.where(later & (doc_id <= cuts[k])) if k < len(cuts) else docs.where(later)
+        result, grown = ingest(some, index, docs.where(doc_id <= cuts[k - 1]) if k else None, batches, keep_texts=keep_texts)
+        out = result if out is None else out.unionByName(result)
+        index = write_index(grown) if k < len(cuts) else None
+    return out

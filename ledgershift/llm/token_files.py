@@ -7,7 +7,6 @@ Positions (`start`) come from the files' own counts: a running sum in each part,
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_splits, scratch_dir, ship
+from .common import n_splits, scratch_path, ship
 from .token_ids import encode_column
 
 #: Bytes of a row group and of a page; rows a page at most.
@@ -93,7 +92,7 @@ def token_digests(docs: DataFrame, path: str, end_id: int = 1, out: str | None =
     each, ties in doc_id go by text. Other columns are not read. An empty table gives no row.
     """
     spark = docs.sparkSession
-    out = out or f"{scratch_dir(spark)}/ledgershift/tokens-{uuid.uuid4().hex}"
+    out = out or scratch_path(spark, "tokens")
     write_tokens(docs, out, path, end_id)
     rows = _parquet(spark, out)
     read = rows.select("doc_id", "part", "part_start", "tokens").mapInArrow(_digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
