@@ -7,8 +7,8 @@ Positions: source s has a weight schedule that falls or rises in a line from a t
 cumulative demand, and the inverse of that gives the time at which a word of the stream is due. Documents are sorted by
 that position with a range partitioning.
 
-Scale: running sums are in two levels, hash buckets of a source and documents in a bucket, so a source of a third of all
-rows is spread over tens of thousands of keys. Rows carry their columns through the running sum, so repeated rows have
+Scale: running sums are in three levels, parts of a source, their hash buckets, and documents in a bucket, so a source of
+a third of all rows is spread over tens of thousands of keys, and no window holds more than 256 sums. Rows carry their columns through the running sum, so repeated rows have
 places of their own and nothing is joined back. Rows without a position are sorted by a hash behind those with one.
 """
 
@@ -56,8 +56,12 @@ def _plan(docs: DataFrame, weights, share: float, most: int, schedules) -> DataF
     rows = rows.withColumn("bucket", F.substring("h", 1, 4))
     sums = materialize(rows.groupBy("skey", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
     targets = materialize(source_targets(sums, weights, share, most), "mix-targets")
-    before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("skey", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("bucket_before"))
+    sums = sums.withColumn("part", F.substring("bucket", 1, 2))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.groupBy("skey", "part").agg(F.sum("size").alias("size"))
+    parts = parts.select("skey", "part", F.coalesce(F.sum("size").over(before("skey", "part")), F.lit(0)).alias("part_before"))
+    sums = sums.withColumn("in_part", F.coalesce(F.sum("size").over(before("skey", "part", "bucket")), F.lit(0)))
+    sums = sums.join(parts, ["skey", "part"]).select("skey", "bucket", (F.col("part_before") + F.col("in_part")).alias("bucket_before"))
     within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(sums, ["skey", "bucket"]).join(F.broadcast(targets) if _few(targets) else targets, "skey")
