@@ -34,8 +34,43 @@ STOP_WORDS = (
 # Objects too general to tell two processes apart.
 GENERAL_OBJECTS = ("систем", "работ", "процесс", "план", "результат", "информац", "организ")
 
+# Words without weight when passages are looked up.
+RETRIEVAL_STOP_WORDS = (
+    "которые который которая настоящего положения общества осуществляет осуществляют подразделения подразделение работники работников "
+    "соответствии целях также является должны должен имеет права функции работа работы"
+).split()
+# Verb forms (third person) that make a clause a duty, and words of obligation, right and prohibition.
+FINITE_FORMS = (
+    "осуществля(?:ет|ют)", "обеспечива(?:ет|ют)", "провод(?:ит|ят)", "контролиру(?:ет|ют)", "проверя(?:ет|ют)", "разрабатыва(?:ет|ют)",
+    "согласовыва(?:ет|ют)", "утвержда(?:ет|ют)", "вед[её]т", "ведут", "организу(?:ет|ют)", "отвеча(?:ет|ют)", "формиру(?:ет|ют)",
+    "оценива(?:ет|ют)", "подготавлива(?:ет|ют)", "готов(?:ит|ят)", "выполня(?:ет|ют)", "координиру(?:ет|ют)", "взаимодейству(?:ет|ют)",
+    "анализиру(?:ет|ют)", "представля(?:ет|ют)", "запрашива(?:ет|ют)", "вынос(?:ит|ят)", "участву(?:ет|ют)", "консолидиру(?:ет|ют)",
+    "актуализиру(?:ет|ют)", "консультиру(?:ет|ют)", "иницииру(?:ет|ют)", "соблюда(?:ет|ют)", "хран(?:ит|ят)",
+)
+MODAL_FORMS = ("не\\s+име(?:ет|ют)\\s+прав[ао]", "име(?:ет|ют)\\s+право", "обязан[аы]?", "долж(?:ен|ны|на)", "вправе", "запрещено")
+# Words that begin a unit's name, and phrases that open a list of units.
+UNIT_WORDS = ("департамент", "отдел", "управление", "служба", "сектор", "центр", "бюро", "блок", "комитет")
+STRUCTURE_PHRASES = ("состоит\\s+из", "следующ\\w*\\s+структурн\\w*\\s+подразделени", "в\\s+структуру.+вход", "структура.+включа")
+# Duties too general to be told apart.
+GENERIC_DUTIES = (
+    "прочих поручени", "организу\\w* работу (?:днм|дккм|департамент|отдел|центр)", "повышени\\w* профессионального уровня",
+    "по всему кругу вопросов", "участву\\w* в разработке (?:внд|проектов документации)",
+)
+# How a norm form abbreviates, what a text says of norms and of roles.
+LONG_NAMES = (("проект(?:ов|ы)? документации,? регламентирующей работу бва", "внд бва"), ("внутренних нормативных документов", "внд"))
+PROHIBITION, RIGHT, DUTY = r"не\s+име(?:ет|ют)\s+прав|запрещ", r"име(?:ет|ют)\s+право|\bвправе\b", r"\bобязан[аы]?\b|\bдолж(?:ен|на|ны)\b"
+FIRST_WORDS = (
+    ("agree", r"обсуждени\w* и согласовани"), ("control", r"(?:провер|контрол|оценив|оценк|аудит|мониторинг)|(?:провод|провед)\w*\s+(?:аудит|провер|оценк)"),
+    ("approve", "утвержд"), ("agree", "соглас"), ("participate", "участ|содейств"), ("coordinate", "организ|координир|руковод"),
+)
+# Wording that claims a cause, and the characters that Markdown reads as marks.
+CAUSAL = r"(?iU)привел[оаи]?\s+к|вызвал[оаи]?|благодаря"
+MARKDOWN_MARKS = "\\`*_[]#|!"
+
 NUMBERING = r"^\s*(\d+(?:\.\d+)*)(?:\.|\))?\s*"
 LETTERING = r"(?iu)^\s*([а-яa-z])[.)]\s+"
+FINITE = r"(?iU)\b(?:" + "|".join(FINITE_FORMS) + r")\b"
+MODAL = r"(?iU)\b(?:" + "|".join(MODAL_FORMS) + r")\b"
 ACTION = r"(?iU)\b(?:" + "|".join(ACTION_ROOTS) + r")[а-яё]*\b"
 
 
@@ -58,8 +93,8 @@ def body(text: Column) -> Column:
 def norm(text: Column) -> Column:
     """Lower case, ё as е, two long names abbreviated, only words of letters and digits."""
     t = F.regexp_replace(F.lower(text), "ё", "е")
-    t = F.regexp_replace(t, "проект(?:ов|ы)? документации,? регламентирующей работу бва", "внд бва")
-    t = F.regexp_replace(t, "внутренних нормативных документов", "внд")
+    for long, short in LONG_NAMES:
+        t = F.regexp_replace(t, long, short)
     return F.array_join(F.regexp_extract_all(t, F.lit("[а-яa-z0-9]+"), 0), " ")
 
 
@@ -86,35 +121,74 @@ def actions(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda w: stem(F.regexp_replace(F.lower(w), "ё", "е"))))
 
 
+def before(text: Column, pattern: str) -> Column:
+    """How many characters stand before the first match of pattern; null without one."""
+    return F.when(text.rlike(pattern), F.length(F.regexp_extract(text, rf"(?s)\A(.*?)(?:{pattern})", 1)))
+
+
 def first_action(text: Column) -> Column:
     """struct(at, stem) of the first action word; at counts characters before it, null without one."""
     word = F.nullif(F.regexp_extract(text, ACTION, 0), F.lit(""))
-    return F.struct((F.instr(text, word) - 1).alias("at"), stem(F.regexp_replace(F.lower(word), "ё", "е")).alias("stem"))
+    return F.struct(before(text, ACTION).alias("at"), stem(F.regexp_replace(F.lower(word), "ё", "е")).alias("stem"))
 
 
 def norm_type(text: Column, inherited: Column) -> Column:
     """prohibition, right, duty, or what the context gives."""
-    head = F.coalesce(F.nullif(F.regexp_extract(text, rf"(?s)^(.*?)(?:{ACTION})", 1), F.lit("")), F.when(~text.rlike(ACTION), text), F.lit(""))
+    head = F.coalesce(F.substr(text, F.lit(1), before(text, ACTION)), text)
     return (
-        F.when(text.rlike(r"(?iU)не\s+име(?:ет|ют)\s+прав|запрещ|\bне\s+(?:" + "|".join(ACTION_ROOTS) + ")"), "prohibition")
-        .when(text.rlike(r"(?iU)име(?:ет|ют)\s+право|\bвправе\b"), "right")
-        .when(head.rlike(r"(?iU)\bобязан[аы]?\b|\bдолж(?:ен|на|ны)\b"), "duty")
+        F.when(text.rlike(rf"(?iU){PROHIBITION}|\bне\s+(?:" + "|".join(ACTION_ROOTS) + ")"), "prohibition")
+        .when(text.rlike(rf"(?iU){RIGHT}"), "right")
+        .when(head.rlike(rf"(?iU){DUTY}"), "duty")
         .otherwise(inherited)
     )
 
 
 def role(text: Column) -> Column:
     """What an owner does with the object, by the first words."""
-    t = norm(body(text))
-    return (
-        F.when(t.rlike(r"(?U)^обсуждени\w* и согласовани"), "agree")
-        .when(t.rlike(r"(?U)^(?:(?:провер|контрол|оценив|оценк|аудит|мониторинг)|(?:провод|провед)\w*\s+(?:аудит|провер|оценк))"), "control")
-        .when(t.rlike("^утвержд"), "approve")
-        .when(t.rlike("^соглас"), "agree")
-        .when(t.rlike("^(?:участ|содейств)"), "participate")
-        .when(t.rlike("^(?:организ|координир|руковод)"), "coordinate")
-        .otherwise("execute")
-    )
+    t, out = norm(body(text)), F.when(F.lit(False), "")
+    for name, words in FIRST_WORDS:
+        out = out.when(t.rlike(rf"(?U)\A(?:{words})"), name)
+    return out.otherwise("execute")
+
+
+def stems(text: Column) -> Column:
+    """The stems of all words in order, with a space before, between and after: a phrase is in a text if its stems are."""
+    return F.concat(F.lit(" "), F.array_join(F.transform(F.split(norm(text), " "), stem), " "), F.lit(" "))
+
+
+def unit_name(text: Column) -> Column:
+    """A unit's name as a heading or a clause gives it: up to a bracket, a stop, a dash or the predicate."""
+    t = F.get(F.split(text, r"\(|[;:.]|\s+[—–]\s"), 0)
+    t = F.substr(t, F.lit(1), F.coalesce(before(t, FINITE), before(t, MODAL), F.length(t)))
+    t = F.regexp_replace(t, r"(?iU)\s+не\s*$", "")
+    return F.regexp_replace(F.regexp_replace(t, r"^[ ,.\-–—]+|[ ,.\-–—]+$", ""), r"(?U)\s+", " ")
+
+
+def split_actions(text: Column) -> Column:
+    """Coordinated predicates apart: at semicolons, and before each verb form but a part's first that a comma or "и" connects."""
+    cut = "\x01"
+    connected = rf"(?iU)((?:,\s*|\s+и\s+))(?={FINITE.removeprefix('(?iU)')})"
+
+    def of(part: Column) -> Column:
+        pieces = F.split(F.regexp_replace(part, connected, f"{cut}$1"), cut)
+        first = F.when(F.get(pieces, 0).rlike(FINITE), pieces)
+        joined = F.concat(F.array(F.concat(F.get(pieces, 0), F.coalesce(F.get(pieces, 1), F.lit("")))), F.slice(pieces, 3, F.greatest(F.size(pieces) - 2, F.lit(0))))
+        out = F.coalesce(first, F.when(F.size(pieces) > 1, joined), pieces)
+        return F.transform(out, lambda x, i: F.regexp_replace(F.when(i > 0, F.regexp_replace(x, r"^(?:,\s*|\s+и\s+)", "")).otherwise(x), r"^[ ,;]+|[ ,;]+$", ""))
+
+    return F.filter(F.flatten(F.transform(F.split(text, r";\s*"), of)), lambda x: x != "")
+
+
+def is_generic(text: Column) -> Column:
+    """Whether a duty is too general for two owners of it to be told apart."""
+    return norm(text).rlike("(?U)" + "|".join(GENERIC_DUTIES))
+
+
+def possible_abbreviation(old: Column, new: Column, old_tokens: Column, new_tokens: Column) -> Column:
+    """Whether the new wording is a short form of the old one: one first action, two to four tokens, three quarters of them shared."""
+    a, b = first_action(old)["stem"], first_action(new)["stem"]
+    n = F.size(new_tokens)
+    return F.coalesce((a == b) & n.between(2, 4) & (F.size(old_tokens) > n) & (F.size(F.array_intersect(old_tokens, new_tokens)) >= 0.75 * n), F.lit(False))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -148,12 +222,26 @@ def label_key(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), 0), " ")
 
 
-def retrieval_tokens(text: Column) -> Column:
-    """Words of four letters or more, cut to nine, as a sorted set."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]{4,}"), 0)
-    return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.substring(w, 1, 9))))
+def retrieval_tokens(text: Column, letters: str = "а-яёa-z") -> Column:
+    """Words of four letters or more without stop words, cut to nine, as a sorted set."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"[{letters}]{{4,}}"), 0)
+    kept = F.filter(found, lambda w: ~w.isin(*RETRIEVAL_STOP_WORDS))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, 9))))
 
 
 def markdown_safe(text: Column) -> Column:
-    """Control characters dropped, marks of Markdown escaped."""
-    return F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), r"([\\`*_{}\[\]<>#|])", r"\\$1")
+    """Control characters dropped, marks of Markdown escaped, angle brackets and ampersands as entities."""
+    t = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        t = F.replace(t, F.lit(char), F.lit(entity))
+    return F.regexp_replace(t, "([" + "".join("\\" + c for c in MARKDOWN_MARKS) + "])", r"\\$1")
+
+
+def clip(text: Column, size: int) -> Column:
+    """At most size characters, the last three of a longer text as dots."""
+    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size - 3), F.lit("...")))
+
+
+def plain_text_ok(text: Column, most: int = 3000) -> Column:
+    """Whether a model's wording can be shown: not blank, not too long, no claim of a cause."""
+    return F.coalesce((F.trim(text) != "") & (F.length(text) <= most) & ~text.rlike(CAUSAL), F.lit(False))

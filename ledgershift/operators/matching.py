@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import GENERAL_OBJECTS, actions, body, first_action, jaccard, norm, similarity, tokens
+from ..session import materialize, ship
 
 JOIN_NEW, JOIN_OLD, PLAUSIBLE = 0.88, 0.78, 0.56
 
 
 def prepared(assignments: DataFrame) -> DataFrame:
-    """assignments with n (normal form), t (tokens), a (action stems), f (first action)."""
+    """assignments with n (normal form), t (tokens), a (action stems), f (first action); a written table, as stems are long expressions."""
+    ship(assignments.sparkSession)
     plain = body(F.col("text"))
-    return assignments.withColumns({"n": norm(plain), "t": tokens(plain), "a": actions(F.col("text")), "f": first_action(F.col("text"))})
+    return materialize(assignments.withColumns({"n": norm(plain), "t": tokens(plain), "a": actions(F.col("text")), "f": first_action(F.col("text"))}), "assignments")
 
 
 def edges(rows: DataFrame, least: float = PLAUSIBLE) -> DataFrame:
@@ -33,17 +35,28 @@ def edges(rows: DataFrame, least: float = PLAUSIBLE) -> DataFrame:
     pair = pair.groupBy(F.col("a.fn_ord").alias("a_ord"), F.col("b.fn_ord").alias("b_ord")).agg(F.count("*").alias("common"))
     same = rows.alias("a").join(rows.alias("b"), ["norm_type", "role", "n"]).where("a.fn_ord > b.fn_ord").select(F.col("a.fn_ord").alias("a_ord"), F.col("b.fn_ord").alias("b_ord"), F.lit(None).cast("long").alias("common"))
     pair = pair.unionByName(same).groupBy("a_ord", "b_ord").agg(F.max("common").alias("common"), F.bool_or(F.col("common").isNull()).alias("same"))
-    side = lambda p: rows.select(F.col("fn_ord").alias(f"{p}_ord"), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "t", "a", "f")))
-    full = pair.join(side("a"), "a_ord").join(side("b"), "b_ord")
+    full = pair.join(side(rows, "a"), "a_ord").join(side(rows, "b"), "b_ord")
     full = full.where(F.col("same") | (jaccard(F.col("a_t"), F.col("b_t")) >= bound - 1e-9))
-    s = similarity(F.col("a_n"), F.col("b_n"), F.col("a_t"), F.col("b_t"))
-    full = full.withColumn("s", s)
-    least_size, most_size = F.least(F.size("a_t"), F.size("b_t")), F.greatest(F.size("a_t"), F.size("b_t"))
-    bump = (least_size >= 5) & (least_size / most_size >= 0.45) & (F.size(F.array_intersect("a_t", "b_t")) / least_size >= 0.96)
-    both = (F.col("a_f.at") < 12) & (F.col("b_f.at") < 12)
-    allowed = F.coalesce(~both | (F.col("a_f.stem") == F.col("b_f.stem")) | (F.arrays_overlap("a_a", "b_a") & (F.col("s") >= 0.70)), F.lit(True))
-    full = full.where(allowed).withColumn("s", F.when(bump, F.greatest("s", F.lit(0.82))).otherwise(F.col("s")))
-    return full.where(F.col("s") >= least).select("a_ord", "b_ord", "s")
+    full = full.withColumn("s", similarity(F.col("a_n"), F.col("b_n"), F.col("a_t"), F.col("b_t"))).withColumn("s", guarded())
+    return materialize(full.where((F.col("s") > 0) & (F.col("s") >= least)).select("a_ord", "b_ord", "s"), "edges")
+
+
+def side(rows: DataFrame, p: str, *more: str) -> DataFrame:
+    """One side of pairs: prepared columns and `more`, their names after p and an underscore; fn_ord as p_ord."""
+    return rows.select(F.col("fn_ord").alias(f"{p}_ord"), *(F.col(c).alias(f"{p}_{c}") for c in ("n", "t", "a", "f", *more)))
+
+
+def guarded() -> Column:
+    """The similarity s of a pair of sides a and b, for assignments of one norm type and role.
+
+    0 where both begin with an action, the actions differ, and no shared action with s of .70 speaks for a split duty;
+    .82 at least where one side's tokens are nearly all in the other.
+    """
+    least, most = F.least(F.size("a_t"), F.size("b_t")), F.greatest(F.size("a_t"), F.size("b_t"))
+    held = (least >= 5) & (least / most >= 0.45) & (F.size(F.array_intersect("a_t", "b_t")) / least >= 0.96)
+    both = F.coalesce((F.col("a_f.at") < 12) & (F.col("b_f.at") < 12), F.lit(False))
+    same = F.coalesce(F.col("a_f.stem") == F.col("b_f.stem"), F.lit(False)) | (F.arrays_overlap("a_a", "b_a") & (F.col("s") >= 0.70))
+    return F.when(both & ~same, 0.0).when(held, F.greatest("s", F.lit(0.82))).otherwise(F.col("s"))
 
 
 def _cluster(members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
@@ -75,9 +88,9 @@ def _cluster(members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
 
 def cluster(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(row_ord, fn_ord): a matrix row is known by its first member. Members are ordered before, then after."""
-    keyed = links.join(rows.select(F.col("fn_ord").alias("a_ord"), "norm_type", "role"), "a_ord")
-    groups = rows.select("norm_type", "role", "fn_ord", "period", "unit").groupBy("norm_type", "role").cogroup(keyed.groupBy("norm_type", "role"))
-    return groups.applyInPandas(lambda m, e: _cluster(m, e), "row_ord long, fn_ord long")
+    keyed = links.join(rows.select(F.col("fn_ord").alias("a_ord"), F.col("norm_type").alias("of_norm"), F.col("role").alias("of_role")), "a_ord")
+    groups = rows.select("norm_type", "role", "fn_ord", "period", "unit").groupBy("norm_type", "role").cogroup(keyed.groupBy("of_norm", "of_role"))
+    return materialize(groups.applyInPandas(lambda m, e: _cluster(m, e), "row_ord long, fn_ord long"), "rows")
 
 
 def row_status(members: DataFrame, plausible: DataFrame | None = None, incomplete: bool = False) -> DataFrame:
