@@ -15,6 +15,8 @@ from ..functions.periods import midpoint
 #: A change counts as one over 5 % of the mean before; events within 90 days are neighbours.
 NOTABLE, NEIGHBOUR_DAYS = 0.05, 90
 LEVELS = ("insufficient", "low", "medium", "high")
+# Spellings of a unit of measure that is not known.
+UNKNOWN_UNITS = ("", "?", "unknown", "неизвестно", "не указано")
 
 
 def split_points(points: DataFrame, events: DataFrame) -> DataFrame:
@@ -25,22 +27,40 @@ def split_points(points: DataFrame, events: DataFrame) -> DataFrame:
     return rows.withColumn("side", side).drop("metric_codes")
 
 
-def compare(points: DataFrame, events: DataFrame, controls: DataFrame | None = None, percent_metrics: tuple[str, ...] = ()) -> DataFrame:
+def usable_controls(rows: DataFrame, events: DataFrame, controls: DataFrame, units: DataFrame | None) -> DataFrame:
+    """(event_id, metric, scope, control_scope) of controls that are verified with a reason, of the same single known unit, and untouched.
+
+    Untouched: not by the event itself, nor by any other event between the first day before and the last day after that
+    the comparison uses. units: metric, scope, unit of the series.
+    """
+    fine = controls.where("verified and trim(reason) <> '' and control_scope <> scope").select("event_id", "scope", "control_scope")
+    touch = events.select(F.col("event_id").alias("other_id"), F.col("effective").alias("other_day"), F.explode("units").alias("control_scope"))
+    fine = fine.join(touch.select(F.col("other_id").alias("event_id"), "control_scope"), ["event_id", "control_scope"], "left_anti")
+    window = rows.where("side <> 'crossing'").groupBy("event_id", "metric", "scope").agg(F.min("start").alias("first_day"), F.max("end").alias("last_day"))
+    fine = window.join(fine, ["event_id", "scope"])
+    hit = fine.join(touch, "control_scope").where((F.col("other_id") != F.col("event_id")) & F.col("other_day").between(F.col("first_day"), F.col("last_day")))
+    fine = fine.join(hit.select("event_id", "metric", "scope", "control_scope").distinct(), ["event_id", "metric", "scope", "control_scope"], "left_anti")
+    if units is not None:
+        one = units.groupBy("metric", "scope").agg(F.collect_set(F.trim(F.coalesce("unit", F.lit("")))).alias("u"))
+        known = one.where((F.size("u") == 1) & ~F.lower(F.get("u", 0)).isin(*UNKNOWN_UNITS)).select("metric", "scope", F.get("u", 0).alias("u"))
+        fine = fine.join(known, ["metric", "scope"]).join(known.withColumnRenamed("scope", "control_scope"), ["metric", "control_scope", "u"])
+    return fine.select("event_id", "metric", "scope", "control_scope")
+
+
+def compare(points: DataFrame, events: DataFrame, controls: DataFrame | None = None, percent_metrics: tuple[str, ...] = (), units: DataFrame | None = None) -> DataFrame:
     """One row a (event, metric, scope) with points on both sides.
 
-    controls: event_id, scope, control_scope, verified, reason. A control serves if it is verified with a reason, is not
-    touched by the event, and has a point for each one used; then the method is diff_in_diff, else trend_adjusted with
-    three points before and predictions in range, else simple.
+    controls: event_id, scope, control_scope, verified, reason; see usable_controls. A usable control with a point for
+    each one used makes the method diff_in_diff; else it is trend_adjusted with three points before and predictions in
+    range, else simple.
     """
     rows = split_points(points, events).withColumn("mid", midpoint(F.col("start"), F.col("end")))
     if controls is None:
         rows = rows.withColumns({"control_scope": F.lit(None).cast("string"), "c": F.lit(None).cast("double")})
     else:
-        fine = controls.where("verified and trim(reason) <> '' and control_scope <> scope").select("event_id", "scope", "control_scope")
-        touched = events.select("event_id", F.explode("units").alias("control_scope"))
-        fine = fine.join(touched, ["event_id", "control_scope"], "left_anti")
+        fine = usable_controls(rows, events, controls, units)
         other = points.select("metric", F.col("scope").alias("control_scope"), "start", "end", F.col("value").alias("c"))
-        rows = rows.join(fine, ["event_id", "scope"], "left").join(other, ["metric", "control_scope", "start", "end"], "left")
+        rows = rows.join(fine, ["event_id", "metric", "scope"], "left").join(other, ["metric", "control_scope", "start", "end"], "left")
     before, after, used = F.col("side") == "before", F.col("side") == "after", F.col("side") != "crossing"
 
     def at(condition: Column, x: str) -> Column:

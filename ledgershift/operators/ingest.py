@@ -8,26 +8,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import parse_number
-from ..functions.periods import parse_period
+from ..functions.measures import cell_address, mentioned_periods, scope_evidenced, scope_name, unit_of_measure
+from ..functions.numbers import finite, literal_in, parse_number
+from ..functions.periods import MONTHS, is_full_period, parse_period
 from ..functions.text import label_key
+from ..session import materialize
+from .catalog import ANY_UNIT, BUDGETS, SHARES
 from .claims import first_reason
 
 GRID = ["file", "sheet", "table_no"]
 HEADER_WITHIN = 30
-# Headings of the columns of a long table.
+# Headings of the columns of a table.
 FIELDS = {
-    "metric": ("metric", "metric code", "показатель", "код показателя", "наименование показателя"),
-    "value": ("value", "значение", "факт"),
-    "period": ("period", "период", "месяц", "дата"),
-    "scope": ("unit", "unit scope", "scope", "подразделение", "служба"),
-    "unit": ("measure unit", "единица", "единица измерения", "ед изм"),
+    "metric": ("метрика", "метрики", "показатель", "показатели", "показатель период", "metric", "metric code", "код метрики", "код показателя", "наименование", "наименование показателя"),
+    "value": ("значение", "value", "факт", "итого"),
+    "period": ("период", "отчетный период", "period", "месяц", "год", "квартал", "дата"),
+    "scope": ("подразделение", "unit scope", "scope", "отдел", "служба"),
+    "unit": ("единица", "единица измерения", "ед измерения", "ед изм", "ед", "measure unit"),
+    "period_start": ("period start", "начало периода"),
+    "period_end": ("period end", "конец периода"),
+    "granularity": ("granularity", "гранулярность", "периодичность"),
 }
+#: A heading that names the scope, or in tables of metrics without one the unit of measure.
+EITHER = ("unit",)
+# Sheets that describe a workbook, and lines above a table that name its scope or its period.
+METADATA = ("_metadata", "metadata", "метаданные")
+SCOPE_LINE = r"(?iU)\A(?:подразделение|unit_scope)\s*[:=|]\s*([^\n|;]+)\z"
+PERIOD_LINE = r"(?iU)период|отч[её]т\s+за"
+CONTEXT_ROWS = 8
 
 
 def field_of(raw: Column) -> Column:
     """Which field a heading names, or null."""
-    key, out = label_key(raw), F.lit(None).cast("string")
+    key = label_key(raw)
+    out = F.when(key.isin(*EITHER), "scope").otherwise(F.lit(None).cast("string"))
     for name, words in FIELDS.items():
         out = F.when(key.isin(*words), name).otherwise(out)
     return out
@@ -52,7 +66,8 @@ def headers(cells: DataFrame, known: DataFrame) -> DataFrame:
 
 def records(cells: DataFrame, known: DataFrame) -> DataFrame:
     """One row a value cell: GRID, r, c, label, period_text, scope, unit, raw, fmt, quote (the row's cells)."""
-    head = headers(cells, known)
+    cells = cells.where(~F.lower("sheet").isin(*METADATA))
+    head = headers(cells, known).join(contexts(cells), GRID, "left")
     at = cells.join(head, GRID)
     top = at.where("r = header_row").select(*GRID, "c", F.col("raw").alias("heading"))
     body = at.where("r > header_row").join(top, [*GRID, "c"])
@@ -62,29 +77,68 @@ def records(cells: DataFrame, known: DataFrame) -> DataFrame:
     long = body.where("layout = 'long'").withColumn("field", field).groupBy(*GRID, "r").agg(
         *(F.max(F.when(F.col("field") == f, F.col("raw"))).alias(f) for f in FIELDS), F.max(F.when(F.col("field") == "value", F.col("c"))).alias("c"), F.max(F.when(F.col("field") == "value", F.col("fmt"))).alias("fmt"),
     )
-    long = long.select(*GRID, "r", "c", F.col("metric").alias("label"), F.col("period").alias("period_text"), "scope", "unit", F.col("value").alias("raw"), "fmt")
+    dates = F.when(F.col("period_start").isNotNull() & F.col("period_end").isNotNull(), F.concat_ws("/", "period_start", "period_end", F.lower("granularity")))
+    long = long.join(head.select(*GRID, "context_scope", "context_period"), GRID)
+    long = long.select(*GRID, "r", "c", F.col("metric").alias("label"), F.coalesce("period", dates, "context_period").alias("period_text"), F.coalesce(F.nullif(F.trim("scope"), F.lit("")), "context_scope").alias("scope"), "unit", F.col("value").alias("raw"), "fmt")
+    long = long.where(F.coalesce(field_of(F.col("label")), F.lit("")) != "metric")
     first = body.where("c = 1").select(*GRID, "r", F.col("raw").alias("first"))
     rest = body.where("c > 1 and layout <> 'long'").join(first, [*GRID, "r"])
     wide = F.col("layout") == "wide"
-    rest = rest.select(*GRID, "r", "c", F.when(wide, F.col("first")).otherwise(F.col("heading")).alias("label"), F.when(wide, F.col("heading")).otherwise(F.col("first")).alias("period_text"), F.col("sheet").alias("scope"), none.alias("unit"), "raw", "fmt")
-    return long.unionByName(rest).join(quote, [*GRID, "r"])
+    rest = rest.select(*GRID, "r", "c", F.when(wide, F.col("first")).otherwise(F.col("heading")).alias("label"), F.when(wide, F.col("heading")).otherwise(F.col("first")).alias("period_text"), F.coalesce("context_scope", "sheet").alias("scope"), none.alias("unit"), "raw", "fmt")
+    out = long.unionByName(rest).join(quote, [*GRID, "r"])
+    return out.withColumns({"scope": scope_name(F.col("scope")), "cell": cell_address(F.col("c"), F.col("r"))})
+
+
+def contexts(cells: DataFrame) -> DataFrame:
+    """GRID, context_scope, context_period: what the first rows say of a whole table, where they say one thing only."""
+    lines = cells.where(F.col("r") <= CONTEXT_ROWS).groupBy(*GRID, "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "raw"))), lambda x: x["raw"]), " | ").alias("line"))
+    scope = F.nullif(F.regexp_extract("line", SCOPE_LINE, 1), F.lit(""))
+    period = F.when(F.col("line").rlike(PERIOD_LINE) & parse_period(F.col("line")).isNotNull(), F.col("line"))
+    one = lines.groupBy(*GRID).agg(F.collect_set(F.trim(scope)).alias("s"), F.collect_set(period).alias("p"))
+    return one.select(*GRID, F.when(F.size("s") == 1, F.get("s", 0)).alias("context_scope"), F.when(F.size("p") == 1, F.get("p", 0)).alias("context_period"))
+
+
+def dated_period(text: Column) -> Column:
+    """A period in words, or `start/end` or `start/end/granularity` in ISO days that are one whole month, quarter or year."""
+    part = F.split(text, "/")
+    start, end = (F.try_to_date(F.get(part, i), "yyyy-MM-dd") for i in (0, 1))
+    names = F.create_map(*(F.lit(x) for kv in {"месяц": "month", "квартал": "quarter", "год": "year"}.items() for x in kv))
+    said = F.get(part, 2)
+    said = F.coalesce(names[said], said)
+    out = F.when(F.lit(False), parse_period(F.lit("")))
+    for kind in MONTHS:
+        out = out.when(is_full_period(start, end, kind) & (said.isNull() | ~said.isin(*MONTHS) | (said == kind)), F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("granularity")))
+    return F.when(F.size(part) >= 2, out).otherwise(parse_period(text))
 
 
 def accept(found: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(values, queue) of records against the catalogue known(code, label, unit): any broken rule queues a record, with its first reason.
+    """(values, queue) of records against the catalogue known(code, label, unit): any broken rule queues a record.
 
-    A percent metric needs a % in the cell, its format or its unit; the same key with another value queues both (and what follows).
+    reason is the first broken rule, reasons all of them. An unknown metric gets a custom code from its label, which a
+    human has to confirm. The same key with another value queues both (and what follows).
     """
     keys = known.select(label_key(F.col("label")).alias("key"), "code", F.col("unit").alias("metric_unit")).distinct()
     one = keys.groupBy("key").agg(F.collect_set("code").alias("codes"), F.max("metric_unit").alias("metric_unit"))
     rows = found.withColumn("key", label_key(F.col("label"))).join(one, "key", "left")
-    rows = rows.withColumns({"n": parse_number(F.col("raw"), F.coalesce("fmt", F.lit("General"))), "p": parse_period(F.col("period_text"))})
-    percent = F.col("raw").contains("%") | F.coalesce(F.col("fmt"), F.lit("")).contains("%") | F.coalesce(F.col("unit"), F.lit("")).contains("%")
-    reason = first_reason(
-        unknown_metric=F.col("codes").isNull(), ambiguous_metric=F.size("codes") > 1, number=F.col("n.value").isNull(), period=F.col("p").isNull(),
-        scope=F.coalesce(F.trim("scope"), F.lit("")) == "", bare_percent=(F.col("metric_unit") == "%") & ~percent,
+    rows = rows.withColumns({"n": parse_number(F.col("raw"), F.coalesce("fmt", F.lit("General"))), "p": dated_period(F.col("period_text"))})
+    rows = materialize(rows, "parsed-cells")  # what follows uses the parsed number and period many times
+    number, code, own = F.col("n.value"), F.get("codes", 0), F.col("metric_unit")
+    sign = F.when(F.col("raw").contains("%") | F.coalesce("fmt", F.lit("")).contains("%"), "%")
+    given = F.coalesce(F.nullif(unit_of_measure(F.coalesce("unit", F.lit(""))), F.lit("")), sign, F.nullif(F.regexp_extract("raw", r"(?U)^[-+\d.,\s]+(\p{L}[\p{L}./]*)$", 1), F.lit("")))
+    given = F.when(given.isNotNull(), unit_of_measure(given))
+    said = F.coalesce(F.col("label").contains("%") | (F.col("label") == code) | F.lower("label").rlike("доля|процент"), F.lit(False))
+    resolved = F.coalesce(F.size("codes") == 1, F.lit(False))
+    rules = dict(
+        unknown_metric=F.col("codes").isNull(), ambiguous_metric=F.size("codes") > 1, number=number.isNull(), period=F.col("p").isNull(),
+        scope=F.coalesce(F.trim("scope"), F.lit("")) == "", unit_mismatch=resolved & given.isNotNull() & ~code.isin(*ANY_UNIT) & (given != own) & (given != "%") & (own != "%"),
+        budget_unit=resolved & code.isin(*BUDGETS) & given.isNull(), bare_percent=resolved & (own == "%") & (F.coalesce(given, F.lit("")) != "%") & ~said,
+        percent_of_other=resolved & (own != "%") & (given == "%") & (code != "qa_score"), negative=resolved & (number < 0), over_hundred=resolved & code.isin(*SHARES) & (number > 100),
     )
-    rows = rows.withColumns({"code": F.get("codes", 0), "value": F.col("n.value"), "start": F.col("p.start"), "end": F.col("p.end"), "reason": reason})
+    reasons = F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())))
+    rows = rows.withColumns({"reason": first_reason(**rules), "reasons": reasons, "unit": F.coalesce(given, own)})
+    custom = F.concat(F.lit("custom_"), F.substring(F.sha2("key", 256), 1, 10))
+    rows = rows.withColumn("codes", F.coalesce("codes", F.array(custom)))
+    rows = rows.withColumns({"code": F.get("codes", 0), "value": F.col("n.value"), "start": F.col("p.start"), "end": F.col("p.end")})
     ident = F.concat(F.lit("mv_"), F.substring(F.sha2(F.concat_ws("|", *GRID, "r", "c", "code", "scope", F.col("start").cast("string")), 256), 1, 20))
     rows = rows.withColumn("id", ident)
     fine = rows.where("reason is null")
@@ -92,16 +146,53 @@ def accept(found: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = by.orderBy(*GRID, "r", "c")
     fine = fine.withColumns({"first": F.first("value").over(ordered), "k": F.row_number().over(ordered)})
     fine = fine.withColumn("k0", F.min(F.when(F.col("value") != F.col("first"), F.col("k"))).over(by))
-    out = ["id", "code", "scope", "start", "end", "value", "quote"]
+    out = ["id", "code", "scope", "start", "end", "value", "unit", "quote"]
     values = fine.where("k0 is null and k = 1").select(*out)
-    queue = fine.where("k0 is not null and (k = 1 or k >= k0)").withColumn("reason", F.lit("conflict")).select(*out, "label", "reason")
-    return values, queue.unionByName(rows.where("reason is not null").select(*out, "label", "reason"))
+    queue = fine.where("k0 is not null and (k = 1 or k >= k0)").withColumns({"reason": F.lit("conflict"), "reasons": F.array(F.lit("conflict"))}).select(*out, "label", "reason", "reasons")
+    queue = queue.unionByName(rows.where("reason is not null").select(*out, "label", "reason", "reasons"))
+    return values, queue.withColumn("queue_id", F.concat(F.lit("ma_"), F.substring(F.sha2(F.concat_ws("|", "quote", "label", F.col("value").cast("string"), "reason"), 256), 1, 18)))
+
+
+def custom_metrics(queue: DataFrame) -> DataFrame:
+    """code, label, unit, confirmed of metrics that no catalogue knows: one a label, unconfirmed until a human names them."""
+    rows = queue.where(F.col("code").startswith("custom_")).groupBy("code").agg(F.min("label").alias("label"), F.max("unit").alias("unit"))
+    return rows.withColumns({"unit": F.coalesce("unit", F.lit("unknown")), "confirmed": F.lit(False)})
+
+
+def namespace_errors(cells: DataFrame, synthetic: bool) -> DataFrame:
+    """file, synthetic of workbooks whose marker differs from the namespace of the run; real and synthetic reports never mix."""
+    flag = F.coalesce(F.bool_or((F.lower("sheet").isin(*METADATA)) & (F.lower("raw") == "true") | F.lower("raw").contains("synthetic")), F.lit(False))
+    return cells.groupBy("file").agg(flag.alias("synthetic")).where(F.col("synthetic") != F.lit(synthetic))
+
+
+def check_extracted(found: DataFrame, fragments: DataFrame, known: DataFrame, supplied: str = "") -> DataFrame:
+    """value_id, state, reason of numbers that a model read in fragments(source_id, file, text).
+
+    found: value_id, source_id, quote, value, label, unit_scope, period_start, period_end, granularity, unit. Rejected: no
+    such source, a quote that is not in it, a number that is not in the quote. Queued: a period, scope or percent that
+    the text does not show, or an unknown or ambiguous metric. The rest is accepted.
+    """
+    files = fragments.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "text"))), lambda x: x["text"]), "\n").alias("file_text"))
+    rows = found.join(fragments, "source_id", "left").join(files, "file", "left")
+    keys = known.select(label_key(F.col("label")).alias("key"), "code").distinct().groupBy("key").agg(F.count("*").alias("n_codes"))
+    rows = rows.withColumn("key", label_key(F.col("label"))).join(keys, "key", "left")
+    rows = materialize(rows.withColumns({"here": mentioned_periods(F.coalesce("text", F.lit(""))), "whole": mentioned_periods(F.coalesce("file_text", F.lit("")))}), "extracted")
+    period = F.struct(*(F.try_to_date(F.col(c), "yyyy-MM-dd").alias(n) for c, n in (("period_start", "start"), ("period_end", "end"))), F.col("granularity").alias("granularity"))
+    here, whole = F.col("here"), F.col("whole")
+    full = F.coalesce(*[F.when(F.col("granularity") == k, is_full_period(period["start"], period["end"], k)) for k in MONTHS], F.lit(False))
+    in_text = F.when(F.size(here) > 0, F.array_contains(here, period)).otherwise((F.size(whole) == 1) & F.array_contains(whole, period))
+    quoted = F.coalesce((F.length(F.trim("quote")) >= 8) & F.contains("text", "quote"), F.lit(False))
+    refused = first_reason(unknown_source=F.col("text").isNull(), quote=~quoted, number=~F.coalesce(finite(F.col("value")) & literal_in(F.col("value"), F.col("quote")), F.lit(False)))
+    doubt = first_reason(
+        label=F.coalesce(F.trim("label"), F.lit("")) == "", period=~F.coalesce(full & in_text, F.lit(False)), scope=~scope_evidenced(F.col("unit_scope"), F.col("file_text"), F.lit(supplied)),
+        percent=(F.col("unit") == "%") & ~F.lower("text").rlike("%|процент|доля"), unknown_metric=F.col("n_codes").isNull(), ambiguous_metric=F.col("n_codes") > 1,
+    )
+    state = F.when(refused.isNotNull(), "rejected").when(doubt.isNotNull(), "queued").otherwise("accepted")
+    return rows.select("value_id", state.alias("state"), F.coalesce(refused, doubt, F.lit("")).alias("reason"))
 
 
 def confirm(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(values, queue left) after decisions(id, value): the number must stand in the quote; a decision clears its whole key."""
-    from ..functions.numbers import literal_in
-
     said = queue.join(decisions.select("id", F.col("value").alias("said")), "id").where(literal_in(F.col("said"), F.col("quote")))
     values = said.select("id", "code", "scope", "start", "end", F.col("said").alias("value"), "quote")
     left = queue.join(values.select("id"), "id", "left_anti").join(values.where("code is not null").select("code", "scope", "start", "end"), ["code", "scope", "start", "end"], "left_anti")
