@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,26 +45,37 @@ def parse_period(text: Column) -> Column:
     Quarters ("Q1 2023", "2023 q1", "1 кв. 2023"), months ("2023-12", a month name and a year of two or four digits) and
     years ("2022", "за 2023 год"). Full dates, approvals and orders, and texts with two different years give null.
     """
-    t = F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
-    years = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), 1))
-    full_date = t.rlike(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{2,4}")
-    order = t.rlike(r"(?U)утвержд|приказ|протокол|распоряж|approved|order no")
-    year = F.get(years, 0).cast("int")
-    quarter = F.coalesce(F.nullif(F.regexp_extract(t, r"(?U)\bq\s*([1-4])\b", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"(?U)\b([1-4])\s*(?:-?й\s*)?кв", 1), F.lit(""))).cast("int")
-    iso_month = F.nullif(F.regexp_extract(t, r"(?<!\d)(?:19|20)\d{2}-(0[1-9]|1[0-2])(?![\d-])", 1), F.lit("")).cast("int")
     names = F.create_map(*(F.lit(x) for kv in MONTH_NAMES.items() for x in kv))
     pattern = r"(?U)\b(" + "|".join(MONTH_NAMES) + r")\p{L}*[\s.,]*((?:19|20)?\d{2})(?!\d)"
-    named = F.element_at(names, F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")))
-    short = F.nullif(F.regexp_extract(t, pattern, 2), F.lit(""))
-    named_year = F.when(F.length(short) == 2, F.concat(F.lit("20"), short)).otherwise(short).cast("int")
-    month = F.coalesce(iso_month, named)
-    of_month = F.coalesce(F.when(iso_month.isNotNull(), year), named_year)
-    start = (
-        F.when(quarter.isNotNull() & year.isNotNull(), F.make_date(year, quarter * 3 - 2, F.lit(1)))
-        .when(month.isNotNull() & of_month.isNotNull(), F.make_date(of_month, month, F.lit(1)))
-        .when(t.rlike(r"(?U)^(?:за\s+)?(?:19|20)\d{2}(?:\s*(?:год[а-я]*|г\.?))?$"), F.make_date(year, F.lit(1), F.lit(1)))
-    )
-    kind = F.when(quarter.isNotNull() & year.isNotNull(), "quarter").when(month.isNotNull() & of_month.isNotNull(), "month").otherwise("year")
-    end = F.when(kind == "quarter", F.last_day(F.add_months(start, 2))).when(kind == "month", F.last_day(start)).otherwise(F.last_day(F.add_months(start, 11)))
-    bad = full_date | order | (F.size(years) > 1) | start.isNull()
-    return F.when(~bad, F.struct(start.alias("start"), end.alias("end"), kind.alias("granularity")))
+    found = lambda t, p, i=1: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
+
+    def read(t: Column) -> Column:
+        short = found(t, pattern, 2)
+        return F.struct(
+            F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), 1)).alias("years"),
+            (t.rlike(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{2,4}") | t.rlike(r"(?U)утвержд|приказ|протокол|распоряж|approved|order no")).alias("other"),
+            F.coalesce(found(t, r"(?U)\bq\s*([1-4])\b"), found(t, r"(?U)\b([1-4])\s*(?:-?й\s*)?кв")).cast("int").alias("quarter"),
+            found(t, r"(?<!\d)(?:19|20)\d{2}-(0[1-9]|1[0-2])(?![\d-])").cast("int").alias("iso_month"),
+            F.element_at(names, found(t, pattern)).alias("named"),
+            F.when(F.length(short) == 2, F.concat(F.lit("20"), short)).otherwise(short).cast("int").alias("named_year"),
+            t.rlike(r"(?U)^(?:за\s+)?(?:19|20)\d{2}(?:\s*(?:год[а-я]*|г\.?))?$").alias("whole"),
+        )
+
+    def first_day(x: Column) -> Column:
+        year = F.get(x["years"], 0).cast("int")
+        month, of_month = F.coalesce(x["iso_month"], x["named"]), F.when(x["iso_month"].isNotNull(), year).otherwise(x["named_year"])
+        by_quarter, by_month = x["quarter"].isNotNull() & year.isNotNull(), month.isNotNull() & of_month.isNotNull()
+        start = F.when(by_quarter, F.make_date(year, x["quarter"] * 3 - 2, F.lit(1))).when(by_month, F.make_date(of_month, month, F.lit(1))).when(x["whole"], F.make_date(year, F.lit(1), F.lit(1)))
+        return F.struct(F.when(~x["other"] & (F.size(x["years"]) <= 1), start).alias("start"), F.when(by_quarter, 3).when(by_month, 1).otherwise(12).alias("months"))
+
+    def period(x: Column) -> Column:
+        kind = F.when(x["months"] == 3, "quarter").when(x["months"] == 1, "month").otherwise("year")
+        return F.when(x["start"].isNotNull(), F.struct(x["start"].alias("start"), F.last_day(F.add_months(x["start"], x["months"] - 1)).alias("end"), kind.alias("granularity")))
+
+    plain = F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    return let(let(let(plain, read), first_day), period)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use refers to it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)

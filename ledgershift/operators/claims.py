@@ -9,35 +9,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens
+from ..session import materialize
 
 RARE_TERMS, POSTINGS = 16, 300
 BATCH_CHARS, BATCHES = 60_000, 8
 
 
+def source_tokens(sources: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, token) of each source, tokenised once: a written table, as frequencies, rare terms and postings all come from it."""
+    return materialize(sources.select(key, F.explode(retrieval_tokens(F.col(text))).alias("token")), "source-tokens")
+
+
 def token_frequency(sources: DataFrame, text: str = "text") -> DataFrame:
     """token, df over sources."""
     return sources.select(F.explode(retrieval_tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def rare_terms(sources: DataFrame, key: str, text: str = "text", most: int = RARE_TERMS) -> DataFrame:
-    """key, token, df, rank: each source's rarest tokens by (df, token)."""
-    rows = sources.select(key, F.explode(retrieval_tokens(F.col(text))).alias("token"))
-    rows = rows.join(token_frequency(sources, text), "token")
+def _rarest(tokens: DataFrame, key: str, most: int) -> DataFrame:
+    rows = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
     order = Window.partitionBy(key).orderBy("df", "token")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(key, "token", "df", "rank")
 
 
+def rare_terms(sources: DataFrame, key: str, text: str = "text", most: int = RARE_TERMS) -> DataFrame:
+    """key, token, df, rank: each source's rarest tokens by (df, token)."""
+    return _rarest(source_tokens(sources, key, text), key, most)
+
+
 def lexical_peers(sources: DataFrame, key: str, side: str, text: str = "text", opposite: int = 2, same: int = 1, postings: int = POSTINGS) -> DataFrame:
     """key, peer, side_kind, score, rank: by shared rare tokens, 1/df each; the first `postings` sources of a token in key order count.
 
-    The cap on postings is the operator's own rule, against quadratic lists.
+    The cap on postings is the operator's own rule, against quadratic lists. The first ones of a frequent token are found
+    in two levels, so that no task sorts all of its sources.
     """
-    terms = rare_terms(sources, key, text)
-    item = sources.select(F.col(key).alias("peer"), F.col(side).alias("peer_side"), F.explode(retrieval_tokens(F.col(text))).alias("token"))
-    item = item.join(terms.select("token").distinct(), "token", "left_semi")
-    first = Window.partitionBy("token").orderBy("peer")
-    item = item.withColumn("at", F.row_number().over(first)).where(F.col("at") <= postings)
-    pair = terms.join(item, "token").where(F.col(key) != F.col("peer")).join(sources.select(key, side), key)
+    tokens = source_tokens(sources, key, text)
+    terms = materialize(_rarest(tokens, key, RARE_TERMS), "rare-terms")
+    item = tokens.join(terms.select("token").distinct(), "token", "left_semi").withColumnRenamed(key, "peer").withColumn("part", F.pmod(F.xxhash64("peer"), F.lit(64)))
+    for keys in (("token", "part"), ("token",)):
+        item = item.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("peer"))).where(F.col("at") <= postings)
+    sides = sources.select(key, side)
+    item = item.select("token", "peer").join(sides.withColumnsRenamed({key: "peer", side: "peer_side"}), "peer")
+    pair = terms.join(item, "token").where(F.col(key) != F.col("peer")).join(sides, key)
     kind = F.when(F.col(side) == F.col("peer_side"), "same").otherwise("opposite")
     pair = pair.groupBy(key, "peer", kind.alias("side_kind")).agg(F.round(F.sum(1.0 / F.col("df")), 9).alias("score"))
     best = Window.partitionBy(key, "side_kind").orderBy(F.desc("score"), "peer")

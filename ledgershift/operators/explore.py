@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import label_key
+from ..session import materialize
 
 
 def search(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
@@ -31,7 +32,7 @@ def matrix_cells(owned: DataFrame) -> DataFrame:
     """
     cell = owned.groupBy("fn", "owner").agg(F.bool_or(~F.col("late")).alias("b"), F.bool_or("late").alias("a"))
     owners = owned.agg(F.array_sort(F.collect_set("owner")).alias("owners"))
-    grid = owned.select("fn").distinct().join(F.broadcast(owners)).select("fn", F.explode("owners").alias("owner"))
+    grid = owned.select("fn").distinct().crossJoin(owners).select("fn", F.explode("owners").alias("owner"))  # one row of owners
     state = F.when(F.col("b") & F.col("a"), "kept").when(F.col("b"), "left").when(F.col("a"), "joined").otherwise("none")
     return grid.join(cell, ["fn", "owner"], "left").select("fn", "owner", state.alias("cell"))
 
@@ -55,28 +56,40 @@ def header_rows(cells: DataFrame, grid: list[str], is_header: Column, within: in
     return cells.where((F.col("r") <= within) & is_header).groupBy(*grid).agg(F.min("r").cast("int").alias("header_row"))
 
 
+def _run(n: int):
+    return lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "), F.lit(n))
+
+
+def _cut(size: int):
+    return lambda i: F.xxhash64(F.substr("text", i, F.lit(size)), F.lit(-size))
+
+
 def contained_quotes(docs: DataFrame, key: str, quotes: DataFrame, quote_key: str, words: int = 4) -> DataFrame:
     """(key, quote_key) where a text holds a quote literally.
 
-    Candidates share the quote's first `words` words inside the text: an equi-join on their hash instead of comparing all
-    pairs. A quote of fewer words is looked up by those it has; the literal test follows.
+    Candidates share a hash: of the quote's first `words` words inside (neither its first nor its last, which a text may
+    have as parts of longer words), or of a whole quote of one or two words with as many characters anywhere in the text.
+    Only keys and hashes are exploded and shuffled; the literal test then fetches each candidate's text. Empty quotes are
+    in no text. Repeated rows give one pair.
     """
     q = quotes.select(F.col(quote_key), F.col("text").alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", r"\s+"))
     q = q.withColumn("n", F.least(F.size("w") - 2, F.lit(words)))
-    inner = q.where("n >= 1").withColumn("h", F.xxhash64(F.array_join(F.slice("w", 2, F.col("n")), " "), "n"))
-    loose = q.where("n < 1").select(quote_key, "quote")
+    q = q.withColumn("size", F.when(F.col("n") < 1, F.length("quote")))
+    head = F.xxhash64(F.array_join(F.slice("w", 2, F.greatest(F.col("n"), F.lit(1))), " "), "n")
+    q = materialize(q.select(quote_key, "quote", "n", "size", F.when(F.col("n") >= 1, head).otherwise(F.xxhash64("quote", -F.col("size"))).alias("h")), "quotes")
+    kinds = q.select("n", "size").distinct().collect()  # the numbers of words up to `words`, and lengths of short quotes
     text = docs.select(F.col(key), F.col("text")).withColumn("w", F.split("text", r"\s+"))
-
-    def runs(n: int) -> DataFrame:
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "), F.lit(n)))
-        item = text.where(F.size("w") >= n).select(key, "text", F.explode(F.array_distinct(at)).alias("h"))
-        return item.join(inner.where(F.col("n") == n), "h").where(F.contains("text", "quote")).select(key, quote_key)
-
-    found = runs(1)
-    for n in range(2, words + 1):
-        found = found.union(runs(n))
-    short = text.select(key, "text").join(loose, F.contains("text", "quote")).select(key, quote_key)
-    return found.union(short).distinct()
+    found = [F.array().cast("array<bigint>")]
+    for n in sorted({r.n for r in kinds if r.n >= 1}):
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), _run(n))
+        found.append(F.when(F.size("w") >= n, runs).otherwise(found[0]))
+    for size in sorted({r.size for r in kinds if r.size}):
+        cuts = F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), _cut(size))
+        found.append(F.when(F.length("text") >= size, cuts).otherwise(found[0]))
+    item = text.select(key, F.explode(F.array_distinct(F.concat(*found))).alias("h"))
+    pair = materialize(item.join(q.select("h", quote_key), "h").select(key, quote_key).distinct(), "quote-candidates")
+    full = pair.join(docs.select(key, "text"), key).join(q.select(quote_key, "quote"), quote_key)
+    return full.where(F.contains("text", "quote")).select(key, quote_key).distinct()
 
 
 def executive_overview(findings: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import cell_address, mentioned_periods, scope_evidenced, scope_name, unit_of_measure
 from ..functions.numbers import finite, literal_in, parse_number
-from ..functions.periods import MONTHS, is_full_period, parse_period
+from ..functions.periods import MONTHS, is_full_period, let, parse_period
 from ..functions.text import label_key
 from ..session import materialize
 from .catalog import ANY_UNIT, BUDGETS, SHARES
@@ -70,7 +70,7 @@ def records(cells: DataFrame, known: DataFrame) -> DataFrame:
     head = headers(cells, known).join(contexts(cells), GRID, "left")
     at = cells.join(head, GRID)
     top = at.where("r = header_row").select(*GRID, "c", F.col("raw").alias("heading"))
-    body = at.where("r > header_row").join(top, [*GRID, "c"])
+    body = at.where("r > header_row").join(top, [*GRID, "c"], "left")
     quote = body.groupBy(*GRID, "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "raw"))), lambda x: x["raw"]), " | ").alias("quote"))
     none = F.lit(None).cast("string")
     field = field_of(F.col("heading"))
@@ -82,7 +82,7 @@ def records(cells: DataFrame, known: DataFrame) -> DataFrame:
     long = long.select(*GRID, "r", "c", F.col("metric").alias("label"), F.coalesce("period", dates, "context_period").alias("period_text"), F.coalesce(F.nullif(F.trim("scope"), F.lit("")), "context_scope").alias("scope"), "unit", F.col("value").alias("raw"), "fmt")
     long = long.where(F.coalesce(field_of(F.col("label")), F.lit("")) != "metric")
     first = body.where("c = 1").select(*GRID, "r", F.col("raw").alias("first"))
-    rest = body.where("c > 1 and layout <> 'long'").join(first, [*GRID, "r"])
+    rest = body.where("c > 1 and layout <> 'long' and heading is not null").join(first, [*GRID, "r"])
     wide = F.col("layout") == "wide"
     rest = rest.select(*GRID, "r", "c", F.when(wide, F.col("first")).otherwise(F.col("heading")).alias("label"), F.when(wide, F.col("heading")).otherwise(F.col("first")).alias("period_text"), F.coalesce("context_scope", "sheet").alias("scope"), none.alias("unit"), "raw", "fmt")
     out = long.unionByName(rest).join(quote, [*GRID, "r"])
@@ -100,15 +100,21 @@ def contexts(cells: DataFrame) -> DataFrame:
 
 def dated_period(text: Column) -> Column:
     """A period in words, or `start/end` or `start/end/granularity` in ISO days that are one whole month, quarter or year."""
-    part = F.split(text, "/")
-    start, end = (F.try_to_date(F.get(part, i), "yyyy-MM-dd") for i in (0, 1))
     names = F.create_map(*(F.lit(x) for kv in {"месяц": "month", "квартал": "quarter", "год": "year"}.items() for x in kv))
-    said = F.get(part, 2)
-    said = F.coalesce(names[said], said)
-    out = F.when(F.lit(False), parse_period(F.lit("")))
-    for kind in MONTHS:
-        out = out.when(is_full_period(start, end, kind) & (said.isNull() | ~said.isin(*MONTHS) | (said == kind)), F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("granularity")))
-    return F.when(F.size(part) >= 2, out).otherwise(parse_period(text))
+
+    def dated(x: Column) -> Column:
+        out = F.when(F.lit(False), F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("").alias("granularity")))
+        for kind in MONTHS:
+            fits = is_full_period(x["start"], x["end"], kind) & (x["said"].isNull() | ~x["said"].isin(*MONTHS) | (x["said"] == kind))
+            out = out.when(fits, F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("granularity")))
+        return out
+
+    def parts(x: Column) -> Column:
+        start, end = (F.try_to_date(F.get(x, i), "yyyy-MM-dd") for i in (0, 1))
+        said = F.get(x, 2)
+        return F.struct(start.alias("start"), end.alias("end"), F.coalesce(names[said], said).alias("said"))
+
+    return F.coalesce(let(let(F.split(text, "/"), parts), dated), F.when(~F.contains(text, F.lit("/")), parse_period(text)))
 
 
 def accept(found: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -178,7 +178,7 @@ def check_drafts(drafts: DataFrame, attributions: DataFrame) -> DataFrame:
     every = F.concat(F.array("claim", "mechanism"), F.coalesce("alternatives", F.array().cast("array<string>")))
     subset = lambda ids, allowed: (F.size(ids) > 0) & (F.size(F.array_except(ids, allowed)) == 0)
     reason = first_reason(
-        unknown=F.col("facts").isNull(), wording=~F.forall(every, plain_text_ok), alternatives=F.size("alternatives") < 1, numbers=~F.coalesce(F.forall(every, lambda x: numbers_grounded(x, F.col("facts"))), F.lit(False)),
+        unknown=F.col("facts").isNull(), wording=~F.forall(every, lambda x: plain_text_ok(x)), alternatives=F.size("alternatives") < 1, numbers=~F.coalesce(F.forall(every, lambda x: numbers_grounded(x, F.col("facts"))), F.lit(False)),
         metrics=~F.coalesce(subset("metric_ids", "allowed_metrics"), F.lit(False)), clauses=~F.coalesce(subset("clause_ids", "allowed_clauses"), F.lit(False)),
     )
     return rows.select("attribution_id", F.coalesce(reason, F.lit("accepted")).alias("reason"))

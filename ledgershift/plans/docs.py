@@ -77,7 +77,8 @@ def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(roles) - 1).cast("long").alias("n_context"), F.array_join(roles, ",").alias("roles"))
 
 
-_TOK = r"k AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}]{4,}'), lambda x: x[1:9]))) AS t FROM documents), x AS (SELECT doc_id, unnest(t) AS token FROM k), df AS (SELECT token, count(*) AS df FROM x GROUP BY token)"
+_STOPS = ", ".join(f"'{w}'" for w in T.RETRIEVAL_STOP_WORDS)
+_TOK = rf"k AS (SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[а-яёa-z]{{4,}}'), lambda x: x NOT IN ({_STOPS})), lambda x: x[1:9]))) AS t FROM documents), x AS (SELECT doc_id, unnest(t) AS token FROM k), df AS (SELECT token, count(*) AS df FROM x GROUP BY token)"
 
 
 @query(rf"WITH {_TOK} SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM k")
@@ -138,16 +139,8 @@ def claim_validation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.validate_claims(claims, sources).withColumn("reason", F.coalesce("reason", F.lit("accepted")))
 
 
-@query(
-    """WITH f AS (SELECT o_orderkey AS finding_id, o_orderpriority AS kind, list_sort(list(DISTINCT l_suppkey % 25)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 2000 GROUP BY ALL)
-    SELECT a.finding_id, b.finding_id AS earlier_id FROM f a JOIN f b ON a.kind = b.kind AND a.finding_id > b.finding_id AND len(list_intersect(a.s, b.s)) > 0 WHERE len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"""
-)
-def finding_dedupe_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.near_duplicate_findings(_order_findings(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey < 2000")))
-
-
 @query()
-def finding_dedupe_jaccard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def finding_dedupe_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.near_duplicate_findings(_order_findings(spark, sf_dir, table(spark, sf_dir, "orders")))
 
 
@@ -190,14 +183,13 @@ def chunk_long_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunks(_docs(spark, sf_dir), "doc_id", "text", 1500).select("doc_id", "part", "parts", F.md5("chunk").alias("part_md5"))
 
 
-_OWN = """u AS (SELECT DISTINCT p_brand AS fn, n_name AS owner, l_shipdate >= TIMESTAMP '1998-01-01' AS late FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_returnflag = 'R' AND l_quantity > 45),
+_OWN = """u AS (SELECT DISTINCT p_partkey AS fn, n_name AS owner, l_shipdate >= TIMESTAMP '1998-01-01' AS late FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
   g AS (SELECT fn, list_sort(list(owner) FILTER (NOT late)) AS b, list_sort(list(owner) FILTER (late)) AS a FROM u GROUP BY fn)"""
 
 
 def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 45")
-    rows = rows.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-    return rows.select(F.col("p_brand").alias("fn"), F.col("n_name").alias("owner"), (F.col("l_shipdate") >= "1998-01-01").alias("late")).distinct()
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    return rows.select(F.col("p_partkey").alias("fn"), F.col("n_name").alias("owner"), (F.col("l_shipdate") >= "1998-01-01").alias("late")).distinct()
 
 
 @query(f"WITH {_OWN} SELECT fn, coalesce(len(b), 0)::INTEGER AS n_before, coalesce(len(a), 0)::INTEGER AS n_after, CASE WHEN a IS NULL THEN 'lost' WHEN b IS NULL THEN 'new' WHEN a <> b THEN 'moved' ELSE 'preserved' END AS status FROM g")
@@ -211,10 +203,10 @@ def ownership_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.matrix_cells(_owned(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey AS unit, l_shipdate >= TIMESTAMP '1998-01-01' AS late FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)
+@query("""WITH s AS (SELECT DISTINCT l_suppkey * 100000 + l_partkey AS unit, l_shipdate >= TIMESTAMP '1998-01-01' AS late FROM lineitem)
     SELECT coalesce(b.unit, a.unit) AS unit, CASE WHEN a.unit IS NULL THEN 'removed' WHEN b.unit IS NULL THEN 'created' ELSE 'preserved' END AS status FROM (SELECT unit FROM s WHERE NOT late) b FULL JOIN (SELECT unit FROM s WHERE late) a ON a.unit = b.unit""")
 def unit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").groupBy(F.col("l_suppkey").alias("unit"))
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") * 100_000 + F.col("l_partkey")).alias("unit"))
     rows = rows.agg(F.bool_or(F.col("l_shipdate") < "1998-01-01").alias("b"), F.bool_or(F.col("l_shipdate") >= "1998-01-01").alias("a"))
     return rows.select("unit", F.when(~F.col("a"), "removed").when(~F.col("b"), "created").otherwise("preserved").alias("status"))
 
@@ -320,11 +312,11 @@ def literal_number_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", N.literal_in(F.col("p_size").cast("double"), quote).alias("grounded"))
 
 
-_WIDE = "w AS (SELECT c_mktsegment AS scope, count(*) FILTER (quarter(o_orderdate) = 1)::DOUBLE AS q1, count(*) FILTER (quarter(o_orderdate) = 2)::DOUBLE AS q2, count(*) FILTER (quarter(o_orderdate) = 3)::DOUBLE AS q3, count(*) FILTER (quarter(o_orderdate) = 4)::DOUBLE AS q4 FROM orders JOIN customer ON c_custkey = o_custkey WHERE year(o_orderdate) = 1998 GROUP BY ALL)"
+_WIDE = "w AS (SELECT c_mktsegment AS scope, count(*) FILTER (quarter(o_orderdate) = 1)::DOUBLE AS q1, count(*) FILTER (quarter(o_orderdate) = 2)::DOUBLE AS q2, count(*) FILTER (quarter(o_orderdate) = 3)::DOUBLE AS q3, count(*) FILTER (quarter(o_orderdate) = 4)::DOUBLE AS q4 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1998").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     return rows.groupBy(F.col("c_mktsegment").alias("scope")).agg(*(F.count_if(F.quarter("o_orderdate") == q).cast("double").alias(f"q{q}") for q in (1, 2, 3, 4)))
 
 
@@ -346,16 +338,21 @@ def header_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.header_rows(cells, ["grid"], F.col("raw").isin("1-URGENT", "2-HIGH"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source AS key, doc_id AS ord, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+    r AS (SELECT key, ord, k, CASE WHEN size > 60000 THEN 0 ELSE size END AS used, 0 AS full_ones, size > 60000 AS long FROM o WHERE k = 1
+      UNION ALL SELECT o.key, o.ord, o.k, CASE WHEN size > 60000 THEN used WHEN used + size > 60000 THEN size ELSE used + size END, CASE WHEN size <= 60000 AND used + size > 60000 THEN full_ones + 1 ELSE full_ones END, size > 60000
+      FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1)
+    SELECT key, ord, CASE WHEN long OR full_ones >= 8 THEN -1 ELSE full_ones END::BIGINT AS batch FROM r""")
 def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pack_batches(_docs(spark, sf_dir), "source", "doc_id", "n_chars")
 
 
 @query()
 def row_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items before, and the first lines of documents that hold one after: fuzzy rows with statuses."""
+    """Benchmark items before, and the lines of documents that hold one after: fuzzy rows with statuses."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("fn_ord"), F.lit("before").alias("period"), F.lit("benchmark").alias("unit"), "text")
-    held = quote_containment(spark, sf_dir).join(table(spark, sf_dir, "benchmark"), "item_id")
+    held = quote_containment(spark, sf_dir).join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "quote"), "item_id").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    held = held.withColumn("text", F.coalesce(F.get(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.col("quote"))), 0), F.col("quote")))
     after = held.select((F.col("doc_id") * 1000 + F.col("item_id") + 1_000_000).alias("fn_ord"), F.lit("after").alias("period"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("unit"), "text")
     rows = items.unionByName(after).withColumns({"fn_id": F.col("fn_ord").cast("string"), "norm_type": F.lit("duty"), "role": F.lit("execute"), "scope": F.lit(""), "owner_known": F.lit(True)})
     return M.ownership_matrix(rows).select("row_ord", "status", F.size("owners_before").alias("n_before"), F.size("owners_after").alias("n_after"))
