@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,12 @@ _LINES = "package string, document_no int, document string, line_no int, frag_id
 
 
 def _values(columns: str, *rows: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS t({columns})"
+    """SQL for stated rows; numbers with a point are doubles."""
+
+    def doubles(row: str) -> str:
+        return "'".join(part if i % 2 else re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1::DOUBLE", part) for i, part in enumerate(row.split("'")))
+
+    return f"SELECT * FROM (VALUES {', '.join(f'({doubles(r)})' for r in rows)}) AS t({columns})"
 
 
 def _lines(spark: SparkSession, packages: dict[str, list[list[str]]]) -> DataFrame:
@@ -78,10 +84,10 @@ def assignment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.assignments(A.scan(_lines(spark, CASES))).select("package", "unit", "norm_type", "role", "text")
 
 
-@query(_values("package, unit, aliases", "'catalogue', 'Департамент закупок и логистики', ['ДЗЛ']", "'catalogue', 'Департамент продаж', ['ДП']", "'two_owners', 'Департамент закупок', ['ДЗЛ']", "'two_owners', 'Департамент продаж', ['ДПР']"))
+@query(_values("package, unit, aliases", "'catalogue', 'Департамент закупок и логистики', 'ДЗЛ'", "'catalogue', 'Департамент продаж', 'ДП'", "'two_owners', 'Департамент закупок', 'ДЗЛ'", "'two_owners', 'Департамент продаж', 'ДПР'"))
 def unit_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = {k: CASES[k] for k in ("catalogue", "two_owners")}
-    return A.units(A.scan(_lines(spark, cases))).select("package", "unit", "aliases")
+    return A.units(A.scan(_lines(spark, cases))).select("package", "unit", F.array_join("aliases", ",").alias("aliases"))
 
 
 def _pair(spark: SparkSession, before: list[str] = BEFORE, after: list[str] = AFTER) -> tuple[DataFrame, DataFrame]:
@@ -140,10 +146,10 @@ def regulation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-@query(_values("k, parts", "1, ['обеспечивает учет', 'проводит сверку', 'готовит отчет']", "2, ['Отдел, проводит сверку']", "3, ['ведет реестр', 'хранит договоры']"))
+@query(_values("k, parts", "1, 'обеспечивает учет | проводит сверку | готовит отчет'", "2, 'Отдел, проводит сверку'", "3, 'ведет реестр | хранит договоры'"))
 def predicate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "обеспечивает учет, проводит сверку и готовит отчет"), (2, "Отдел, проводит сверку"), (3, "ведет реестр; хранит договоры;")]
-    return spark.createDataFrame(rows, "k int, text string").select("k", T.split_actions(F.col("text")).alias("parts"))
+    return spark.createDataFrame(rows, "k int, text string").select("k", F.array_join(T.split_actions(F.col("text")), " | ").alias("parts"))
 
 
 @query(_values("k, name, generic", "1, 'Департамент закупок', false", "2, 'Отдел учета', false", "3, 'выполнение прочих поручений руководства', true"))
@@ -218,10 +224,10 @@ def text_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "k int, text string").select("k", F.size(Me.mentioned_periods(F.col("text"))).alias("periods"))
 
 
-@query(_values("k, metrics", "1, ['report_delay_days']", "2, ['qa_score', 'audits_done']", "3, []::VARCHAR[]"))
+@query(_values("k, metrics", "1, 'report_delay_days'", "2, 'qa_score audits_done'", "3, ''"))
 def metric_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(1, "сдаёт отчёт в срок"), (2, "проверки качества"), (3, "хранит сырьё")]
-    return spark.createDataFrame(rows, "k int, text string").select("k", Me.suggested_metrics(F.col("text")).alias("metrics"))
+    return spark.createDataFrame(rows, "k int, text string").select("k", F.array_join(Me.suggested_metrics(F.col("text")), " ").alias("metrics"))
 
 
 @query(_values("state, n", "'accepted', 2052"))
@@ -409,7 +415,7 @@ def mechanism_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.check_mechanisms(spark.createDataFrame(rows, "event_id string, metric_codes array<string>, mechanism string, quote string"), events, tuple(m[0] for m in K.METRICS))
 
 
-@query(_values("name, value", "'requests', 3", "'completed', 2", "'sent', 17", "'covered', 12", "'tokens_in', 300", "'tokens_out', 30", "'usage_unknown', 1"))
+@query(_values("name, value", "'requests', 3::BIGINT", "'completed', 2", "'sent', 17", "'covered', 12", "'tokens_in', 300", "'tokens_out', 30", "'usage_unknown', 1"))
 def review_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("r", "completed", 5, 100, 10), ("r", "completed", 7, 200, 20), ("r", "failed", 5, None, None)]
     return V.coverage_overview(spark.createDataFrame(rows, "run string, state string, sources long, tokens_in long, tokens_out long"))
@@ -539,7 +545,7 @@ def finding_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.groupBy("kind").agg(F.count("*").cast("int").alias("shown")).join(hidden, "kind", "left").select("kind", "shown", F.coalesce("hidden", F.lit(0)).cast("int").alias("hidden"))
 
 
-@query(_values("name, value", "'loss', 2", "'duplicate', 0", "'conflict', 1", "'strong', 1"))
+@query(_values("name, value", "'loss', 2::BIGINT", "'duplicate', 0", "'conflict', 1", "'strong', 1"))
 def overview_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.executive_overview(spark.createDataFrame([("loss", 0.8), ("loss", 0.2), ("conflict", 0.5)], "kind string, score double"))
 

@@ -181,4 +181,4 @@ def test_near_duplicate_findings_of_later_orders(spark, tmp_path):
     spark.createDataFrame([(7, 3), (5000, 28), (6000, 3)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     from ledgershift import plans
 
-    assert [tuple(r) for r in plans.QUERIES["finding_dedupe_jaccard_all"](spark, str(tmp_path)).collect()] == [(5000, 7)]
+    assert [tuple(r) for r in plans.QUERIES["finding_dedupe_jaccard"](spark, str(tmp_path)).collect()] == [(5000, 7)]

@@ -9,7 +9,6 @@ import pytest
 from ledgershift import plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"row_clustering"}
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +41,7 @@ def test_query_matches_sql(spark, sql, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
@@ -57,4 +56,4 @@ def test_unit_errors_of_all_events(spark, tmp_path):
     """Conflicts of events that a sample by event_id would leave out are reported."""
     events = "select * from values (7, 0, 'view', timestamp '2001-01-02', 1.0), (8, 0, 'view', timestamp '2001-01-03', 2.0), (50, 1, 'view', timestamp '2001-01-04', 5.0) as t(event_id, user_id, event_type, ts, value)"
     spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
-    assert [tuple(r) for r in plans.QUERIES["unit_consistency_errors_all"](spark, str(tmp_path)).collect()] == [("view", "0", "2001-01-01", "conflicting_values")]
+    assert [tuple(r) for r in plans.QUERIES["unit_consistency_errors"](spark, str(tmp_path)).collect()] == [("view", "0", "2001-01-01", "conflicting_values")]
