@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import mark, materialize, release, scratch_dir, scratch_path, ship  # noqa: F401
 
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`, as text for translate().
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -27,55 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN_SCRATCH: dict[str, str] = {}
-_WRITTEN: dict[str, list[str]] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one in local mode, else the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.split("[")[0] == "local":
-        shared = spark.conf.get("spark.sql.warehouse.dir")
-    if not shared:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_SCRATCH:
-            _OWN_SCRATCH[app] = f"file://{tempfile.mkdtemp(prefix='ledgershift-')}"
-            atexit.register(shutil.rmtree, _OWN_SCRATCH[app].removeprefix("file://"), ignore_errors=True)
-        shared = _OWN_SCRATCH[app]
-    return shared.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; release() can delete what is written there."""
-    path = f"{scratch_dir(spark)}/ledgershift/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def mark(spark: SparkSession) -> int:
-    """The number of tables written so far, for release()."""
-    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
-
-
-def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Delete the tables written since mark(), except those that `keep` reads."""
-    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    used = [x.rsplit("/", 1)[0] for x in keep.inputFiles()]
-    kept = [p for p in paths[since:] if any(u.endswith(p.rsplit("/", 1)[1]) for u in used)]
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    for p in paths[since:]:
-        if p not in kept:
-            hadoop(p).getFileSystem(conf).delete(hadoop(p), True)
-    paths[since:] = kept
-
-
 def join_hot(left: DataFrame, right: DataFrame, key: str, share: int = 10_000) -> DataFrame:
     """left joined with right, a table with one row a key, where a few keys may hold most of left's rows.
 
