@@ -37,8 +37,9 @@ GRAM = 25
 INCREMENTS, BATCHES = 2, 2
 
 _SENT = pa.schema([("key", pa.int64()), ("data", pa.binary())])
-_TOLD = pa.schema([("doc_id", pa.int64()), ("code", pa.int64()), ("full", pa.bool_()), ("bucket", pa.int64()), ("run", pa.binary())])
-_TOLD_DDL = "doc_id long, code long, full boolean, bucket long, run binary"
+_CODES = pa.list_(pa.int64())
+_TOLD = pa.schema([("doc_id", pa.int64()), ("codes", _CODES), ("full", pa.bool_()), ("bucket", pa.int64()), ("run", pa.binary())])
+_TOLD_DDL = "doc_id long, codes array<long>, full boolean, bucket long, run binary"
 
 
 def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,13 +188,24 @@ def _dealt_again(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.binary())], schema=_SENT)
 
 
+def _by_doc(doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Each document once, with the list of its codes."""
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    cut = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1 if len(doc) else 0))
+    return doc[cut], pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)).astype(np.int32)), pa.array(code[order], pa.int64()))
+
+
 def _told(doc: np.ndarray, code: np.ndarray, full: np.ndarray, bucket: int | None = None, run: bytes | None = None) -> pa.Table:
-    n = len(doc)
-    out = pa.table([pa.array(doc, pa.int64()), pa.array(code, pa.int64()), pa.array(full, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_TOLD)
-    if run is None:
-        return out
-    own = pa.table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([bucket], pa.int64()), pa.array([run], pa.binary())], schema=_TOLD)
-    return pa.concat_tables([out, own])
+    """A row for each document with codes of whole duplicates, one for each with codes to verify, and the bucket's run."""
+    out = []
+    for kind in (True, False):
+        docs, codes = _by_doc(doc[full == kind], code[full == kind])
+        n = len(docs)
+        out.append(pa.table([pa.array(docs, pa.int64()), codes, pa.array([kind] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_TOLD))
+    if run is not None:
+        out.append(pa.table([pa.nulls(1, pa.int64()), pa.nulls(1, _CODES), pa.nulls(1, pa.bool_()), pa.array([bucket], pa.int64()), pa.array([run], pa.binary())], schema=_TOLD))
+    return pa.concat_tables(out)
 
 
 def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +254,7 @@ def _to_verify(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Reco
 
 
 def _verified(rows: pa.Table) -> pa.Table:
-    """(doc_id, window code) of a bucket's windows that a smaller doc_id has too."""
+    """(doc_id, window codes) of a bucket's windows that a smaller doc_id has too."""
     parts = [unpack(x) for x in rows.column("data").to_pylist()]
     if rows.column("key")[0].as_py() < 0:
         doc, code = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -252,7 +264,8 @@ def _verified(rows: pa.Table) -> pa.Table:
         doc, code = doc[order], code[order]
         late = doc > doc[new][np.cumsum(new) - 1]
         doc, code = doc[late], code[late]
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "code": pa.array(code, pa.int64())})
+    docs, codes = _by_doc(doc, code)
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "codes": codes})
 
 
 def _cut(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -322,16 +335,15 @@ def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame |
         sent = sent.unionByName(runs)
     told = materialize(sent.groupBy("key").applyInArrow(lambda x: _bucket(x, bounds), _TOLD_DDL), "fingerprints")
     grown = told.where("run is not null").select("bucket", "run", F.lit(bits).alias("bits"))
-    answers = told.where("code is not null").groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("full"), F.col("code"))).alias("full"), F.collect_set(F.when(~F.col("full"), F.col("code"))).alias("check")
-    )
+    every = lambda which: F.array_distinct(F.flatten(F.collect_list(F.when(which, F.col("codes")))))
+    answers = told.where("codes is not null").groupBy("doc_id").agg(every(F.col("full")).alias("full"), every(~F.col("full")).alias("check"))
     answers = answers.withColumn("check", F.array_except("check", "full"))
     answers = materialize(answers, "fingerprint-answers")
     corpus = plain(docs) if history is None else plain(docs).unionByName(plain(history))
     check = answers.where(F.size("check") > 0).select(F.col("doc_id").alias("__doc"), "check")
     asked = corpus.join(check, F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "check")
-    found = asked.mapInArrow(partial(_to_verify, bits=bits), "key long, data binary").groupBy("key").applyInArrow(lambda x: _verified(x), "doc_id long, code long")
-    found = found.groupBy("doc_id").agg(F.collect_set("code").alias("windows"))
+    found = asked.mapInArrow(partial(_to_verify, bits=bits), "key long, data binary").groupBy("key").applyInArrow(lambda x: _verified(x), "doc_id long, codes array<long>")
+    found = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("windows"))
     both = answers.select("doc_id", "full").join(found, "doc_id", "full").select(F.col("doc_id").alias("__doc"), F.col("full").alias("__full"), F.col("windows").alias("__windows"))
     columns = tuple(docs.columns) if keep_texts else ("doc_id", "text")
     rows = docs.withColumns({"doc_id": no_null, "text": text}).select(*(f"`{c}`" for c in columns))
