@@ -128,9 +128,9 @@ def canonical_turns(records: DataFrame, key: str = "conv_id", layouts: tuple[Lay
     fingerprint or turns, they are replaced. A column of a layout's name but another type fits no mapping. Repeated rows
     give repeated results.
     """
-    keep = tuple(c for c in keep if c not in ("fingerprint", "turns"))
+    skip, keep = (key, *keep), tuple(c for c in keep if c not in ("fingerprint", "turns"))
     kinds = {f.name: f.dataType for f in records.schema.fields}
-    own = F.xxhash64(field_paths(records, (key, *keep)))
+    own = F.xxhash64(field_paths(records, skip))
     known = F.lit(None).cast("array<struct<role:string,text:string>>")
     for found in (_mapping(x, kinds) for x in layouts):
         if found:

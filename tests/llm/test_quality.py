@@ -43,6 +43,24 @@ def test_line_rules_of_nothing(empty):
     assert line_rules.quality_rules(empty).count() == 0
 
 
+def test_roles_with_any_character(spark):
+    roles = ["a\x00b", "\\n", "\n\\", "\\b\n", "<|im_end|>\n", ""]
+    df = spark.createDataFrame([(k, 0, r, "x") for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r.turns_sha256 for r in chat.read_back(chat.format_chats(chat.canonical_turns(chat.conversation_records(df)))).collect()}
+    assert out == {k: hashlib.sha256(f"{r}\nx\n".encode()).hexdigest() for k, r in enumerate(roles)}
+
+
+def test_fingerprints_follow_what_is_filled_inside(spark):
+    kind = "conv_id long, messages array<struct<role:string,content:string,name:string>>, fingerprint int"
+    rows = [(1, [("user", "q", None), ("assistant", "a", None)], 7), (2, [("user", "q", "bob")], 7), (3, [(None, "q", None)], 7), (4, [], 7), (5, None, 7)]
+    out = {r.conv_id: r for r in chat.canonical_turns(spark.createDataFrame(rows, kind), keep=("fingerprint",)).collect()}
+    turns = {k: r.turns and [(t.role, t.text) for t in r.turns] for k, r in out.items()}
+    assert turns == {1: [("user", "q"), ("assistant", "a")], 2: None, 3: [("", "q")], 4: [], 5: None}
+    assert len({out[k].fingerprint for k in (1, 2, 3, 4, 5)}) == 5
+    plain = spark.createDataFrame([(1, "text")], "conv_id long, messages string")
+    assert chat.canonical_turns(plain).first().turns is None
+
+
 TRICKY = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\/s> <|im_end|>\n<|im_start|>user\n", "", None, "[[INST]] <<SYS>> <</SYS>>", "line\nline", "a\\nb", "<|<s>|>"]
 
 
@@ -115,15 +133,41 @@ def test_mix_meets_its_targets(docs, texts):
     for (_, target), words in taken.items():
         assert abs(words - target) < 1
     again = mixing.mix_plan(docs).collect()
-    assert sorted((r.doc_id or -1, r.text_key, r.taken) for r in again) == sorted((r.doc_id or -1, r.text_key, r.taken) for r in rows)
+    assert sorted((r.doc_id or -1, r.size, r.taken, r.position or 0) for r in again) == sorted((r.doc_id or -1, r.size, r.taken, r.position or 0) for r in rows)
 
 
 def test_mixed_documents_hold_the_taken_words(docs):
+    """Repeated rows, null ids and ties included: each row has a place of its own."""
     plan = mixing.mix_plan(docs).agg(F.sum("taken")).first()[0]
-    out = mixing.mixed_documents(docs.dropDuplicates(["doc_id", "text"]))
+    out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    small = mixing.mix_plan(docs.dropDuplicates(["doc_id", "text"])).agg(F.sum("taken")).first()[0]
-    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == small <= plan
+    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == plan
+
+
+def test_mix_positions_by_hand(spark):
+    """Two sources: the running sums in the order of the hash give each document its share of the demand, and that its time."""
+    rows = [(i, " ".join(["w"] * (3 + i % 5)), "ab"[i % 2]) for i in range(40)]
+    got = {r.doc_id: r for r in mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for k, source in enumerate("ab"):
+        mine = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split())) for i, t, s in rows if s == source)
+        size, target = sum(x[2] for x in mine), got[mine[0][1]].target
+        a, b = mixing.SCHEDULES[k]
+        for epoch, name in enumerate(("position", "again_position")):
+            at = size * epoch
+            for _, i, n in mine:
+                take = max(0, min(n, int(target) - at))
+                due = getattr(got[i], name)
+                if take:
+                    assert abs(a * due + (b - a) * due**2 / 2 - (at + take / 2) / target * (a + b) / 2) < 1e-9
+                else:
+                    assert due is None
+                at += n
+
+
+def test_mix_passes_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 1, 2, 3), (2, None, None, 1, 2, 3)], "doc_id long, text string, source string, _row int, takes int, size int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and {(r.doc_id, r.size) for r in out.collect()} == {(1, 3)}
 
 
 def test_positions_follow_the_schedule(spark):
@@ -146,10 +190,45 @@ def test_importance_rejects_junk_and_keeps_clean(spark, words):
     labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(1000 + i, 0) for i in range(20)] + [(1000, 0), (None, 1)], "doc_id long, quality int")
     rows = importance.resample(docs.withColumn("kept", F.lit(1)), labels).collect()
     assert all(r.kept for r in rows if r.doc_id is not None and r.doc_id < 1000)
-    assert not any(r.kept for r in rows if r.doc_id is not None and 1000 <= r.doc_id < 5000)
+    share = 60 / 80 + importance.ERRORS * (0.75 * 0.25 / 80) ** 0.5
+    assert sum(r.kept for r in rows) == round(share * len(rows))  # the budget: junk fills what clean texts leave
     assert len(rows) == 163 and {r.log_ratio for r in rows if r.doc_id in (5000, 5001)} == {0.0}
 
 
+def test_importance_by_hand(spark, words):
+    """Counts, log ratios and the drawn set against plain loops over the same n-grams."""
+    import pyarrow as pa
+
+    texts = [" ".join(words(i, 20 + i % 7)) + ("!!! ###" if i % 4 == 0 else ".") for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 60, 2)], "doc_id long, quality int")
+    raw, good, per = np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS), []
+    for i, t in enumerate(texts):
+        f, _ = importance.features(pa.array([t]))
+        per.append(f)
+        for x in f.tolist():
+            raw[x] += 1
+            good[x] += i % 2 == 0 and i % 4 != 0
+    common = good.sum() / raw.sum()
+    ratio = np.log((good + importance.PRIOR * common) / ((raw + importance.PRIOR) * common))
+    rows = {r.doc_id: r for r in importance.resample(docs, labels).collect()}
+    for i, f in enumerate(per):
+        assert abs(rows[i].log_ratio - ratio[f].mean()) < 1e-8
+    p, n = 15 / 30, 30
+    k = round(60 * (p + importance.ERRORS * (p * (1 - p) / n) ** 0.5))
+    assert {i for i, r in rows.items() if r.kept} == set(sorted(rows, key=lambda i: -rows[i].sampling_key)[:k])
+    assert any(rows[i].kept for i in rows if rows[i].log_ratio < np.median([r.log_ratio for r in rows.values()]))
+
+
+def test_splits_of_blank_texts(spark):
+    """Blocks that hold only empty, null or blank texts."""
+    rows = [(i, t) for i, t in enumerate(["", None, " \t"] * 4)] + [(99, "one two three"), (98, "one *** ###")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(14, "doc_id").withColumn("source", F.lit("s"))
+    labels = spark.createDataFrame([(99, 1, 0), (98, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {r.log_ratio for r in importance.resample(docs, labels).collect() if r.doc_id < 90} == {0.0}
+    assert toxicity.toxicity(docs, labels).count() == line_rules.quality_rules(docs).count() == mixing.mix_plan(docs).count() == 14
+
+
 def test_importance_without_labels_or_documents(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept for r in importance.resample(docs, none).collect())
@@ -189,12 +268,70 @@ def test_toxicity_without_labels_or_documents(spark, docs, empty):
     assert toxicity.toxicity(empty, none).count() == 0
 
 
-def test_label_model_lowers_the_voice_of_copies():
+def _patterns(spark, votes):
+    rows = Counter(np.flatnonzero(v).astype("<u4").tobytes() for v in votes)
+    return spark.createDataFrame([(bytearray(k), n) for k, n in rows.items()], "votes binary, n long")
+
+
+def test_label_model_by_hand(spark):
+    """Its rounds against the same expectation maximisation in plain loops over documents."""
+    rng = np.random.default_rng(1)
+    y = rng.random(300) < 0.3
+    votes = np.column_stack([y & (rng.random(300) < 0.5) | (rng.random(300) < 0.02) for _ in range(4)])
+    known = votes[:60], y[:60]
+
+    def sums(v, post):
+        cast = v.sum(axis=1)
+        return [len(v), post.sum(), (cast > 0).sum(), post[cast > 0].sum(), (post * cast).sum(), *v.sum(axis=0), *(post @ v), *((post * cast) @ v)]
+
+    def step(total):
+        n, toxic, some, some_toxic, cast = total[:5]
+        fired, fired_toxic, fired_cast = np.array(total[5:]).reshape(3, -1)
+        out = {"share": toxic / n, "some": [(some - some_toxic + 0.5) / (n - toxic + 1), (some_toxic + 0.5) / (toxic + 1)], "rate": [], "voice": []}
+        for j in range(4):
+            usual = (fired[j] + 1e-3) / (some + 1)
+            out["rate"].append([(fired[j] - fired_toxic[j] + 2 * usual) / (some - some_toxic + 2), (fired_toxic[j] + 2 * usual) / (some_toxic + 2)])
+            out["voice"].append(1 / (1 + max(0, fired_cast[j] / fired_toxic[j] - 1 - (cast - fired_toxic[j]) / some_toxic)))
+        return out
+
+    def posterior(m, v):
+        z = np.log(m["share"] / (1 - m["share"]))
+        on = [j for j in range(4) if v[j]]
+        if not on:
+            z += np.log((1 - m["some"][1]) / (1 - m["some"][0]))
+        else:
+            voices = sum(m["voice"][j] for j in on)
+            z += np.log(m["some"][1] / m["some"][0]) + sum(m["voice"][j] * np.log(m["rate"][j][1] / m["rate"][j][0]) for j in on) / min(1, voices)
+        return 1 / (1 + np.exp(-z))
+
+    first = np.array(sums(known[0], known[1].astype(float)), float)
+    model = step(first)
+    for _ in range(3):
+        model = step(first + np.array(sums(votes, np.array([posterior(model, v) for v in votes]))))
+    got = toxicity.label_model(_patterns(spark, votes), first, rounds=3)
+    assert np.allclose(got.share[1], model["share"]) and np.allclose(got.some, model["some"]) and np.allclose(got.rate.T, model["rate"]) and np.allclose(got.voice, model["voice"])
+
+
+def test_label_model_lowers_the_voice_of_copies(spark):
     rng = np.random.default_rng(1)
     y = rng.random(2000) < 0.2
     votes = np.column_stack([y & (rng.random(2000) < 0.6) | (rng.random(2000) < 0.01) for _ in range(4)])
-    post = toxicity.label_model(np.column_stack([votes, votes[:, :1], votes[:, :1]]), 0.2)
-    assert ((post > 0.5) == y).mean() > 0.93
+    votes = np.column_stack([votes, votes[:, :1], votes[:, :1]])
+    row, voter = np.nonzero(votes)
+    known = toxicity.expected(y[:200].astype(float), voter[row < 200], row[row < 200], np.ones(200), 6)
+    model = toxicity.label_model(_patterns(spark, votes), known)
+    post = model.posterior(voter, row, 2000)
+    assert ((post > 0.5) == y).mean() > 0.9 and model.voice[[0, 4, 5]].max() < 0.6 * model.voice[1:4].min()
+
+
+def test_many_voters_are_all_used(spark, words):
+    """More toxic words than any fixed number of voters: each has its own few documents, and all are found."""
+    rows = [(i, " ".join([*words(i, 20), f"bad{i % 300:03d}x", *words(i + 9000, 5)])) for i in range(3000)]
+    rows += [(10_000 + i, " ".join(words(20_000 + i, 26))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 10_000)) for i, _ in rows], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).where("held_out").collect()
+    assert np.mean([r.predicted == int(r.doc_id < 10_000) for r in out]) > 0.97
 
 
 def test_pipeline_stages_on_awkward_documents(spark, docs, tmp_path):

@@ -128,6 +128,18 @@ def test_all_png_filters_decode(kind):
     assert (media.decode_png(media.encode_png(samples)) == samples).all()
 
 
+def test_pictures_are_decoded_together():
+    """Several pictures at once, of all filters and heights, as each alone."""
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 256, (h, 64)).astype(np.uint8) for h in (1, 2, 70, 3, 1, 300)]
+    smooth = [np.cumsum(x % 3, axis=0, dtype=np.uint8) + np.cumsum(x % 2, axis=1, dtype=np.uint8) for x in base]
+    pictures = [media.encode_png(x) for x in base + smooth]
+    for got, want in zip(media.decode_pngs(pictures), base + smooth, strict=True):
+        assert (got == want).all()
+    kinds = np.concatenate([media.filtered(x)[0] for x in base + smooth])
+    assert len(set(kinds.tolist())) >= 4
+
+
 def test_png_checksums_are_tested():
     png = bytearray(media.encode_png(np.arange(128, dtype=np.uint8).reshape(2, 64)))
     for at in (20, 45, len(png) - 3):
@@ -142,7 +154,7 @@ def test_png_checksums_are_tested():
 def test_media_rows(docs, texts):
     import hashlib
 
-    rows = sorted(media.picture_features(media.text_pictures(docs)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_bytes))
+    rows = sorted(media.media_features(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_bytes))
     order = sorted(texts, key=lambda x: (x[0] is None, x[0] or 0, len((x[1] or "").encode())))
     for r, (i, t) in zip(rows, order, strict=True):
         data = media.payload((t or "").encode())
@@ -151,4 +163,4 @@ def test_media_rows(docs, texts):
 
 
 def test_media_of_nothing(empty):
-    assert media.picture_features(media.text_pictures(empty)).count() == 0
+    assert media.media_features(empty).count() == 0
