@@ -86,7 +86,7 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """A block's entries by bucket, the smallest doc_id for each (f, c); the other ones are duplicates here and now (a key of the block's own, below 0)."""
     part = TaskContext.get().partitionId()
-    for seq, block in enumerate(blocks(batches, size=4 << 20)):
+    for seq, block in enumerate(blocks(batches, size=2 << 20)):
         ids = block.column("doc_id").to_numpy()
         _, text, window, f = _windows(hash_words(*text_buffer(block.column("text"))))
         t, f, c, _ = _entries(text, window, f)
@@ -231,7 +231,7 @@ def _window_code(window: np.ndarray, f: np.ndarray) -> np.ndarray:
 def _to_verify(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Windows of entries to verify, by bucket, each once a block with the smallest doc_id; later ones are duplicates here and now."""
     part = TaskContext.get().partitionId()
-    for seq, block in enumerate(blocks(batches, size=4 << 20)):
+    for seq, block in enumerate(blocks(batches, size=2 << 20)):
         ids = block.column("doc_id").to_numpy()
         _, text, window, f = _windows(hash_words(*text_buffer(block.column("text"))))
         t, g, c, of = _entries(text, window, f)

@@ -41,7 +41,7 @@ _BYTES = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
 class TextIds:
     """ids(text bytes) -> little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
