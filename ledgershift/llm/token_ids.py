@@ -38,26 +38,45 @@ def _byte_characters() -> dict[int, str]:
 _BYTES = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
 
 
+class _Words(dict):
+    """Word -> ids; a word that is not there is encoded when it is asked for."""
+
+    def __init__(self, encoder: TextIds):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.encoder.most:
+            self.clear()
+            self.encoder.parts.clear()
+        out = self[word] = self.encoder._word(word.decode())
+        return out
+
+
 class TextIds:
     """ids(text bytes) -> little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         normalizer = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         self.by_word = normalizer == _NORMALIZER and split == _SPLIT
-        self.model, self.words, self.parts = self.tokenizer.model, {}, {}
+        self.model, self.words, self.parts = self.tokenizer.model, _Words(self), {}
 
     def _encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str, keep: bool = True) -> bytes:
         known = self.parts.get(part)
+        if known is None:
+            known = self.words.get(part.encode())  # a lower-case word by itself
         if known is None:
             as_bytes = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
-            known = self.parts[part] = array("I", [t.id for t in self.model.tokenize(as_bytes)]).tobytes()
+            known = array("I", [t.id for t in self.model.tokenize(as_bytes)]).tobytes()
+            if keep:
+                self.parts[part] = known
         return known
 
     def _word(self, word: str) -> bytes:
@@ -65,23 +84,14 @@ class TextIds:
             return self._encoded(word)
         word = word.lower()
         if word.isalpha():
-            return self._part(word)
+            return self._part(word, keep=False)
         return b"".join(map(self._part, _PARTS.findall(word)))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return [self._encoded(x.decode()) for x in texts]
-        split = [x.split() for x in texts]
-        words = self.words
-        missing = set().union(*split).difference(words)
-        if len(words) + len(missing) > self.most:
-            words.clear()
-            self.parts.clear()
-            missing = set().union(*split)
-        for w in missing:
-            words[w] = self._word(w.decode())
-        get = words.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        get = self.words.__getitem__
+        return [b"".join(map(get, x.split())) for x in texts]
 
 
 @lru_cache(2)
