@@ -27,6 +27,8 @@ from .token_ids import encode_column
 
 CAPACITY = 4096
 GROUP_TOKENS = 4 << 20
+#: Words that a worker keeps: fewer than where nothing else is held, as packing often shares its workers with other stages.
+CACHED = 200_000
 #: Cost of a token, and of a pair of tokens of one piece, in the units of a model of width 4096.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
@@ -108,7 +110,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: i
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
     for block in blocks(batches, size=1 << 20):
-        ids += encode_column(block.column("text"), path, end_id)
+        ids += encode_column(block.column("text"), path, end_id, CACHED)
         docs += block.column("doc_id").to_pylist()
         held += sum(map(len, ids[len(ids) - block.num_rows :]))
         if held >= group_tokens:

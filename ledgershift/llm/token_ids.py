@@ -18,6 +18,9 @@ from tokenizers import Tokenizer
 
 from .kernels import text_buffer
 
+#: Words that a worker keeps, with their ids: some 300 bytes each.
+CACHED = 600_000
+
 # The normaliser and splitter of the word tokenizer for which the ids of words may be joined.
 _NORMALIZER = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,7 +59,7 @@ class _Words(dict):
 class TextIds:
     """ids(text bytes) -> little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = CACHED):
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -95,15 +98,15 @@ class TextIds:
 
 
 @lru_cache(2)
-def text_ids(path: str) -> TextIds:
+def text_ids(path: str, most: int) -> TextIds:
     """One encoder a worker process and file."""
-    return TextIds(path)
+    return TextIds(path, most)
 
 
-def encode_column(column: pa.Array, path: str, end_id: int) -> list[np.ndarray]:
-    """uint32 ids of each text (null: empty), with end_id after the last; texts are taken some at a time."""
+def encode_column(column: pa.Array, path: str, end_id: int, most: int = CACHED) -> list[np.ndarray]:
+    """uint32 ids of each text (null: empty), with end_id after the last; texts are taken some at a time. most: words that a worker keeps."""
     data, offsets = text_buffer(column)
-    encoder, tail, out = text_ids(path), np.array([end_id], "<u4").tobytes(), []
+    encoder, tail, out = text_ids(path, most), np.array([end_id], "<u4").tobytes(), []
     for k in range(0, len(column), 256):
         some = [data[a:b].tobytes() for a, b in zip(offsets[k : k + 256].tolist(), offsets[k + 1 : k + 257].tolist(), strict=False)]
         out += [np.frombuffer(x + tail, "<u4") for x in encoder.ids(some)]
