@@ -25,7 +25,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, bucket_count, join_hot, materialize, pack, ship, unpack
@@ -38,8 +38,8 @@ RARE = 64
 #: Frequent prefix shingles a class, about.
 CLASS_SIZE = 16
 
-#: Members of a posting group, asking or asked, in one task at most (about).
-BLOCK = 1024
+#: Members of a posting group, asking or asked, in one task at most (about), and the bytes of their shingles.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 _ROWS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.binary()), ("sigs", pa.list_(pa.int64()))])
@@ -326,9 +326,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, bucket
         raise ValueError("prefixes are made for a similarity of 75 % or more")
     sets = materialize(shingle_sets(docs, rare, buckets), "shingle-sets")
     reps = materialize(sets.where("sigs is not null").select(F.col("s1").alias("v"), "s2", "n", "tokens", "sigs").dropDuplicates(["v", "s2"]), "set-classes")
-    sig = reps.select("v", F.explode("sigs").alias("sig"))
+    sig = reps.select("v", F.octet_length("tokens").alias("size"), F.explode("sigs").alias("sig"))
     shared = sig.groupBy("sig").agg(F.min("v").alias("hub"), F.max("v").alias("last")).where("hub < last").drop("last")
-    member = materialize(sig.join(materialize(shared, "postings"), "sig").select("hub", "v").distinct(), "posting-members")
+    member = materialize(sig.join(materialize(shared, "postings"), "sig").select("hub", "v", "size").distinct(), "posting-members")
     sized = reps.select("v", "n", "tokens")
     if counts:
         links, label, degree = _all_links(member, sized, percent, block)
@@ -347,9 +347,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, bucket
     return out.select(F.nullif("doc_id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(own, null).alias("component_id"), *more)
 
 
+def _parts(block: int) -> Column:
+    """Into how many parts a group of members falls, by their number and by the size of their shingles: few long texts fill a task too."""
+    return F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_BYTES)).cast("int")
+
+
 def _all_links(member: DataFrame, sized: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A spanning set of links (a, b), the components (v, c), and (s1, n_links): each candidate pair is verified once."""
-    parts = member.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    parts = member.groupBy("hub").agg(_parts(block).alias("parts"))
     hubs = member.groupBy("v").agg(F.collect_list("hub").alias("hubs"))
     at = member.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     at = at.select("hub", "v", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
@@ -374,9 +379,9 @@ def _spanning_links(member: DataFrame, sized: DataFrame, percent: int, block: in
     star = member.where("v <> hub").groupBy("v").agg(F.min("hub").alias("a")).select("a", F.col("v").alias("b"))
     links = materialize(verified(star), "links")
     label = roots(links.select(F.col("b").alias("v"), F.col("a").alias("p")))
-    at = member.join(label, "v", "left").select("hub", "v", F.coalesce("c", "v").alias("c"))
-    group = at.groupBy("hub").agg(F.count("*").alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("v") == F.col("hub"), F.col("c"))).alias("hub_c"))
-    group = group.where("c0 < c1").select("hub", "hub_c", F.ceil(F.col("k") / block).cast("int").alias("parts"))
+    at = member.join(label, "v", "left").select("hub", "v", "size", F.coalesce("c", "v").alias("c"))
+    group = at.groupBy("hub").agg(_parts(block).alias("parts"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.when(F.col("v") == F.col("hub"), F.col("c"))).alias("hub_c"))
+    group = group.where("c0 < c1").select("hub", "hub_c", "parts")
     at = at.join(materialize(group, "posting-groups"), "hub").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     asks = at.where("c <> hub_c").select("hub", "v", "c", F.lit(True).alias("asks"), F.col("part").alias("i"), F.explode(every).alias("j"))

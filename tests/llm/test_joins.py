@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from ledgershift.llm import kernels, substring_dedup
+from ledgershift.llm import kernels, ngram_join, substring_dedup
 from ledgershift.llm.graph import components
 from ledgershift.llm.ngram_join import near_duplicates
 
@@ -204,6 +204,14 @@ def test_join_counts_every_link(spark, rare, block):
     assert [links[shingle_set(t)] for i, t in rows if 100 <= i < 105] == [5] * 5
 
 
+@pytest.mark.parametrize("counts", [True, False])
+def test_join_cuts_groups_of_long_texts_by_bytes(spark, monkeypatch, counts):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2048)
+    rows = mutated(19)
+    docs = spark.createDataFrame(rows, SIMPLE).repartition(3)
+    check_join(rows, near_duplicates(docs, rare=2, buckets=16, counts=counts))
+
+
 @pytest.mark.parametrize("first_buckets, second_buckets", [(None, None), (64, 16), (16, 64)])
 def test_increments_with_another_number_of_buckets(spark, first_buckets, second_buckets):
     """An index of many splits takes a small increment: passages that stand in history still go."""
