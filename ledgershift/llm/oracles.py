@@ -13,8 +13,11 @@ n AS (SELECT doc_id, count(h) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY do
 c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 pair AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, pair.b FROM r JOIN pair ON pair.a = r.other)
-SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(other) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, pair.b FROM r JOIN pair ON pair.a = r.other),
+k AS (SELECT doc_id, md5(string_agg(h, '' ORDER BY h)) AS k FROM s GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(DISTINCT y.k) AS n_links FROM pair JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE x.k <> y.k GROUP BY a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(other) AS component_id, coalesce(any_value(l.n_links), 0)::BIGINT AS n_links
+FROM n JOIN r ON r.doc_id = n.doc_id LEFT JOIN l ON l.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """
 
 MIXING = rf"""
