@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbers import close
@@ -78,3 +78,14 @@ def shown_metric(name: Column, value: Column) -> Column:
     """A score's metric as shown: percent, yes or no, or as it is; value is text."""
     share = F.concat(F.round(value.cast("double") * 100).cast("long").cast("string"), F.lit("%"))
     return F.when(name.isin(*PERCENT_METRICS), share).when(value == "true", "yes").when(value == "false", "no").otherwise(value)
+
+
+# Fixed value: what marks a report as synthetic, in a row's cells.
+SYNTHETIC = r"(?iU)ТЕСТОВЫЕ ДАННЫЕ|is_synthetic\s*[|:=]\s*(?:true|1)"
+
+
+def synthetic_files(cells: DataFrame) -> DataFrame:
+    """file, synthetic of cells(file, sheet, table_no, r, c, raw): whether any row says that the report is synthetic."""
+    cell = F.array_sort(F.collect_list(F.struct("c", F.coalesce("raw", F.lit("")).alias("raw"))))
+    rows = cells.groupBy("file", "sheet", "table_no", "r").agg(F.array_join(F.transform(cell, lambda x: x["raw"]), " | ").alias("row"))
+    return rows.groupBy("file").agg(F.bool_or(F.col("row").rlike(SYNTHETIC)).alias("synthetic"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import cell_address, mentioned_periods, scope_evidenced, scope_name, unit_of_measure
+from ..functions.measures import cell_address, mentioned_periods, scope_evidenced, scope_name, synthetic_files, unit_of_measure
 from ..functions.numbers import finite, literal_in, parse_number
 from ..functions.periods import MONTHS, is_full_period, let, parse_period
 from ..functions.text import label_key
@@ -84,9 +84,9 @@ def records(cells: DataFrame, known: DataFrame) -> DataFrame:
     first = body.where("c = 1").select(*GRID, "r", F.col("raw").alias("first"))
     rest = body.where("c > 1 and layout <> 'long' and heading is not null").join(first, [*GRID, "r"])
     wide = F.col("layout") == "wide"
-    rest = rest.select(*GRID, "r", "c", F.when(wide, F.col("first")).otherwise(F.col("heading")).alias("label"), F.when(wide, F.col("heading")).otherwise(F.col("first")).alias("period_text"), F.coalesce("context_scope", "sheet").alias("scope"), none.alias("unit"), "raw", "fmt")
+    rest = rest.select(*GRID, "r", "c", F.when(wide, F.col("first")).otherwise(F.col("heading")).alias("label"), F.when(wide, F.col("heading")).otherwise(F.col("first")).alias("period_text"), F.coalesce("context_scope", F.nullif("sheet", F.lit(""))).alias("scope"), none.alias("unit"), "raw", "fmt")
     out = long.unionByName(rest).join(quote, [*GRID, "r"])
-    return out.withColumns({"scope": scope_name(F.col("scope")), "cell": cell_address(F.col("c"), F.col("r"))})
+    return out.withColumns({"scope": scope_name(F.col("scope")), "cell": F.when(F.col("sheet") == "", F.format_string("R%dC%d", "r", "c")).otherwise(cell_address(F.col("c"), F.col("r")))})
 
 
 def contexts(cells: DataFrame) -> DataFrame:
@@ -167,8 +167,7 @@ def custom_metrics(queue: DataFrame) -> DataFrame:
 
 def namespace_errors(cells: DataFrame, synthetic: bool) -> DataFrame:
     """file, synthetic of workbooks whose marker differs from the namespace of the run; real and synthetic reports never mix."""
-    flag = F.coalesce(F.bool_or((F.lower("sheet").isin(*METADATA)) & (F.lower("raw") == "true") | F.lower("raw").contains("synthetic")), F.lit(False))
-    return cells.groupBy("file").agg(flag.alias("synthetic")).where(F.col("synthetic") != F.lit(synthetic))
+    return synthetic_files(cells).where(F.col("synthetic") != F.lit(synthetic))
 
 
 def check_extracted(found: DataFrame, fragments: DataFrame, known: DataFrame, supplied: str = "") -> DataFrame:

@@ -24,6 +24,8 @@ from ..operators import runs as U
 from ..operators import scoring as S
 from ..session import ship
 from ..sources import lines as L
+from ..sources import office as O
+from ..sources import pages as P
 from .base import query
 
 _LINES = "package string, document_no int, document string, line_no int, frag_id string, text string"
@@ -560,3 +562,34 @@ def dated_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_values("k, text", "1, 'the limit of requests is reached'", "2, 'the service failed'", "3, 'the step did not finish; local results are kept'"))
 def safe_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(1, "429"), (2, "503"), (3, "key sk-1")], "k int, status string").select("k", V.safe_error(F.col("status")).alias("text"))
+
+
+def _pages(spark: SparkSession) -> DataFrame:
+    broken = "\n".join(["слово"] * 21)
+    rows = [("a", 1, "1. Общее\nтекст\n\n1.1. Первое;\nа. второе", None), ("a", 2, " \n", None), ("b", 1, broken, "слово за словом"), ("b", 2, broken, "")]
+    return spark.createDataFrame(rows, "document string, page_no int, text string, layout string")
+
+
+@query(_values("document, locator, text", "'a', 'page 1, block 1', '1. Общее текст'", "'a', 'page 1, block 2', '1.1. Первое;'", "'a', 'page 1, block 3', 'а. второе'", "'b', 'page 1, block 1', 'слово за словом'", f"'b', 'page 2, block 1', '{' '.join(['слово'] * 21)}'"))
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.page_blocks(_pages(spark)).select("document", "locator", "text")
+
+
+@query(_values("document, n_empty, named", "'a', 1::BIGINT, '2'"))
+def page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.page_warnings(_pages(spark))
+
+
+@query(_values("file, by_content, by_name", "'SYNTH_b.xlsx', false, true", "'c.xlsx', true, false"))
+def synthetic_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("SYNTH_a.xlsx", 1, 1, "ТЕСТОВЫЕ ДАННЫЕ"), ("SYNTH_b.xlsx", 1, 1, "x"), ("c.xlsx", 1, 1, "is_synthetic"), ("c.xlsx", 1, 2, "1"), ("d.xlsx", 1, 1, "is_synthetic"), ("d.xlsx", 2, 1, "1")]
+    return O.marker_errors(spark.createDataFrame([(f, "S", 1, r, c, raw) for f, r, c, raw in rows], "file string, sheet string, table_no int, r int, c int, raw string"))
+
+
+@query(_values("sheet, r, c, raw", "'Findings', 1, 1, 'title'", "'Findings', 2, 1, '''=1+1'", "'Findings', 2, 2, 'a < b & c'", "'Units', 1, 28, 'last'"))
+def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's cells written as a workbook and read back from its bytes."""
+    ship(spark)
+    rows = [("r.xlsx", 1, "Findings", 2, 2, "a < b & c"), ("r.xlsx", 2, "Units", 1, 28, "last"), ("r.xlsx", 1, "Findings", 1, 1, "title"), ("r.xlsx", 1, "Findings", 2, 1, "'=1+1")]
+    made = O.workbooks(spark.createDataFrame(rows, "file string, sheet_no int, sheet string, r int, c int, value string"))
+    return O.cells_of(made.select(F.col("file").alias("path"), "content")).select("sheet", "r", "c", "raw")

@@ -1,4 +1,4 @@
-"""DOCX and XLSX files as fragments and cells: Spark's binaryFile source, and the standard library's zip and XML readers.
+"""DOCX and XLSX files as fragments and cells, and workbooks from tables: Spark's binaryFile source, and the standard library's zip and XML.
 
 A file is one row and one task's work; limits on size, entries, sheets, rows and columns fail the file instead of
 cutting it, as an `error` in its row.
@@ -12,11 +12,14 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.measures import synthetic_files
+
 # Capacity limits of one file.
 MOST_BYTES, MOST_EXPANDED, MOST_ENTRIES = 25 << 20, 100 << 20, 10_000
 MOST_SHEETS, MOST_ROWS, MOST_COLUMNS = 50, 10_000, 200
@@ -73,6 +76,29 @@ def docx_blocks(data: bytes) -> tuple[list[tuple[str, str]], list[str]]:
     return out, sorted(set(warnings))
 
 
+def docx_cells(data: bytes) -> list[tuple[int, int, int, str]]:
+    """(table, row, column, text) of the body's tables, all counted from 1; a merged cell's text stands in each place it covers."""
+    body, out = _xml(_open(data), "word/document.xml").find(f"{_W}body"), []
+    for t, rows in enumerate(body.findall(f"{_W}tbl") if body is not None else (), 1):
+        above: dict[int, str] = {}
+        for r, row in enumerate(rows.findall(f"{_W}tr"), 1):
+            c = 1
+            for cell in row.findall(f"{_W}tc"):
+                span, merge = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+                text = " ".join(x for x in map(_said, cell.findall(f"{_W}p")) if x)
+                if merge is not None and merge.get(f"{_W}val") != "restart":
+                    text = above.get(c, "")
+                wide = 1 if span is None else int(span.get(f"{_W}val"))
+                if r > MOST_ROWS or c + wide - 1 > MOST_COLUMNS:
+                    raise ValueError("table is too large")
+                for k in range(c, c + wide):
+                    above[k] = text
+                    if text:
+                        out.append((t, r, k, text))
+                c += wide
+    return out
+
+
 def _column(ref: str) -> int:
     n = 0
     for c in re.match(r"[A-Z]+", ref)[0]:
@@ -149,8 +175,11 @@ def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, data in zip(frame["path"], frame["content"], strict=True):
             name = path.rsplit("/", 1)[-1]
             try:
-                cells, warnings = xlsx_cells(bytes(data))
-                rows = [(name, s, 1, r, c, raw, num, fmt, "; ".join(warnings) or None, None) for s, r, c, raw, num, fmt in cells]
+                if name.lower().endswith(".docx"):
+                    rows = [(name, "", t, r, c, raw, None, "General", None, None) for t, r, c, raw in docx_cells(bytes(data))]
+                else:
+                    cells, warnings = xlsx_cells(bytes(data))
+                    rows = [(name, s, 1, r, c, raw, num, fmt, "; ".join(warnings) or None, None) for s, r, c, raw, num, fmt in cells]
             except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                 rows = [(name, None, None, None, None, None, None, None, None, str(e))]
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in CELLS.split(", ")])
@@ -167,11 +196,62 @@ def read_documents(spark: SparkSession, folder: str, period: str) -> DataFrame:
 
 
 def read_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of every workbook in a folder."""
-    return _files(spark, folder, "*.{xlsx,xlsm}").mapInPandas(lambda frames: _cells(frames), CELLS)
+    """Cells of every workbook in a folder, and of the tables of every Word report: their sheet is empty, and they count by table_no."""
+    return cells_of(_files(spark, folder, "*.{xlsx,xlsm,docx}"))
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """Cells of files(path, content)."""
+    return files.mapInPandas(lambda frames: _cells(frames), CELLS)
 
 
 def marker_errors(cells: DataFrame) -> DataFrame:
     """Files whose name and content disagree on being synthetic: file, by_name, by_content."""
-    by = cells.groupBy("file").agg(F.coalesce(F.bool_or(F.lower("raw").contains("synthetic")), F.lit(False)).alias("by_content"))
-    return by.withColumn("by_name", F.upper("file").startswith("SYNTH_")).where("by_name <> by_content")
+    by = synthetic_files(cells).withColumnRenamed("synthetic", "by_content")
+    return by.withColumn("by_name", F.col("file").startswith("SYNTH_")).where("by_name <> by_content")
+
+
+def _letters(n: int) -> str:
+    return (_letters((n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
+
+
+def workbook_bytes(sheets: dict[str, list[tuple[int, int, str]]]) -> bytes:
+    """A workbook of sheets with texts at (row, column), both counted from 1."""
+    out = io.BytesIO()
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    package, kinds = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+
+        def put(name: str, text: str) -> None:
+            z.writestr(zipfile.ZipInfo(name), head + text, zipfile.ZIP_DEFLATED)
+
+        numbers = range(1, len(sheets) + 1)
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kinds}.worksheet+xml"/>' for i in numbers)
+        put("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/>{parts}</Types>')
+        put("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{_R[1:-1]}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        put("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{_R[1:-1]}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers) + "</Relationships>")
+        put("xl/workbook.xml", f'<workbook xmlns="{_S[1:-1]}" xmlns:r="{_R[1:-1]}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="r{i}"/>' for i, n in zip(numbers, sheets, strict=True)) + "</sheets></workbook>")
+        for i, cells in zip(numbers, sheets.values(), strict=True):
+            rows: dict[int, list[str]] = {}
+            for r, c, text in sorted(cells):
+                rows.setdefault(r, []).append(f'<c r="{_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>')
+            put(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_S[1:-1]}"><sheetData>' + "".join(f'<row r="{r}">{"".join(x)}</row>' for r, x in rows.items()) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def workbooks(cells: DataFrame) -> DataFrame:
+    """(file, content) of cells(file, sheet_no, sheet, r, c, value): one workbook a file, sheets in order, repeated cells in the first place only.
+
+    A report's cells are one task's work, as a workbook is one archive; more than a sheet of the format holds fails it.
+    """
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.fillna({"value": ""})
+        if rows["r"].max() > 1 << 20 or rows["c"].max() > 1 << 14 or rows["value"].str.len().max() > 32_767:
+            raise ValueError("a sheet is too large for a workbook")
+        rows = rows.sort_values(["sheet_no", "r", "c", "value"]).drop_duplicates(["sheet", "r", "c"])
+        sheets = {name: list(part[["r", "c", "value"]].itertuples(index=False, name=None)) for name, part in rows.groupby("sheet", sort=False)}
+        return pd.DataFrame({"file": [rows["file"].iloc[0]], "content": [workbook_bytes(sheets)]})
+
+    wanted = cells.select("file", F.col("sheet_no").cast("int"), F.substring("sheet", 1, 31).alias("sheet"), F.col("r").cast("int"), F.col("c").cast("int"), F.col("value").cast("string"))
+    return wanted.groupBy("file").applyInPandas(build, "file string, content binary")
