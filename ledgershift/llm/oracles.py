@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_rules
+from . import chat, infill, line_rules, secret_scan
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -56,4 +56,6 @@ ORACLE_SQL = {
     "op5_chat_formatting": chat.ORACLE,
     "op8_mixing": MIXING,
     "op10_substring_dedup": SUBSTRINGS,
+    "op12_secret_scan": secret_scan.ORACLE,
+    "op13_fill_in_middle": infill.ORACLE,
 }

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_rules
+from . import chat, infill, line_rules, repair, secret_scan
 from .common import table
 from .importance import resample
 from .media import media_features
@@ -67,11 +67,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (pipeline, op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op7_toxicity, op8_mixing, op9_quality_classifier, op10_substring_dedup)
+    for f in (pipeline, op1_packing, op2_ngram_jaccard_join, op3_token_output, op4_quality_rules, op5_chat_formatting, op6_media_columns, op7_toxicity, op8_mixing, op9_quality_classifier, op10_substring_dedup, op11_conversation_repair, op12_secret_scan, op13_fill_in_middle)
 }
