@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -203,16 +204,52 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio of two strings; the only term that no built-in function gives."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+def _ratios(a: list[str], b: list[str], least: list[float]) -> list[float | None]:
+    """difflib's ratio of each pair, or None where it is under `least`.
+
+    Lengths and counts of letters bound the ratio from above; pairs whose bound is too low are not aligned. Equal pairs
+    are aligned once, and pairs with one second string share its index.
+    """
+    need: dict[tuple[str, str], float] = {}
+    for x, y, n in zip(a, b, least, strict=True):
+        need[x, y] = min(n, need.get((x, y), n))
+    letters: dict[str, Counter] = {}
+    for s in {s for pair in need for s in pair}:
+        letters[s] = Counter(s)
+    matcher, known, second = SequenceMatcher(None), {}, None
+    for x, y in sorted(need, key=lambda p: (p[1], p[0])):
+        total, n = len(x) + len(y), need[x, y] - 1e-9
+        if not total or x == y:
+            known[x, y] = 1.0
+        elif 2 * min(len(x), len(y)) < n * total or 2 * (letters[x] & letters[y]).total() < n * total:
+            known[x, y] = None
+        else:
+            if y != second:
+                matcher.set_seq2(y)
+                second = y
+            matcher.set_seq1(x)
+            known[x, y] = matcher.ratio()
+    return [r if (r := known[x, y]) is not None and r >= n - 1e-9 else None for x, y, n in zip(a, b, least, strict=True)]
 
 
-def similarity(a: Column, b: Column, ta: Column, tb: Column) -> Column:
-    """1 for equal normal forms a, b; else .55 Jaccard + .25 containment + .20 sequence ratio of the sorted token sets; 0 if a set is empty."""
-    mixed = 0.55 * jaccard(ta, tb) + 0.25 * containment(ta, tb) + 0.20 * sequence_ratio(F.array_join(ta, " "), F.array_join(tb, " "))
-    return F.when(a == b, 1.0).when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(mixed)
+@F.pandas_udf(DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """difflib's ratio of two strings, null where it is under `least`; the only term that no built-in function gives."""
+    return pd.Series(_ratios(a.tolist(), b.tolist(), least.tolist()), dtype="float64")
+
+
+def similarity(a: Column, b: Column, ta: Column, tb: Column, least: float | Column = 0.0) -> Column:
+    """1 for equal normal forms a, b; else .55 Jaccard + .25 containment + .20 sequence ratio of the sorted token sets; 0 if a set is empty.
+
+    Where that is under `least`, it may be what it is or the sum without the last term: letters are aligned only where
+    the first two terms leave the sum a chance.
+    """
+    plain = 0.55 * jaccard(ta, tb) + 0.25 * containment(ta, tb)
+    need = (F.lit(least) - plain) / 0.20
+    known = (a == b) | (F.size(ta) == 0) | (F.size(tb) == 0) | (need > 1 + 1e-9)
+    text = lambda t: F.when(known, "").otherwise(F.array_join(t, " "))
+    mixed = plain + 0.20 * F.coalesce(sequence_ratio(text(ta), text(tb), F.when(known, 0.0).otherwise(need)), F.lit(0.0))
+    return F.when(a == b, 1.0).when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).when(known, plain).otherwise(mixed)
 
 
 def label_key(text: Column) -> Column:

@@ -76,16 +76,12 @@ def matrix(assignments: DataFrame, incomplete: bool = False) -> tuple[DataFrame,
     """
     rows = M.prepared(ordered(assignments))
     links = M.edges(rows)
-    members = rows.join(M.cluster(rows, links.where(F.col("s") >= M.JOIN_OLD)), "fn_ord")
+    members = materialize(rows.join(M.cluster(rows, links), "fn_ord"), "clustered")
     parts = materialize(split_rows(members), "split-rows")
     members = members.join(parts.select(F.col("row_ord").alias("whole"), F.col("part_ord").alias("row_ord")), "row_ord", "left")
     members = materialize(members.withColumn("row_ord", F.coalesce("whole", "row_ord")).drop("whole"), "members")
-    late = rows.where("period = 'after'")
-    early = members.where("period = 'before'")
-    near = links.join(late.select(F.col("fn_ord").alias("a_ord")), "a_ord").join(early.select(F.col("fn_ord").alias("b_ord"), "row_ord"), "b_ord").select("row_ord")
-    keyed = lambda x, p: x.select("norm_type", "role", F.col("f.stem").alias("stem"), F.col("text").alias(f"{p}_text"), F.col("t").alias(f"{p}_t"), *(["row_ord"] if p == "old" else []))
-    short = keyed(early, "old").join(keyed(late, "new"), ["norm_type", "role", "stem"])
-    short = short.where(T.possible_abbreviation(F.col("old_text"), F.col("new_text"), F.col("old_t"), F.col("new_t"))).select("row_ord")
+    near = M.near_rows(rows, members, links)
+    short = _short_forms(rows, members)
     status = M.row_status(members, near.union(short), incomplete).drop("candidate_overlap")
     head = Window.partitionBy("row_ord").orderBy("fn_ord")
     first = members.withColumn("k", F.row_number().over(head)).where("k = 1").select("row_ord", F.col("text").alias("label"), "norm_type", F.substring(F.sha2(F.concat_ws("|", "norm_type", "role", T.norm(F.col("text"))), 256), 1, 14).alias("digest"))
@@ -97,6 +93,24 @@ def matrix(assignments: DataFrame, incomplete: bool = False) -> tuple[DataFrame,
     return materialize(out, "matrix"), members
 
 
+def _short_forms(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(row_ord): rows before of which an assignment after may be a short form.
+
+    A short form has two to four tokens and three quarters of them in the long one, so one of its rarest tokens is there.
+    """
+    of = M.texts_of(rows)
+    texts = rows.join(of.where("fn_ord = rep"), "fn_ord").select("fn_ord", "norm_type", "role", "t", F.col("f.stem").alias("stem"), "text")
+    side = lambda period: of.join(rows.where(F.col("period") == period).select("fn_ord"), "fn_ord").select(F.col("rep").alias("fn_ord")).distinct()
+    late = texts.join(side("after"), "fn_ord").where(F.size("t").between(2, 4) & F.col("stem").isNotNull())
+    ready = M.rare_first(texts).select("fn_ord", "r")
+    n = F.size("r")
+    late = late.join(ready, "fn_ord").select("norm_type", "role", "stem", F.col("t").alias("new_t"), F.col("text").alias("new_text"), F.explode(F.slice("r", 1, n - F.ceil(n * 0.75).cast("int") + 1)).alias("token"))
+    early = texts.join(side("before"), "fn_ord").select("fn_ord", "norm_type", "role", "stem", F.col("t").alias("old_t"), F.col("text").alias("old_text"), F.explode("t").alias("token"))
+    met = early.join(late, ["norm_type", "role", "stem", "token"]).where(T.possible_abbreviation(F.col("old_text"), F.col("new_text"), F.col("old_t"), F.col("new_t")))
+    held = met.select(F.col("fn_ord").alias("rep")).distinct().join(of, "rep").select("fn_ord")
+    return members.where("period = 'before'").join(held, "fn_ord").select("row_ord").distinct()
+
+
 def notes(rows: DataFrame) -> DataFrame:
     """row_ord, note: what a reviewer should look at, by status, overlap, scopes, split and norm."""
     status = F.col("status")
@@ -145,16 +159,43 @@ def package_state(assignments: DataFrame, warnings: int = 0, complete: bool = Fa
     return {"n": n, "unknown": unknown, "owners": owners, "ratio": 1 - unknown / n if n else 0.0, "clean": n > 0 and warnings == 0, "complete": complete}
 
 
+def nearest_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sides a and b that share a stem, with s, action, object and support, where a pair can matter: as a member's strongest of its norm, or at a threshold.
+
+    The sum without the aligned letters, and with all of them, bound the support of a pair from below and above. A pair
+    is left out if it can neither be its member's strongest nor reach .55, nor be a part (object .35, s .30).
+    """
+    word = lambda side, p: side.select(f"{p}_ord", F.explode(f"{p}_t").alias("w"))
+    met = word(old, "a").join(word(new, "b"), "w").select("a_ord", "b_ord").distinct()
+    pairs = met.join(old, "a_ord").join(new, "b_ord")
+    action, objects = S.signals(F.col("a_t"), F.col("a_a"), F.col("b_t"), F.col("b_a"))
+    plain = 0.55 * T.jaccard(F.col("a_t"), F.col("b_t")) + 0.25 * T.containment(F.col("a_t"), F.col("b_t"))
+    lengths = F.length(F.array_join("a_t", " ")), F.length(F.array_join("b_t", " "))
+    most = 0.2 * 2 * F.least(*lengths) / (lengths[0] + lengths[1])
+    same_norm, equal = F.col("a_norm_type") == F.col("b_norm_type"), F.col("a_n") == F.col("b_n")
+    pairs = pairs.withColumns({"action": action, "object": objects, "low_s": F.when(equal, 1.0).otherwise(plain), "high_s": F.when(equal, 1.0).otherwise(plain + most)})
+    pairs = pairs.withColumns({f"{x}_support": S.support(F.col(f"{x}_s"), F.col("action"), F.col("object"), same_norm) for x in ("low", "high")})
+    pairs = materialize(pairs, "near-pairs")
+    best = pairs.groupBy("a_ord").agg(F.max("low_support").alias("floor"))
+    able = (F.col("high_support") >= F.col("floor") - 1e-9) | (F.col("high_support") >= 0.55) | ((F.col("object") >= 0.35) & (F.col("high_s") >= 0.30) & same_norm)
+    pairs = pairs.join(best, "a_ord").where(able).drop("low_s", "high_s", "low_support", "high_support", "floor")
+    pairs = pairs.withColumn("s", T.similarity(F.col("a_n"), F.col("b_n"), F.col("a_t"), F.col("b_t")))
+    return pairs.withColumn("support", S.support(F.col("s"), F.col("action"), F.col("object"), same_norm))
+
+
 def loss_scores(rows: DataFrame, members: DataFrame, state: dict) -> DataFrame:
     """row_ord, strongest, transfer, parts, score of lost rows that are no prohibitions.
 
-    A lost row's members are held against all assignments after: lost rows are few, and the nearest text is the evidence.
+    The nearest text after is the evidence; texts that share no stem are none. Letters are aligned only for pairs that can
+    be a member's nearest, or reach a threshold.
     """
     more = ("norm_type", "unit", "owner_known", "frag_id")
     lost = rows.where("status = 'lost' and norm_type <> 'prohibition'").select("row_ord")
-    old = M.side(members.join(lost, "row_ord"), "a", "row_ord", *more).withColumnRenamed("a_row_ord", "row_ord").withColumn("_all", F.lit(0))
-    new = M.side(members.where("period = 'after'"), "b", *more).withColumn("_all", F.lit(0))
-    pairs = _pair_signals(old.join(new, "_all", "left"))
+    old = M.side(members.join(lost, "row_ord"), "a", "row_ord", *more).withColumnRenamed("a_row_ord", "row_ord")
+    old = materialize(old, "lost-members")
+    pairs = nearest_pairs(old, M.side(members.where("period = 'after'"), "b", *more))
+    none = old.join(pairs.select("a_ord").distinct(), "a_ord", "left_anti")
+    pairs = pairs.unionByName(none, allowMissingColumns=True)
     covers = F.size(F.array_intersect("a_a", "b_a"))
     part = (F.col("a_norm_type") == F.col("b_norm_type")) & (F.col("object") >= 0.35) & (F.col("s") >= 0.30)
     by = pairs.groupBy("row_ord", "a_ord").agg(
@@ -220,7 +261,7 @@ def unit_changes(scanned_units: DataFrame, assignments: DataFrame) -> DataFrame:
     Only pairs that share a word of the name or a linked duty can match, so no other pair is made.
     """
     rows = M.prepared(ordered(assignments))
-    links = M.edges(rows, 0.0)
+    links = M.member_edges(rows, M.edges(rows, 0.0)).withColumnsRenamed({"x": "a_ord", "y": "b_ord"})
     unit_of = rows.select("fn_ord", "unit", "period")
     pair = links.join(unit_of.where("period = 'after'").select(F.col("fn_ord").alias("a_ord"), F.col("unit").alias("after")), "a_ord")
     pair = pair.join(unit_of.where("period = 'before'").select(F.col("fn_ord").alias("b_ord"), F.col("unit").alias("before")), "b_ord")

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import docs, kpi, rules  # noqa: F401
+from . import docs, kpi, matrix  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

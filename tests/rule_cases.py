@@ -1,32 +1,47 @@
-"""Queries that put the document, KPI and review rules to small tables of their own; the SQL states the rows that the rules ask for."""
+"""Cases of the document, KPI and review rules: small tables, and the rows that the rules ask for, stated as SQL."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import measures as Me
-from ..functions import text as T
-from ..functions.periods import is_full_period
-from ..operators import assignments as A
-from ..operators import catalog as K
-from ..operators import compare as C
-from ..operators import explore as X
-from ..operators import findings as Fi
-from ..operators import ingest as I
-from ..operators import matching as M
-from ..operators import reports as R
-from ..operators import review as V
-from ..operators import runs as U
-from ..operators import scoring as S
-from ..session import ship
-from ..sources import lines as L
-from ..sources import office as O
-from ..sources import pages as P
-from .base import query
+from ledgershift.functions import measures as Me
+from ledgershift.functions import text as T
+from ledgershift.functions.periods import is_full_period
+from ledgershift.operators import assignments as A
+from ledgershift.operators import catalog as K
+from ledgershift.operators import compare as C
+from ledgershift.operators import explore as X
+from ledgershift.operators import findings as Fi
+from ledgershift.operators import ingest as I
+from ledgershift.operators import matching as M
+from ledgershift.operators import reports as R
+from ledgershift.operators import review as V
+from ledgershift.operators import runs as U
+from ledgershift.operators import scoring as S
+from ledgershift.session import ship
+from ledgershift.sources import lines as L
+from ledgershift.sources import office as O
+from ledgershift.sources import pages as P
+
+RULES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EXPECTED: dict[str, str] = {}
+
+
+def query(sql: str, dates: tuple[str, ...] = ()) -> Callable:
+    """A case under its function's name, with the rows that it must give; columns in `dates` are given as ISO text."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        RULES[f.__name__] = (lambda spark, _: f(spark, _).withColumns({c: F.col(c).cast("string") for c in dates})) if dates else f
+        EXPECTED[f.__name__] = sql
+        return f
+
+    return add
+
 
 _LINES = "package string, document_no int, document string, line_no int, frag_id string, text string"
 
