@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbers import close
-from .periods import parse_period
+from .periods import ORDERS, parse_period
 from .text import label_key
 
 # Spellings of units of measure, and Latin names of units of an organisation with their canonical ones.
@@ -17,7 +17,8 @@ SUGGESTED = (("отчет", "report_delay_days"), ("качеств", "qa_score")
 # Score metrics that are shown in percent.
 PERCENT_METRICS = ("strongest_weighted_match", "nearest_text_similarity", "action_overlap", "object_overlap", "match_coverage", "text_similarity", "reported_score", "raw_score", "score_cap")
 _NUMBER = r"(?<![\p{L}\p{N}_])[-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
-_ORDERS = "(?iU)утвержд|протокол|приказ|редакци"
+# Fixed value: how a text names the year of a report.
+_YEAR_SAID = r"(?iU)(?:за|в|период|отч[её]т\s+за)\s*[:=|]?\s*((?:19|20)\d{2})(?![-/.\d])\s*(?:год\w*|г\.)?"
 
 
 def unit_of_measure(text: Column) -> Column:
@@ -63,8 +64,8 @@ def numbers_grounded(text: Column, facts: Column) -> Column:
 
 def mentioned_periods(text: Column) -> Column:
     """The set of reporting periods that lines of a text name; lines on approvals and orders do not count."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(_ORDERS))
-    years = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"(?iU)(?:за|в|период|отч[её]т\s+за)\s*[:=|]?\s*((?:19|20)\d{2})(?![-/.\d])\s*(?:год\w*|г\.)?"), 1)))
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(f"(?iU){ORDERS}"))
+    years = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_YEAR_SAID), 1)))
     return F.array_distinct(F.array_compact(F.transform(F.concat(lines, years), parse_period)))
 
 

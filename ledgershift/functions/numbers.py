@@ -24,26 +24,43 @@ def percent_change(before: Column, delta: Column) -> Column:
     return F.when(before != 0, delta / F.abs(before) * 100)
 
 
-def parse_number(text: Column, number_format: Column | None = None) -> Column:
-    """A cell's text -> struct(value double, reason string): reason is null for a number, else why it is none.
+# Units that may follow a number in a cell, and a number that could be grouped or a fraction.
+CELL_UNITS = r"%|дн(?:ей|я)?\.?|день|дни|шт\.?|чел\.?|fte|балл\w*|(?:тыс\.?\s*)?(?:руб\.?|тенге|тг|₸|₽|usd|kzt|eur)"
+EITHER_WAY = r"[1-9]\d{0,2}[,.]\d{3}"
 
-    Spaces of any kind between digits group thousands, a comma is a decimal point, the Unicode minus counts, one unit may
-    follow; `1,234` (could be either) and formulas are refused. A cell format with % multiplies by 100.
+
+def parse_number(text: Column, number_format: Column | None = None, number: Column | None = None) -> Column:
+    """A cell -> struct(value double, unit string, reason string): reason is null for a number, else why it is none.
+
+    text: spaces between digits group them, a comma is a decimal point, the minus sign counts, one known unit may follow.
+    `1,234` and `1.234` could be either and are refused, as are formulas. number: the value of a numeric cell, which is
+    taken as it is. A cell format with % multiplies by 100 what a numeric cell holds, or a text without any unit.
     """
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, "[−–]", "-"), "[   ]", " "))
-    plain = F.regexp_replace(t, r"(?<=\d) (?=\d{3}(?!\d))", "")
-    number = F.regexp_extract(plain, r"^([+-]?\d+(?:[.,]\d+)?)\s*(?:%|[\p{L}./]+)?$", 1)
-    value = F.nullif(F.regexp_replace(number, ",", "."), F.lit("")).cast("double")
+    t = F.trim(F.translate(text, "\u00a0\u202f\u2212", "  -"))
+    pattern = rf"(?iU)^([+-]?\d[\d ]*(?:[.,]\d+)?)\s*({CELL_UNITS})?$"
+    digits, unit = F.replace(F.regexp_extract(t, pattern, 1), F.lit(" "), F.lit("")), F.lower(F.regexp_extract(t, pattern, 2))
+    value = F.nullif(F.regexp_replace(digits, ",", "."), F.lit("")).try_cast("double")
+    either = digits.rlike(rf"^{EITHER_WAY}$")
+    if number is not None:
+        value, unit, either = F.coalesce(number, value), F.when(number.isNull(), unit).otherwise(""), either & number.isNull()
+        t = F.when(number.isNotNull(), "0").otherwise(t)
     if number_format is not None:
-        value = F.when(number_format.contains("%"), value * 100).otherwise(value)
-    reason = F.when(t.isNull() | (t == ""), "empty").when(t.startswith("="), "formula").when(t.rlike(r"^[+-]?\d{1,3}(?:,\d{3})+$"), "ambiguous").when(value.isNull(), "not_a_number")
-    return F.struct(F.when(reason.isNull(), value).alias("value"), reason.alias("reason"))
+        shown = number_format.contains("%") & (unit == "")
+        value, unit = F.when(shown, value * 100).otherwise(value), F.when(shown, "%").otherwise(unit)
+    reason = F.when(t.isNull() | (t == ""), "empty").when(t.startswith("="), "formula").when(either, "ambiguous").when(value.isNull() | F.isnan(value), "not_a_number")
+    return F.struct(F.when(reason.isNull(), value).alias("value"), F.when(reason.isNull(), unit).alias("unit"), reason.alias("reason"))
 
 
-def literal_in(value: Column, quote: Column) -> Column:
-    """Whether one of the numbers written in quote is the value (to 1e-9 of it)."""
-    found = F.regexp_extract_all(F.regexp_replace(quote, "[−–]", "-"), F.lit(r"[+-]?\d+(?:[.,]\d+)?"), 0)
-    return F.exists(found, lambda x: close(F.regexp_replace(x, ",", ".").cast("double"), value, 1e-9, 1e-9))
+def literal_in(value: Column, quote: Column, grouped: bool = False) -> Column:
+    """Whether one of the numbers written in quote, none inside a word, is the value (to 1e-9 of it); spaces may group thousands.
+
+    grouped: for a human's answer, `1,234` and `1.234` may stand for 1234 too.
+    """
+    found = F.regexp_extract_all(quote, F.lit(r"(?U)(?<!\w)[-+]?\d+(?:[ \u00a0\u202f]\d{3})*(?:[.,]\d+)?"), 0)
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, "[ \u00a0\u202f]", ""), ",", ".").try_cast("double")
+    same = lambda x: close(plain(x), value, 1e-9, 1e-9)
+    whole = lambda x: x.rlike(rf"^{EITHER_WAY}$") & close(F.regexp_replace(x, "[.,]", "").try_cast("double"), value)
+    return F.exists(found, lambda x: F.coalesce(same(x) | whole(x) if grouped else same(x), F.lit(False)))
 
 
 def clamp_score(score: Column, cap: float | Column = TOP_SCORE) -> Column:

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 #: Months in a period of each granularity.
 MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
-# Month names (Russian and English beginnings, as reports write them) and their numbers.
-MONTH_NAMES = {
-    "янв": 1, "фев": 2, "мар": 3, "апр": 4, "мая": 5, "май": 5, "июн": 6, "июл": 7, "авг": 8, "сен": 9, "окт": 10, "ноя": 11, "дек": 12,
-    "jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12,
-}
+# Beginnings of month names as reports write them, and what a dated order or minutes says.
+MONTH_NAMES = {"янв": 1, "фев": 2, "мар": 3, "апр": 4, "май": 5, "мая": 5, "июн": 6, "июл": 7, "авг": 8, "сен": 9, "окт": 10, "ноя": 11, "дек": 12}
+WHOLE_NAMES = ("май", "мая")
+ORDERS = "утвержд|протокол|приказ|редакци"
 
 
 def bounds(day: Column, granularity: str) -> tuple[Column, Column]:
@@ -42,37 +41,41 @@ def midpoint(start: Column, end: Column) -> Column:
 def parse_period(text: Column) -> Column:
     """A reporting period written in words -> struct(start date, end date, granularity string), or null.
 
-    Quarters ("Q1 2023", "2023 q1", "1 кв. 2023"), months ("2023-12", a month name and a year of two or four digits) and
-    years ("2022", "за 2023 год"). Full dates, approvals and orders, and texts with two different years give null.
+    Quarters ("Q1 2023", "2023 q1", "1 кв. 2023", "1 quarter 2023"), months ("2023-12", "2023/1", "2023.12", a Russian
+    month name and a year of two or four digits) and years ("2022", "отчет за 2023 год", "период 2023"). Full dates,
+    approvals, orders and editions, and texts with two different years give null.
     """
-    names = F.create_map(*(F.lit(x) for kv in MONTH_NAMES.items() for x in kv))
-    pattern = r"(?U)\b(" + "|".join(MONTH_NAMES) + r")\p{L}*[\s.,]*((?:19|20)?\d{2})(?!\d)"
-    found = lambda t, p, i=1: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
+    year, gap = r"((?:19|20)\d{2})", "[, ._/-]*"
+    quarters = rf"(?:q\s*([1-4])\s*{gap}{year}|([1-4])\s*(?:кв(?:артал)?\.?|quarter)\s*{gap}{year}|{year}\s*{gap}q\s*([1-4]))"
+    named = r"(?U)(" + "|".join(n if n in WHOLE_NAMES else rf"{n}\w*" for n in MONTH_NAMES) + r")[ ._-]*((?:19|20)?\d{2})(?!\d)"
+    digits = rf"(?<!\d){year}[-/.](0?[1-9]|1[0-2])(?:[-/.]01)?(?!\d)"
+    annual = rf"^(?:(?:отчет\s+за|за|год|период)\s*[:=|]?\s*)?{year}(?:\s*(?:г\.?|год(?:а|у)?))?$"
+    dated = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)|(?<!\d)\d{1,2}[./]\d{1,2}[./]\d{4}(?!\d)"
+    numbers = F.create_map(*(F.lit(x) for kv in MONTH_NAMES.items() for x in kv))
 
     def read(t: Column) -> Column:
-        short = found(t, pattern, 2)
+        part = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
+        first = lambda pattern, *groups: F.coalesce(*(part(pattern, i) for i in groups)).cast("int")
+        short = part(named, 2).cast("int")
         return F.struct(
-            F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), 1)).alias("years"),
-            (t.rlike(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{2,4}") | t.rlike(r"(?U)утвержд|приказ|протокол|распоряж|approved|order no")).alias("other"),
-            F.coalesce(found(t, r"(?U)\bq\s*([1-4])\b"), found(t, r"(?U)\b([1-4])\s*(?:-?й\s*)?кв")).cast("int").alias("quarter"),
-            found(t, r"(?<!\d)(?:19|20)\d{2}-(0[1-9]|1[0-2])(?![\d-])").cast("int").alias("iso_month"),
-            F.element_at(names, found(t, pattern)).alias("named"),
-            F.when(F.length(short) == 2, F.concat(F.lit("20"), short)).otherwise(short).cast("int").alias("named_year"),
-            t.rlike(r"(?U)^(?:за\s+)?(?:19|20)\d{2}(?:\s*(?:год[а-я]*|г\.?))?$").alias("whole"),
-        )
+            (t.rlike(ORDERS) | t.rlike(dated) | (F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(rf"(?<!\d){year}(?!\d)"), 1))) > 1)).alias("other"),
+            first(quarters, 1, 3, 6).alias("quarter"), first(quarters, 2, 4, 5).alias("quarter_year"),
+            first(digits, 2).alias("month"), first(digits, 1).alias("month_year"),
+            F.element_at(numbers, F.substring(part(named, 1), 1, 3)).alias("named"), (short + F.when(short < 100, 2000).otherwise(0)).alias("named_year"),
+            first(annual, 1).alias("year"),
+        )
 
     def first_day(x: Column) -> Column:
-        year = F.get(x["years"], 0).cast("int")
-        month, of_month = F.coalesce(x["iso_month"], x["named"]), F.when(x["iso_month"].isNotNull(), year).otherwise(x["named_year"])
-        by_quarter, by_month = x["quarter"].isNotNull() & year.isNotNull(), month.isNotNull() & of_month.isNotNull()
-        start = F.when(by_quarter, F.make_date(year, x["quarter"] * 3 - 2, F.lit(1))).when(by_month, F.make_date(of_month, month, F.lit(1))).when(x["whole"], F.make_date(year, F.lit(1), F.lit(1)))
-        return F.struct(F.when(~x["other"] & (F.size(x["years"]) <= 1), start).alias("start"), F.when(by_quarter, 3).when(by_month, 1).otherwise(12).alias("months"))
+        one = F.lit(1)
+        by_quarter, by_month, by_name = x["quarter"].isNotNull(), x["month"].isNotNull(), x["named"].isNotNull()
+        start = F.when(by_quarter, F.make_date(x["quarter_year"], x["quarter"] * 3 - 2, one)).when(by_month, F.make_date(x["month_year"], x["month"], one)).when(by_name, F.make_date(x["named_year"], x["named"], one)).otherwise(F.make_date(x["year"], one, one))
+        return F.struct(F.when(~x["other"], start).alias("start"), F.when(by_quarter, 3).when(by_month | by_name, 1).otherwise(12).alias("months"))
 
     def period(x: Column) -> Column:
         kind = F.when(x["months"] == 3, "quarter").when(x["months"] == 1, "month").otherwise("year")
         return F.when(x["start"].isNotNull(), F.struct(x["start"].alias("start"), F.last_day(F.add_months(x["start"], x["months"] - 1)).alias("end"), kind.alias("granularity")))
 
-    plain = F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    plain = F.translate(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), "ё", "е")
     return let(let(let(plain, read), first_day), period)
 
 

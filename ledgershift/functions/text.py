@@ -252,11 +252,15 @@ def similarity(a: Column, b: Column, ta: Column, tb: Column, least: float | Colu
     return F.when(a == b, 1.0).when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).when(known, plain).otherwise(mixed)
 
 
+# Units that a label may give in brackets or at its end.
+LABEL_UNITS = r"%|шт\.?|ед\.?|дн\.?|дней|чел\.?|fte|балл\w*"
+
+
 def label_key(text: Column) -> Column:
-    """A metric label's key: lower case, ё as е, no unit in parentheses or after the last comma, words only."""
-    t = F.regexp_replace(F.lower(text), "ё", "е")
-    t = F.regexp_replace(F.regexp_replace(t, r"\([^)]*\)", " "), r",[^,]*$", "")
-    return F.array_join(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), 0), " ")
+    """A metric label's key: lower case, ё as е, no unit of measure in brackets or after a last comma or semicolon, words only."""
+    t = F.translate(F.lower(text), "ё", "е")
+    t = F.regexp_replace(F.regexp_replace(t, rf"(?U)\((?:{LABEL_UNITS})\)", " "), rf"(?U)[,;]\s*(?:{LABEL_UNITS})\s*$", "")
+    return F.array_join(F.regexp_extract_all(t, F.lit("[а-яa-z0-9]+"), 0), " ")
 
 
 def retrieval_tokens(text: Column, letters: str = "а-яёa-z") -> Column:

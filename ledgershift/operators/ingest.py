@@ -65,7 +65,7 @@ def headers(cells: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def records(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """One row a value cell: GRID, r, c, label, period_text, scope, unit, raw, fmt, quote (the row's cells)."""
+    """One row a value cell: GRID, r, c, label, period_text, scope, unit, raw, fmt, num, quote (the row's cells)."""
     cells = cells.where(~F.lower("sheet").isin(*METADATA))
     head = headers(cells, known).join(contexts(cells), GRID, "left")
     at = cells.join(head, GRID)
@@ -75,16 +75,16 @@ def records(cells: DataFrame, known: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     field = field_of(F.col("heading"))
     long = body.where("layout = 'long'").withColumn("field", field).groupBy(*GRID, "r").agg(
-        *(F.max(F.when(F.col("field") == f, F.col("raw"))).alias(f) for f in FIELDS), F.max(F.when(F.col("field") == "value", F.col("c"))).alias("c"), F.max(F.when(F.col("field") == "value", F.col("fmt"))).alias("fmt"),
+        *(F.max(F.when(F.col("field") == f, F.col("raw"))).alias(f) for f in FIELDS), F.max(F.when(F.col("field") == "value", F.col("c"))).alias("c"), F.max(F.when(F.col("field") == "value", F.col("fmt"))).alias("fmt"), F.max(F.when(F.col("field") == "value", F.col("num"))).alias("num"),
     )
     dates = F.when(F.col("period_start").isNotNull() & F.col("period_end").isNotNull(), F.concat_ws("/", "period_start", "period_end", F.lower("granularity")))
     long = long.join(head.select(*GRID, "context_scope", "context_period"), GRID)
-    long = long.select(*GRID, "r", "c", F.col("metric").alias("label"), F.coalesce("period", dates, "context_period").alias("period_text"), F.coalesce(F.nullif(F.trim("scope"), F.lit("")), "context_scope").alias("scope"), "unit", F.col("value").alias("raw"), "fmt")
+    long = long.select(*GRID, "r", "c", F.col("metric").alias("label"), F.coalesce("period", dates, "context_period").alias("period_text"), F.coalesce(F.nullif(F.trim("scope"), F.lit("")), "context_scope").alias("scope"), "unit", F.col("value").alias("raw"), "fmt", "num")
     long = long.where(F.coalesce(field_of(F.col("label")), F.lit("")) != "metric")
     first = body.where("c = 1").select(*GRID, "r", F.col("raw").alias("first"))
     rest = body.where("c > 1 and layout <> 'long' and heading is not null").join(first, [*GRID, "r"])
     wide = F.col("layout") == "wide"
-    rest = rest.select(*GRID, "r", "c", F.when(wide, F.col("first")).otherwise(F.col("heading")).alias("label"), F.when(wide, F.col("heading")).otherwise(F.col("first")).alias("period_text"), F.coalesce("context_scope", F.nullif("sheet", F.lit(""))).alias("scope"), none.alias("unit"), "raw", "fmt")
+    rest = rest.select(*GRID, "r", "c", F.when(wide, F.col("first")).otherwise(F.col("heading")).alias("label"), F.when(wide, F.col("heading")).otherwise(F.col("first")).alias("period_text"), F.coalesce("context_scope", F.nullif("sheet", F.lit(""))).alias("scope"), none.alias("unit"), "raw", "fmt", "num")
     out = long.unionByName(rest).join(quote, [*GRID, "r"])
     return out.withColumns({"scope": scope_name(F.col("scope")), "cell": F.when(F.col("sheet") == "", F.format_string("R%dC%d", "r", "c")).otherwise(cell_address(F.col("c"), F.col("r")))})
 
@@ -114,7 +114,7 @@ def dated_period(text: Column) -> Column:
         said = F.get(x, 2)
         return F.struct(start.alias("start"), end.alias("end"), F.coalesce(names[said], said).alias("said"))
 
-    return F.coalesce(let(let(F.split(text, "/"), parts), dated), F.when(~F.contains(text, F.lit("/")), parse_period(text)))
+    return F.coalesce(let(let(F.split(text, "/"), parts), dated), F.when(~F.contains(text, F.lit("/")) | text.rlike(r"^\s*(?:19|20)\d{2}/(?:0?[1-9]|1[0-2])(?:/01)?\s*$"), parse_period(text)))
 
 
 def accept(found: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +126,7 @@ def accept(found: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = known.select(label_key(F.col("label")).alias("key"), "code", F.col("unit").alias("metric_unit")).distinct()
     one = keys.groupBy("key").agg(F.collect_set("code").alias("codes"), F.max("metric_unit").alias("metric_unit"))
     rows = found.withColumn("key", label_key(F.col("label"))).join(one, "key", "left")
-    rows = rows.withColumns({"n": parse_number(F.col("raw"), F.coalesce("fmt", F.lit("General"))), "p": dated_period(F.col("period_text"))})
+    rows = rows.withColumns({"n": parse_number(F.col("raw"), F.coalesce("fmt", F.lit("General")), F.col("num")), "p": dated_period(F.col("period_text"))})
     rows = materialize(rows, "parsed-cells")  # what follows uses the parsed number and period many times
     number, code, own = F.col("n.value"), F.get("codes", 0), F.col("metric_unit")
     sign = F.when(F.col("raw").contains("%") | F.coalesce("fmt", F.lit("")).contains("%"), "%")
@@ -198,7 +198,7 @@ def check_extracted(found: DataFrame, fragments: DataFrame, known: DataFrame, su
 
 def confirm(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(values, queue left) after decisions(id, value): the number must stand in the quote; a decision clears its whole key."""
-    said = queue.join(decisions.select("id", F.col("value").alias("said")), "id").where(literal_in(F.col("said"), F.col("quote")))
+    said = queue.join(decisions.select("id", F.col("value").alias("said")), "id").where(literal_in(F.col("said"), F.col("quote"), grouped=True))
     values = said.select("id", "code", "scope", "start", "end", F.col("said").alias("value"), "quote")
     left = queue.join(values.select("id"), "id", "left_anti").join(values.where("code is not null").select("code", "scope", "start", "end"), ["code", "scope", "start", "end"], "left_anti")
     return values, left

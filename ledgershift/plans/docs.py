@@ -267,9 +267,12 @@ def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.search(rows, "Brand#1", ["p_name", "p_type", "p_brand"]).select("p_partkey", "p_name")
 
 
-@query(r"SELECT p_partkey, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(lower(p_type || ' (' || p_size || '), pcs'), '\([^)]*\)', ' ', 'g'), ',[^,]*$', ''), '[\p{L}\p{N}]+'), ' ') AS label FROM part")
+@query(r"""SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_type) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || p_size WHEN 2 THEN ' pcs' ELSE ' existing' END, '[a-z0-9]+'), ' ') AS label FROM part""")
 def label_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", T.label_key(F.concat("p_type", F.lit(" ("), F.col("p_size").cast("string"), F.lit("), pcs"))).alias("label"))
+    """Only units of measure leave a label: `(шт.)`, `; чел` and `, %` go, other brackets and what follows a comma stay."""
+    k = F.col("p_partkey") % 4
+    tail = F.when(k == 0, " (шт.); чел.").when(k == 1, F.concat(F.lit(" ("), F.col("p_size").cast("string"), F.lit("), %"))).when(k == 2, ", pcs").otherwise(" (existing); fte")
+    return table(spark, sf_dir, "part").select("p_partkey", T.label_key(F.concat("p_type", tail)).alias("label"))
 
 
 _ALIAS = "a AS (SELECT DISTINCT lower(string_split(p_type, ' ')[1]) AS alias, p_brand AS code FROM part WHERE p_size = 1)"
@@ -283,8 +286,8 @@ def label_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN year(o_orderdate)::VARCHAR WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE lower(strftime(o_orderdate, '%b.%y')) END AS w, o_orderdate AS d FROM orders)
-    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'quarter' WHEN 2 THEN 'year' WHEN 3 THEN 'none' ELSE CASE WHEN o_orderkey % 5 = 4 AND d < TIMESTAMP '2000-01-01' THEN 'month' ELSE 'month' END END AS granularity,
-      CASE o_orderkey % 5 WHEN 0 THEN date_trunc('quarter', d)::DATE::VARCHAR WHEN 2 THEN date_trunc('year', d)::DATE::VARCHAR WHEN 3 THEN 'none' WHEN 1 THEN date_trunc('month', d)::DATE::VARCHAR ELSE '20' || strftime(d, '%y-%m-01') END AS start FROM t""")
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'quarter' WHEN 2 THEN 'year' WHEN 1 THEN 'month' ELSE 'none' END AS granularity,
+      CASE o_orderkey % 5 WHEN 0 THEN date_trunc('quarter', d)::DATE::VARCHAR WHEN 2 THEN date_trunc('year', d)::DATE::VARCHAR WHEN 3 THEN 'none' WHEN 1 THEN date_trunc('month', d)::DATE::VARCHAR ELSE 'none' END AS start FROM t""")
 def period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.periods import parse_period
 
@@ -296,20 +299,26 @@ def period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.coalesce("p.granularity", none).alias("granularity"), F.coalesce(F.col("p.start").cast("string"), none).alias("start"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL ELSE p_retailprice * CASE WHEN p_partkey % 4 = 2 THEN 100 ELSE 1 END END AS value, CASE p_partkey % 4 WHEN 0 THEN 'formula' ELSE 'number' END AS reason FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN NULL WHEN 2 THEN p_retailprice * 100 WHEN 4 THEN NULL WHEN 5 THEN NULL WHEN 6 THEN p_size / 1000.0 WHEN 7 THEN p_size * 1000 + 234.5 ELSE p_retailprice END AS value,
+    CASE p_partkey % 8 WHEN 0 THEN 'formula' WHEN 4 THEN 'ambiguous' WHEN 5 THEN 'not_a_number' ELSE 'number' END AS reason FROM part""")
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, plain = F.col("p_partkey") % 4, F.col("p_retailprice").cast("decimal(18,2)").cast("string")
-    cell = F.when(k == 0, F.concat(F.lit("="), plain)).when(k == 1, F.concat(F.replace(plain, F.lit("."), F.lit(",")), F.lit(" pcs"))).otherwise(plain)
-    found = N.parse_number(cell, F.when(k == 2, "0%").otherwise("General"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", found.alias("n"))
+    """Formulas, units, formats, grouped digits, fractions under one, and what could be either."""
+    k, plain = F.col("p_partkey") % 8, F.col("p_retailprice").cast("decimal(18,2)").cast("string")
+    size = F.col("p_size").cast("string")
+    forms = [F.concat(F.lit("="), plain), F.concat(F.replace(plain, F.lit("."), F.lit(",")), F.lit(" шт.")), plain, F.concat(plain, F.lit(" тыс. руб.")), F.concat(size, F.lit(",234 шт.")), F.concat(plain, F.lit(" пять")), F.concat(F.lit("0,"), F.lpad(size, 3, "0")), F.concat(size, F.lit("\u00a0234,5 %"))]
+    cell = F.get(F.array(*forms), k.cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", N.parse_number(cell, F.when(k == 2, "0%").otherwise("General")).alias("n"))
     return rows.select("p_partkey", F.col("n.value").alias("value"), F.coalesce("n.reason", F.lit("number")).alias("reason"))
 
 
-@query("SELECT p_partkey, p_partkey % 3 <> 0 AS grounded FROM part")
+@query("SELECT p_partkey, p_partkey % 6 NOT IN (0, 2, 4) AS grounded, p_partkey % 6 NOT IN (0, 2) AS by_human FROM part")
 def literal_number_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") + 1000).otherwise(F.col("p_size")).cast("string")
-    quote = F.concat(F.lit("the size is "), said, F.lit(", says the report"))
-    return table(spark, sf_dir, "part").select("p_partkey", N.literal_in(F.col("p_size").cast("double"), quote).alias("grounded"))
+    """Another number, a number in a sentence, one inside a word, grouped digits, digits that only a human reads as grouped, a decimal comma."""
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    thousands = (F.col("p_size") * 1000 + 345).cast("double")
+    said = F.get(F.array(F.lit("the size is 1077"), F.concat(F.lit("the size is "), size, F.lit(", says the report")), F.concat(F.lit("see A"), size, F.lit("b")), F.concat(F.lit("sum "), size, F.lit(" 345 in all")), F.concat(F.lit("sum "), size, F.lit(",345 in all")), F.concat(size, F.lit(",0 pcs"))), k.cast("int"))
+    value = F.when(k.isin(3, 4), thousands).otherwise(F.col("p_size").cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.literal_in(value, said).alias("grounded"), N.literal_in(value, said, grouped=True).alias("by_human"))
 
 
 _WIDE = "w AS (SELECT c_mktsegment AS scope, count(*) FILTER (quarter(o_orderdate) = 1)::DOUBLE AS q1, count(*) FILTER (quarter(o_orderdate) = 2)::DOUBLE AS q2, count(*) FILTER (quarter(o_orderdate) = 3)::DOUBLE AS q3, count(*) FILTER (quarter(o_orderdate) = 4)::DOUBLE AS q4 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"

@@ -247,13 +247,6 @@ def metric_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "k int, text string").select("k", F.array_join(Me.suggested_metrics(F.col("text")), " ").alias("metrics"))
 
 
-@query(_values("state, n", "'accepted', 2052"))
-def kpi_ingest_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = K.catalogue(spark)
-    values, queue = I.accept(I.records(K.scenario_cells(spark), known), known)
-    return values.select(F.lit("accepted").alias("state")).unionByName(queue.select(F.lit("queued").alias("state"))).groupBy("state").agg(F.count("*").cast("int").alias("n"))
-
-
 _BAD = (
     ("Нечто", "5", "2023", "ДНМ", "шт."), ("twin", "5", "2023", "ДНМ", ""), ("audits_done", "=A1", "2023", "ДНМ", "шт."), ("audits_done", "5", "2023-02-15", "ДНМ", "шт."), ("audits_done", "5", "2022", "", "шт."),
     ("audits_done", "5", "2021", "ДНМ", "дней"), ("budget_fact", "5", "2023", "ДНМ", ""), ("Выполнение плана работ", "8", "2023", "ДНМ", ""), ("audits_done", "5", "2020", "ДНМ", "%"), ("audits_done", "-5", "2019", "ДНМ", "шт."),
@@ -476,20 +469,6 @@ def run_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.distinct_warnings(spark.createDataFrame([(1, "few points"), (2, "trend"), (3, "few points")], "ord long, warning string"), True)
 
 
-@query(_values("event_id, metric, scope, method, level", "'W1', 'report_delay_days', 'ДККМ', 'diff_in_diff', 'high'", "'S1', 'audits_done', 'БВА:ИТ-аудит', 'diff_in_diff', 'medium'", "'HIRE1', 'audits_done', 'БВА:ИТ-аудит', 'trend_adjusted', 'medium'", "'HIRE1', 'fte_actual', 'БВА:ИТ-аудит', 'trend_adjusted', 'medium'"))
-def kpi_scenario_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The synthetic scenario from cells to attribution levels: a weakened term, a new unit, and hiring at the same time."""
-    known = K.catalogue(spark)
-    values, _ = I.accept(I.records(K.scenario_cells(spark), known), known)
-    points = values.select(F.col("code").alias("metric"), "scope", "start", "end", "value")
-    late, it = K.SCOPES[1], K.SCOPES[2]
-    events = [("W1", date(2022, 12, 23), [late], ["report_delay_days"], True), ("S1", date(2022, 12, 23), [it], ["audits_done"], True), ("HIRE1", date(2023, 1, 1), [it], ["fte_actual", "audits_done"], True)]
-    events = spark.createDataFrame(events, "event_id string, effective date, units array<string>, metric_codes array<string>, confirmed boolean")
-    controls = spark.createDataFrame([("W1", late, K.SCOPES[0], True, "stable"), ("S1", it, K.SCOPES[0], True, "stable")], "event_id string, scope string, control_scope string, verified boolean, reason string")
-    none = spark.createDataFrame([], "hypothesis_id string, event_id string, metric string, scope string, direction string, horizon date")
-    return U.run(points, events, controls, none, "2023-12-31")["M5_attribute"].select("event_id", "metric", "scope", "method", "level")
-
-
 @query(_values("recommendation_id, decision, error", "'a', 'accept', NULL", "'b', 'maybe', 'decision'", "'z', 'reject', 'recommendation'"))
 def decision_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = spark.createDataFrame([("a",), ("b",)], "recommendation_id string")

@@ -25,6 +25,9 @@ def one(spark, column):
         ("2022", ("2022-01-01", "2022-12-31", "year")), ("за 2023 год", ("2023-01-01", "2023-12-31", "year")), ("Q1 2023", ("2023-01-01", "2023-03-31", "quarter")),
         ("1 кв. 2023", ("2023-01-01", "2023-03-31", "quarter")), ("янв.23", ("2023-01-01", "2023-01-31", "month")), ("февраль 2024", ("2024-02-01", "2024-02-29", "month")),
         ("2023-12", ("2023-12-01", "2023-12-31", "month")), ("2023-02-15", None), ("2023-02-01", None), ("2022 vs 2023", None), ("утверждено 2023", None), ("", None),
+        ("отчет за 2023 год", ("2023-01-01", "2023-12-31", "year")), ("Отчёт за 2023", ("2023-01-01", "2023-12-31", "year")), ("период 2023", ("2023-01-01", "2023-12-31", "year")), ("2023/12", ("2023-12-01", "2023-12-31", "month")),
+        ("2023.12", ("2023-12-01", "2023-12-31", "month")), ("2023-1", ("2023-01-01", "2023-01-31", "month")), ("1 quarter 2023", ("2023-01-01", "2023-03-31", "quarter")), ("2023 q4", ("2023-10-01", "2023-12-31", "quarter")),
+        ("marble 23", None), ("decor 23", None), ("Q1 2023 редакция", None), ("майский 23", None), ("май 23", ("2023-05-01", "2023-05-31", "month")),
     ],
 )
 def test_periods(spark, text, want):
@@ -32,7 +35,7 @@ def test_periods(spark, text, want):
     assert (got and (str(got.start), str(got.end), got.granularity)) == want
 
 
-@pytest.mark.parametrize(("text", "fmt", "value", "reason"), [("1 234,5", "General", 1234.5, None), ("−7", "General", -7.0, None), ("0.8", "0%", 80.0, None), ("12 %", "General", 12.0, None), ("1,234", "General", None, "ambiguous"), ("=A1", "General", None, "formula"), ("abc", "General", None, "not_a_number"), ("", "General", None, "empty")])
+@pytest.mark.parametrize(("text", "fmt", "value", "reason"), [("1 234,5", "General", 1234.5, None), ("−7", "General", -7.0, None), ("0.8", "0%", 80.0, None), ("12 %", "General", 12.0, None), ("1,234", "General", None, "ambiguous"), ("=A1", "General", None, "formula"), ("abc", "General", None, "not_a_number"), ("1.234", "General", None, "ambiguous"), ("1,234 шт.", "General", None, "ambiguous"), ("0,125", "General", 0.125, None), ("5 пять", "General", None, "not_a_number"), ("5 тыс. руб.", "General", 5.0, None), ("12 345", "General", 12345.0, None), ("", "General", None, "empty")])
 def test_numbers(spark, text, fmt, value, reason):
     got = one(spark, N.parse_number(F.lit(text), F.lit(fmt)))
     assert (got.value, got.reason) == (value, reason)
@@ -182,3 +185,22 @@ def test_near_duplicate_findings_of_later_orders(spark, tmp_path):
     from ledgershift import plans
 
     assert [tuple(r) for r in plans.QUERIES["finding_dedupe_jaccard"](spark, str(tmp_path)).collect()] == [(5000, 7)]
+
+
+@pytest.mark.parametrize(("label", "key"), [("Выявлено нарушений (существенных)", "выявлено нарушений существенных"), ("План, факт", "план факт"), ("Всего; шт.", "всего"), ("Доля (%)", "доля"), ("Отчёт, дней", "отчет")])
+def test_label_keys(spark, label, key):
+    assert one(spark, T.label_key(F.lit(label))) == key
+
+
+@pytest.mark.parametrize(("quote", "value", "plain", "human"), [("сумма 12 345", 12345.0, True, True), ("A12345", 12345.0, False, False), ("итого 1,234", 1234.0, False, True), ("итого 1,234", 1.234, True, True), ("12,5 дня", 12.5, True, True)])
+def test_literals(spark, quote, value, plain, human):
+    assert one(spark, N.literal_in(F.lit(value), F.lit(quote))) is plain and one(spark, N.literal_in(F.lit(value), F.lit(quote), grouped=True)) is human
+
+
+def test_aliases_resolve(spark):
+    from ledgershift.operators import catalog as K
+    from ledgershift.operators import explore as X
+
+    rows = spark.createDataFrame([(1, "Проведено проверок"), (2, "Количество проверок"), (3, "Задержка отчётов, дней"), (4, "Нечто"), (5, "FTE")], "k int, label string")
+    got = {r.k: (list(r.codes), r.state) for r in X.resolve_labels(rows, "k", "label", K.catalogue(spark).select("label", "code")).collect()}
+    assert got == {1: (["audits_done"], "resolved"), 2: (["audits_done", "audits_planned"], "ambiguous"), 3: (["report_delay_days"], "resolved"), 4: ([], "unknown"), 5: (["fte_actual"], "resolved")}
