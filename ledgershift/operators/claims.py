@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import retrieval_tokens
 from ..session import materialize
+from .numbering import running_sums
 
 RARE_TERMS, POSTINGS = 16, 300
 BATCH_CHARS, BATCHES = 60_000, 8
@@ -116,21 +114,31 @@ def near_duplicate_findings(findings: DataFrame, least: float = 0.8) -> DataFram
     return out.where("x <> y or i > j").select(F.greatest("i", "j").alias("finding_id"), F.least("i", "j").alias("earlier_id"))
 
 
-def _pack(groups: Iterator[pd.DataFrame], budget: int, most: int) -> Iterator[pd.DataFrame]:
-    for rows in groups:
-        at, used, out = 0, 0, []
-        for size in rows.sort_values("ord")["size"]:
-            if size > budget:
-                out.append(-1)
-                continue
-            if used + size > budget:
-                at, used = at + 1, 0
-            used += size
-            out.append(at if at < most else -1)
-        yield rows.sort_values("ord").assign(batch=out)[["key", "ord", "batch"]]
-
-
 def pack_batches(sources: DataFrame, key: str, order: str, size: str, budget: int = BATCH_CHARS, most: int = BATCHES) -> DataFrame:
-    """key, ord, batch: whole sources in order, a batch of at most `budget` characters; -1 where a source is too long or batches have run out."""
-    rows = sources.select(F.col(key).alias("key"), F.col(order).cast("long").alias("ord"), F.col(size).cast("long").alias("size"))
-    return rows.groupBy("key").applyInPandas(lambda g: next(_pack(iter([g]), budget, most)), f"key {sources.schema[key].dataType.simpleString()}, ord long, batch long")
+    """key, ord, batch: whole sources in order, a batch of at most `budget` characters; -1 where a source is too long or batches have run out.
+
+    Sources are places on a line, each ending at its running sum. A batch that begins at p ends at the last end up to
+    p + budget, where the next one begins. That pointer is found for every place from the ends of its own and the next
+    stretch of `budget` characters, so no window is larger than two of them, whatever a key holds; from the first place
+    the pointers are followed `most` times. What lies beyond `most` budgets can be in no batch. order tells the sources of
+    a key apart. Null sizes count as 0.
+    """
+    rows = sources.select(F.col(key).alias("key"), F.col(order).cast("long").alias("ord"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    long = rows.where(F.col("size") > budget).select("key", "ord", F.lit(-1).cast("long").alias("batch"))
+    placed = materialize(running_sums(rows.where(F.col("size") <= budget), ["key"], ["ord"], "size", "stop"), "placed-sources")
+    near = placed.where(F.col("stop") - F.col("size") < budget * most)
+    stretch = F.floor(F.col("at") / budget)
+    ends = near.select("key", F.col("stop").alias("at"), F.lit(True).alias("is_end")).withColumn("stretch", F.explode(F.array(stretch, stretch - 1)))
+    asks = near.select("key", (F.col("stop") - F.col("size")).alias("at"), F.lit(False).alias("is_end")).withColumn("stretch", stretch)
+    reach = Window.partitionBy("key", "stretch").orderBy("at").rangeBetween(Window.unboundedPreceding, budget)
+    pointer = ends.unionByName(asks).distinct().withColumn("next", F.max(F.when(F.col("is_end"), F.col("at"))).over(reach)).where("not is_end")
+    pointer = materialize(pointer.select(F.col("key").alias("k"), F.col("at").alias("from"), F.col("next").alias("to")), "pointers")
+    at = placed.groupBy("key").agg(F.lit(0).cast("long").alias("p"))
+    heads = at
+    for _ in range(most):
+        at = at.join(pointer, F.col("key").eqNullSafe(F.col("k")) & (F.col("p") == F.col("from")) & (F.col("to") > F.col("from"))).select("key", F.col("to").alias("p"))
+        heads = heads.unionByName(at)
+    limits = materialize(heads.groupBy("key").agg(F.array_sort(F.collect_set("p")).alias("limits")).withColumnRenamed("key", "k"), "batch-limits")  # `most` + 1 numbers a key
+    joined = placed.join(limits, F.col("key").eqNullSafe(F.col("k")))
+    nth = F.size(F.filter(F.slice("limits", 2, most + 1), lambda p: p < F.col("stop"))).cast("long")
+    return joined.select("key", "ord", F.when((nth < most) & (F.col("stop") <= F.element_at("limits", -1)), nth).otherwise(-1).alias("batch")).unionByName(long)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import label_key
+from ..functions.text import label_key, markdown_safe
+from .numbering import numbered
 from ..session import materialize
 
 
@@ -100,9 +101,5 @@ def executive_overview(findings: DataFrame) -> DataFrame:
 
 def markdown_rows(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """Numbered Markdown table lines, ordered by line_no."""
-    from pyspark.sql import Window
-
-    from ..functions.text import markdown_safe
-
     cells = F.concat_ws(" | ", *(markdown_safe(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns))
-    return rows.select(F.row_number().over(Window.orderBy(order)).alias("line_no"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    return numbered(rows, order, *columns, name="line_no").select("line_no", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))

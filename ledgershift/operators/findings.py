@@ -16,6 +16,7 @@ from ..session import materialize
 from . import matching as M
 from . import scoring as S
 from .assignments import CHIEF, COMMON, ROLE, UNKNOWN
+from .numbering import numbered
 
 #: Numbers of after-assignments come behind all before ones.
 LATE = 1 << 40
@@ -250,9 +251,8 @@ def findings(assignments: DataFrame, rows: DataFrame, members: DataFrame, state:
     clashes = conflict_findings(assignments, state).join(order, "execute_id").select(F.lit("conflict").alias("kind"), "at", F.concat_ws("|", "execute_id", "control_id").alias("key"), F.lit("execution_and_control").alias("title"), F.array("unit").alias("units"), "score")
     every = losses.unionByName(doubles).unionByName(clashes)
     place = F.array_position(F.array(F.lit("loss"), F.lit("duplicate"), F.lit("conflict")), F.col("kind"))
-    # a report's numbering: findings of two editions, a few hundred at most
-    number = F.row_number().over(Window.orderBy(place, "at", "key"))
-    return every.select(number.alias("finding_no"), "kind", "key", "title", "units", "score", band(F.col("score")).alias("level"))
+    every = numbered(every, place, "at", "key", name="finding_no")
+    return every.select("finding_no", "kind", "key", "title", "units", "score", band(F.col("score")).alias("level"))
 
 
 def unit_changes(scanned_units: DataFrame, assignments: DataFrame) -> DataFrame:

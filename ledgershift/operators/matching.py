@@ -52,27 +52,39 @@ def token_pairs(rows: DataFrame, least: float) -> DataFrame:
     return full.where(jaccard(F.col("xt"), F.col("yt")) >= least - 1e-9).select("x", "y")
 
 
+def _place(period: str, fn_ord: str) -> Column:
+    """Where an assignment stands: all before, then all after."""
+    return F.struct((F.col(period) == "after").alias("late"), F.col(fn_ord).alias("fn_ord"))
+
+
 def texts_of(rows: DataFrame) -> DataFrame:
-    """(fn_ord, rep): rep is the first assignment of the same norm type, role and normal form."""
-    first = rows.groupBy("norm_type", "role", "n").agg(F.min("fn_ord").alias("rep"))
+    """(fn_ord, rep): rep is the first assignment of the same norm type, role and normal form, before ones first."""
+    first = rows.groupBy("norm_type", "role", "n").agg(F.min_by("fn_ord", _place("period", "fn_ord")).alias("rep"))
     return rows.select("fn_ord", "norm_type", "role", "n").join(first, ["norm_type", "role", "n"]).select("fn_ord", "rep")
 
 
 def edges(rows: DataFrame, least: float = PLAUSIBLE) -> DataFrame:
-    """(a_ord, b_ord, s), a_ord > b_ord: different texts of one norm type and role with s >= least, known by their first assignments.
+    """(a_ord, b_ord, s): different texts of one norm type and role with s >= least, known by their first assignments; a is the later one.
 
+    Letters are aligned in that order, as the ratio depends on it.
     The score is at most .45 + .55 Jaccard, or lifted where one set holds nearly all of the other; pairs below are not met.
     """
     texts = rows.join(texts_of(rows).where("fn_ord = rep").select("fn_ord"), "fn_ord")
     bound = max(0.0, min((least - 0.45) / 0.55, 0.42))
-    pair = materialize(token_pairs(texts, bound).select(F.col("x").alias("a_ord"), F.col("y").alias("b_ord")), "pairs")
+    late = lambda c: texts.select(F.col("fn_ord").alias(c), (F.col("period") == "after").alias(f"{c}_late"))
+    met = token_pairs(texts, bound).join(late("x"), "x").join(late("y"), "y")  # x > y
+    turned = F.col("y_late") & ~F.col("x_late")
+    pair = materialize(met.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("a_ord"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("b_ord")), "pairs")
     full = pair.join(side(texts, "a"), "a_ord").join(side(texts, "b"), "b_ord")
     full = full.withColumn("s", similarity(F.col("a_n"), F.col("b_n"), F.col("a_t"), F.col("b_t"), least)).withColumn("s", guarded())
     return materialize(full.where((F.col("s") > 0) & (F.col("s") >= least)).select("a_ord", "b_ord", "s"), "edges")
 
 
 def member_edges(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(x, y, s), x > y: the same for all assignments that have those texts, and s = 1 for one text's; as many rows as pairs of copies."""
+    """(x, y, s), x > y: the same for all assignments that have those texts, and s = 1 for one text's; as many rows as pairs of copies.
+
+    Copies of a pair of texts have the similarity of the first two.
+    """
     of = texts_of(rows)
     a, b = of.select(F.col("rep").alias("a_ord"), F.col("fn_ord").alias("x")), of.select(F.col("rep").alias("b_ord"), F.col("fn_ord").alias("y"))
     apart = links.join(a, "a_ord").join(b, "b_ord").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"), "s")
@@ -138,13 +150,10 @@ def cluster(rows: DataFrame, links: DataFrame) -> DataFrame:
     able = links.where(F.col("s") >= JOIN_OLD)
     of = components(able.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")))
     placed = texts_of(rows).join(of.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    held = able.join(of.select(F.col("v").alias("a_ord"), "c"), "a_ord").select("c", "a_ord", "b_ord", "s")  # a_ord > b_ord, so it is never its component's first
+    held = able.join(of.select(F.col("v").alias("a_ord"), "c"), "a_ord", "left").select(F.coalesce("c", "a_ord").alias("c"), "a_ord", "b_ord", "s")
     tied = held.select("c").distinct()
-    members = placed.join(rows.select("fn_ord", "period", "unit"), "fn_ord").withColumn("one", F.lit(1))
-    first = F.struct((F.col("period") == "after").alias("late"), "fn_ord")
-    alone = members.join(tied, "c", "left_anti")
-    heads = alone.groupBy("c").agg(F.min(first)["fn_ord"].alias("row_ord"))
-    alone = alone.join(heads, "c").select("row_ord", "fn_ord")
+    members = placed.join(rows.select("fn_ord", "period", "unit"), "fn_ord")
+    alone = members.join(tied, "c", "left_anti").select(F.col("rep").alias("row_ord"), "fn_ord")
     some = members.join(tied, "c", "left_semi").select("c", "fn_ord", "rep", "period", "unit").groupBy("c").cogroup(held.groupBy("c"))
     return materialize(some.applyInPandas(lambda m, e: _fold(m, e), "row_ord long, fn_ord long").unionByName(alone), "rows")
 

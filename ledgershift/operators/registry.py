@@ -54,9 +54,3 @@ def restore_decisions(recommendations: DataFrame, decisions: DataFrame) -> DataF
     """recommendations with the stored decision, `discuss` where there is none."""
     return recommendations.join(decisions.select("recommendation_id", F.col("decision").alias("_d")), "recommendation_id", "left").withColumn("decision", F.coalesce("_d", F.lit("discuss"))).drop("_d")
 
-
-def snapshot(stage: DataFrame, root: str, name: str, run_id: str) -> None:
-    """Write one stage of a run as Parquet under stage=/run_id=; the committer makes it visible at once."""
-    if not run_id.replace("-", "").replace("_", "").isalnum() or not name.isidentifier():
-        raise ValueError("stage and run names must be plain")
-    stage.write.mode("overwrite").parquet(f"{root}/stage={name}/run_id={run_id}")

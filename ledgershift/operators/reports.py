@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import markdown_safe
 from .explore import chunks
+from .numbering import numbered as in_order
 
 #: Characters of a sheet's cell; a longer one goes on in the next part of its record.
 CELL = 15_000
@@ -23,11 +24,10 @@ FORMULA = r"\A[=+\-@\t\r]"
 def unit_labels(units: DataFrame) -> DataFrame:
     """unit, label of units(ord, unit): a known short name, the name itself if short, else П and its place; a label that is taken becomes П and the place.
 
-    One report's units; the last rule adds a mark where even that is taken.
+    The last rule adds a mark where even that is taken.
     """
     known = F.create_map(*(F.lit(x) for kv in SHORT.items() for x in kv))
-    place = F.row_number().over(Window.orderBy("ord"))
-    rows = units.withColumn("place", place).withColumn("number", F.concat(F.lit("П"), F.col("place").cast("string")))
+    rows = in_order(units, "ord", "unit", name="place").withColumn("number", F.concat(F.lit("П"), F.col("place").cast("string")))
     rows = rows.withColumn("want", F.coalesce(known[F.lower("unit")], F.when(F.length("unit") <= 8, F.col("unit")), F.col("number")))
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("want").orderBy("place")))
     rows = rows.withColumn("label", F.when(F.col("nth") == 1, F.col("want")).otherwise(F.col("number")))
@@ -71,8 +71,8 @@ def first_items(rows: DataFrame, by: str, order: list[str | Column], most: int)
 
 
 def numbered(rows: DataFrame, prefix: str, order: list[str], name: str = "number") -> DataFrame:
-    """rows with an id of the prefix and their place (R1, R2, ...); rows of one report."""
-    return rows.withColumn(name, F.concat(F.lit(prefix), F.row_number().over(Window.orderBy(*order)).cast("string")))
+    """rows with an id of the prefix and their place (R1, R2, ...)."""
+    return in_order(rows, *order, name=name).withColumn(name, F.concat(F.lit(prefix), F.col(name).cast("string")))
 
 
 def search_sources(sources: DataFrame, query: str, period: str | None = None) -> DataFrame:

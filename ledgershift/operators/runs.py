@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from ..functions.text import clip
 from . import compare as C
+from . import registry as G
 from .claims import first_reason
+from .numbering import numbered
 
 STAGES = ("M1_ingest", "M2_events", "M3_alignment", "M4_compare", "M5_attribute", "M6_hypotheses", "M7_knowledge", "M8_recommend", "M9_report")
 DECISIONS = ("accept", "reject", "discuss")
@@ -71,8 +71,7 @@ def distinct_warnings(warnings: DataFrame, synthetic: bool) -> DataFrame:
     if synthetic:
         mark = warnings.sparkSession.range(1).select(F.lit("synthetic data: effects are made, not measured").alias("warning"), F.lit(-1).cast("long").alias("ord"))
         first = first.unionByName(mark.select("warning", F.col("ord").cast(first.schema["ord"].dataType)))
-    # a run's warnings: a few a comparison
-    return first.select(F.row_number().over(Window.orderBy("ord", "warning")).alias("place"), "warning")
+    return numbered(first, "ord", "warning", name="place").select("place", "warning")
 
 
 def run(points: DataFrame, events: DataFrame, controls: DataFrame, hypotheses: DataFrame, as_of: str, staffing: dict[str, tuple[str, ...]] | None = None, units: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -88,19 +87,28 @@ def run(points: DataFrame, events: DataFrame, controls: DataFrame, hypotheses: D
     listed = events.select("event_id", "confirmed", (F.size("metric_codes") > 0).alias("listed"))
     rows = compared.join(listed, "event_id").join(near, "event_id", "left")
     rows = rows.withColumns({"alternatives": F.coalesce("alternatives", F.lit(0)), "assumption_warning": F.lit(False)})
-    return {"M3_alignment": compared, "M4_compare": compared, "M5_attribute": C.attribution_level(rows), "M6_hypotheses": C.check_hypotheses(hypotheses, points, events.select("event_id", "effective", "units", "metric_codes"), as_of)}
+    return {"M4_compare": compared, "M5_attribute": C.attribution_level(rows), "M6_hypotheses": C.check_hypotheses(hypotheses, points, events.select("event_id", "effective", "units", "metric_codes"), as_of)}
+
 
+def stages(points: DataFrame, events: DataFrame, controls: DataFrame, hypotheses: DataFrame, cases: DataFrame, better: str, as_of: str) -> dict[str, DataFrame]:
+    """All nine stages of a run, by name; see run(). cases: pattern, scope, effective, delta_pct of earlier runs; better: the good direction of the metrics.
 
-def persist(stages: dict[str, DataFrame], root: str, run_id: str, synthetic: bool) -> None:
-    """Write each stage as Parquet with its namespace, under stage=/run_id=, and the whole run as JSON lines; a committer makes each visible at once."""
-    if not re.fullmatch(r"[a-zA-Z0-9_-]{1,100}", run_id) or not set(stages) <= set(STAGES):
-        raise ValueError("stage and run names must be plain")
-    whole = None
-    for name, rows in stages.items():
-        rows.withColumn("synthetic", F.lit(synthetic)).write.mode("overwrite").parquet(f"{root}/stage={name}/run_id={run_id}")
-        line = rows.select(F.lit(name).alias("stage"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("record"))
-        whole = line if whole is None else whole.unionByName(line)
-    whole.withColumn("synthetic", F.lit(synthetic)).write.mode("overwrite").json(f"{root}/stage=M9_report/run_id={run_id}")
+    M3 is the alignment (points with the side of each event that touches them), M7 what earlier cases say of a pattern, M8
+    an action for each adverse change, M9 the number of rows of the others.
+    """
+    plain = events.select("event_id", "effective", "units", "metric_codes")
+    found = run(points, events, controls, hypotheses, as_of)
+    known = G.knowledge(cases)
+    changed = found["M4_compare"].withColumns({"better": F.lit(better), "pattern": F.concat_ws(":", "event_id", "metric")})
+    out = {
+        "M1_ingest": points, "M2_events": events, "M3_alignment": C.split_points(points, plain), "M4_compare": found["M4_compare"], "M5_attribute": found["M5_attribute"],
+        "M6_hypotheses": found["M6_hypotheses"], "M7_knowledge": known, "M8_recommend": G.recommend(changed, known),
+    }
+    lines = None
+    for name, rows in out.items():
+        line = rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows")
+        lines = line if lines is None else lines.unionByName(line)
+    return out | {"M9_report": lines}
 
 
 def save_decisions(recommendations: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -172,5 +180,4 @@ def report_lines(run_id: str, synthetic: bool, parts: list[tuple[str, DataFrame,
         body = rows.select(F.lit(i).alias("part"), F.lit(1).alias("kind"), F.concat(label, clip(F.regexp_replace(text, "\n", " / "), 15_000)).alias("line"))
         some = head.unionByName(body)
         out = some if out is None else out.unionByName(some)
-    # a report of one run
-    return out.select(F.row_number().over(Window.orderBy("part", "kind", "line")).alias("place"), "line")
+    return numbered(out, "part", "kind", "line", name="place").select("place", "line")

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import docs, ingest, kpi, matrix  # noqa: F401
+from . import docs, ingest, kpi, matrix, stored  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1,299 @@
+"""Names, numbering, components, matching, similarity, batches, storage and streams against plain Python."""
+
+from __future__ import annotations
+
+import random
+import re
+from difflib import SequenceMatcher
+from itertools import combinations
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from ledgershift.functions import text as T
+from ledgershift.operators import claims, components, findings, matching, mentions, numbering, scoring, segments, store, streams
+from pyspark.sql import functions as F
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abcd ", max_size=12), st.text("abcd ", max_size=12), st.floats(0, 1.2)), max_size=6))
+def test_ratios_are_difflibs(pairs):
+    got = T._ratios([p[0] for p in pairs], [p[1] for p in pairs], [p[2] for p in pairs])
+    for (a, b, least), r in zip(pairs, got, strict=True):
+        want = SequenceMatcher(None, a, b).ratio()
+        assert (r is None and want < least) or r == want
+
+
+@pytest.fixture(scope="module")
+def duties(spark):
+    """Assignments with near and equal wordings over two editions."""
+    rnd = random.Random(3)
+    words = ["реестр", "договоров", "склада", "сырья", "отчета", "остатков", "поставки", "заявок", "архива", "оборудования"]
+    verbs = ["ведет", "готовит", "проверяет", "хранит"]
+    texts = [f"{rnd.choice(verbs)} {' '.join(rnd.sample(words, rnd.randint(3, 6)))}" for _ in range(40)]
+    texts += [t + " филиала" for t in texts[:12]] + texts[:15] + ["", "ведет"]
+    rows = [(i, f"f{i}", rnd.choice(["before", "after"]), f"u{rnd.randint(0, 4)}", t, "duty", rnd.choice(["execute", "control"]), "", True) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "fn_ord long, fn_id string, period string, unit string, text string, norm_type string, role string, scope string, owner_known boolean")
+    return rows, matching.prepared(df)
+
+
+def plain_similarity(a, b):
+    """a, b: prepared rows of one norm type and role."""
+    if a.n == b.n:
+        return 1.0
+    ta, tb = set(a.t), set(b.t)
+    if not ta or not tb:
+        return 0.0
+    both = len(ta & tb)
+    s = 0.55 * both / len(ta | tb) + 0.25 * both / min(len(ta), len(tb)) + 0.2 * SequenceMatcher(None, " ".join(a.t), " ".join(b.t)).ratio()
+    return guard(a, b, s)
+
+
+def guard(a, b, s):
+    ta, tb = set(a.t), set(b.t)
+    if a.f["at"] is not None and b.f["at"] is not None and a.f["at"] < 12 and b.f["at"] < 12 and a.f["stem"] != b.f["stem"] and not (set(a.a) & set(b.a) and s >= 0.70):
+        return 0.0
+    least, most = min(len(ta), len(tb)), max(len(ta), len(tb))
+    return max(s, 0.82) if least >= 5 and least / most >= 0.45 and len(ta & tb) / least >= 0.96 else s
+
+
+def plain_rows(rows):
+    """Leader clustering of all rows in one loop."""
+    made = []
+    for x in sorted(rows, key=lambda r: (r.period == "after", r.fn_ord)):
+        best = None
+        for k, row in enumerate(made):
+            s = max((plain_similarity(x, y) for y in row if (x.norm_type, x.role) == (y.norm_type, y.role)), default=0.0)
+            key = (s, any(y.unit == x.unit for y in row), -k)
+            if s > 0 and (best is None or key > best[0]):
+                best = key, row
+        if best and best[0][0] >= (matching.JOIN_NEW if x.period == "before" or not any(y.period == "before" for y in best[1]) else matching.JOIN_OLD):
+            best[1].append(x)
+        else:
+            made.append([x])
+    return {y.fn_ord: row[0].fn_ord for row in made for y in row}
+
+
+def test_clustering_by_component_equals_one_loop(duties):
+    _, ready = duties
+    links = matching.edges(ready)
+    got = {r.fn_ord: r.row_ord for r in matching.cluster(ready, links).collect()}
+    assert got == plain_rows(ready.collect()) and len(set(got.values())) < len(got)
+
+
+def test_edges_are_all_pairs_over_the_threshold(duties):
+    _, ready = duties
+    rows = {r.fn_ord: r for r in ready.collect()}
+    for least in (0.0, 0.56, 0.78):
+        links = matching.edges(ready, least)
+        got = {(r.a_ord, r.b_ord): r.s for r in links.collect()}
+        place = lambda o: (rows[o].period == "after", o)
+        text = lambda o: (rows[o].norm_type, rows[o].role, rows[o].n)
+        first = {}
+        for o in sorted(rows, key=place):
+            first.setdefault(text(o), o)
+        want = {}
+        for b, a in combinations(sorted(first.values(), key=place), 2):
+            x, y = rows[a], rows[b]
+            if (x.norm_type, x.role) == (y.norm_type, y.role) and set(x.t) & set(y.t):
+                s = plain_similarity(x, y)
+                if s > 0 and s >= least:
+                    want[a, b] = s
+        assert got == pytest.approx(want)
+        every = {(r.x, r.y): r.s for r in matching.member_edges(ready, links).collect()}
+        of = {o: first[text(o)] for o in rows}
+        both = want | {(b, a): s for (a, b), s in want.items()}
+        assert every == pytest.approx({(x, y): 1.0 if of[x] == of[y] else both[of[x], of[y]] for x in rows for y in rows if x > y and (of[x] == of[y] or (of[x], of[y]) in both)})
+
+
+def test_row_clustering_query_equals_one_loop(spark, monkeypatch):
+    """Benchmark items and the lines of documents that hold them."""
+    from ledgershift import plans
+
+    seen = {}
+    monkeypatch.setattr(matching, "prepared", lambda a, f=matching.prepared: seen.setdefault("rows", f(a)))
+    got = {r.row_ord: (r.status, r.n_before, r.n_after) for r in plans.QUERIES["row_clustering"](spark, "/root/testdata/sf0.001").collect()}
+    rows = {r.fn_ord: r for r in seen["rows"].collect()}
+    of = plain_rows(rows.values())
+    assert set(got) == set(of.values()) and any(n for _, _, n in got.values())
+    for head, (_, n_before, n_after) in got.items():
+        mine = [rows[o] for o, h in of.items() if h == head]
+        assert n_before == len({r.unit for r in mine if r.period == "before"}) and n_after == len({r.unit for r in mine if r.period == "after"})
+
+
+def test_nearest_text_equals_all_pairs(spark, duties):
+    _, ready = duties
+    rows = ready.collect()
+    old = [r for r in rows if r.period == "before"]
+    new = [r for r in rows if r.period == "after"]
+    more = ("norm_type", "unit", "owner_known")
+    pairs = findings.nearest_pairs(matching.side(ready.where("period = 'before'"), "a", *more), matching.side(ready.where("period = 'after'"), "b", *more))
+    got = {r.a_ord: r.best for r in pairs.groupBy("a_ord").agg(F.max("support").alias("best")).collect()}
+    general = set(T.GENERAL_OBJECTS)
+
+    def support(a, b):
+        ta, tb = set(a.t), set(b.t)
+        part = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+        s = 1.0 if a.n == b.n else 0.55 * part(ta, tb) + 0.25 * len(ta & tb) / min(len(ta), len(tb)) + 0.2 * SequenceMatcher(None, " ".join(a.t), " ".join(b.t)).ratio()
+        return 0.55 * s + 0.2 * part(set(a.a), set(b.a)) + 0.25 * part(ta - set(a.a) - general, tb - set(b.a) - general)
+
+    want = {a.fn_ord: max(support(a, b) for b in new if set(a.t) & set(b.t)) for a in old if any(set(a.t) & set(b.t) for b in new)}
+    assert got == pytest.approx(want)
+
+
+def test_components_equal_union_find(spark):
+    rnd = random.Random(5)
+    edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (100, 101)]
+    parent = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r.v: r.c for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: root(v) for v in parent if root(v) != v}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_equal_the_greedy_order(spark, seed):
+    rnd = random.Random(seed)
+    pairs = sorted({(rnd.randint(0, 12), rnd.randint(0, 12)) for _ in range(60)})
+    scored = [(a, b, rnd.randint(0, 3)) for a, b in pairs]
+    old, new, want = set(), set(), set()
+    for a, b, s in sorted(scored, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in old and b not in new:
+            old.add(a)
+            new.add(b)
+            want.add((a, b, s))
+    df = spark.createDataFrame(scored, "before int, after int, s int")
+    assert {tuple(r) for r in scoring.one_to_one(df, -F.col("s"), F.col("before"), F.col("after")).collect()} == want
+
+
+def test_names_by_automaton_and_by_join(spark):
+    texts = ["Отдел ДЗЛ-1 и ДЗЛ.", "ДЗЛ", "xДЗЛ", "ДЗЛ_", "small ring, big ring", "ring", "a+b c", "small ringer", "", None, "отдел закупок отдел закупок и продаж"]
+    names = [("p", 1, "ДЗЛ"), ("p", 2, "ДЗЛ-1"), ("p", 3, "small ring"), ("p", 4, "ring"), ("q", 5, "ring"), ("p", 6, "a+b"), ("p", 7, "отдел закупок и продаж"), ("p", 8, "ring"), ("p", 9, ""), ("p", 10, None)]
+    rows = spark.createDataFrame([(i, k, t) for i, t in enumerate(texts) for k in ("p",)] + [(100, "q", "small ring")], "row int, key string, text string")
+    known = spark.createDataFrame(names, "key string, id long, needle string")
+    want = {}
+    for i, k, t in [(i, "p", t) for i, t in enumerate(texts)] + [(100, "q", "small ring")]:
+        ids = sorted(n for key, n, needle in names if key == k and needle and t and re.search(rf"(?<!\w){re.escape(needle)}(?!\w)", t))
+        if ids:
+            want[i] = ids
+    assert {r.row: r.ids for r in mentions.find_names(rows, known).collect()} == want
+    assert {r.row: r.ids for r in mentions.find_names(rows, known, most_names=2).collect()} == want
+    assert mentions.find_names(rows, known.where("false")).count() == 0 == mentions.find_names(rows.where("false"), known).count()
+
+
+def test_numbers_and_sums_over_partitions(spark):
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice(["hot", "hot", "hot", "b", None]), rnd.randint(0, 50), rnd.choice([0, 1, 7, 100])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, o int, v long")
+    got = {r.id: r.number for r in numbering.numbered(df, "o", "id", parts=7).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))] and set(got.values()) == set(range(1, 401))
+    assert numbering.numbered(df.where("false"), "o").count() == 0
+    sums = {r.id: r.s for r in numbering.running_sums(df, ["k"], ["o", "id"], "v", "s", parts=7).collect()}
+    for k in ("hot", "b", None):
+        total = 0
+        for r in sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0])):
+            total += r[3]
+            assert sums[r[0]] == total
+
+
+def plain_batches(sizes, budget, most):
+    at, used, out = 0, 0, []
+    for size in sizes:
+        if size > budget:
+            out.append(-1)
+            continue
+        if used + size > budget:
+            at, used = at + 1, 0
+        used += size
+        out.append(at if at < most else -1)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, 8])
+def test_batches_equal_a_loop(spark, most):
+    rnd = random.Random(most)
+    keys = {k: [rnd.choice([0, 1, 5, 30, 50, 51, 100, 101]) for _ in range(n)] for k, n in (("a", 90), ("b", 1), (None, 40))} | {"zero": [0, 0, 0], "long": [200, 300], "edge": [100, 0, 100, 0, 0, 100]}
+    rows = [(k, i, s) for k, sizes in keys.items() for i, s in enumerate(sizes)]
+    got = {(r.key, r.ord): r.batch for r in claims.pack_batches(spark.createDataFrame(rows, "k string, o int, s int"), "k", "o", "s", 100, most).collect()}
+    assert got == {(k, i): b for k, sizes in keys.items() for i, b in enumerate(plain_batches(sizes, 100, most))}
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.just(0))
+def test_ratio_of_nothing(_):
+    assert T._ratios([], [], []) == []
+
+
+def test_values_are_carried_until_a_reset(spark):
+    rnd = random.Random(2)
+    rows = [(g, i, rnd.choice(["s", "r", "", "", "b", None])) for g in (1, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, i int, e string")
+    out = segments.carried(df, ["g"], ["i"], F.col("e").isin("s", "b"), F.col("i"), F.col("e").isin("r", "b"), "held")
+    got = {(r.g, r.i): r.held for r in out.collect()}
+    for g in (1, None):
+        held = None
+        for _, i, e in (r for r in rows if r[0] == g):
+            held = i if e in ("s", "b") else None if e == "r" else held
+            assert got[g, i] == held
+
+
+def test_a_run_is_seen_whole_or_not_at_all(spark, tmp_path):
+    root = f"file://{tmp_path}/runs"
+    one, two = spark.createDataFrame([(1, 0.5)], "k int, x double"), spark.createDataFrame([("a",)], "t string")
+    assert store.write_run({"M1": one, "M2": two}, root, "r", False) == 1
+    bad = spark.createDataFrame([(1, float("nan"))], "k int, x double")
+    with pytest.raises(Exception, match="not finite"):
+        store.write_run({"M1": one.selectExpr("k + 1 as k", "x"), "M2": bad}, root, "r", False)
+    seen = store.read_run(spark, root, "r", False)
+    assert seen["M1"].collect() == one.collect() and seen["M2"].collect() == two.collect()
+    assert store.write_run({"M1": one.selectExpr("k + 1 as k", "x")}, root, "r", False) == 2
+    again = store.read_run(spark, root, "r", False)
+    assert list(again) == ["M1"] and again["M1"].first().k == 2
+    with pytest.raises(ValueError):
+        store.read_run(spark, root, "r", True)
+    with pytest.raises(FileNotFoundError):
+        store.read_run(spark, root, "other", False)
+    with pytest.raises(ValueError):
+        store.write_run({"M1": one}, root, "a/b", False)
+
+
+def test_merge_rewrites_only_touched_partitions(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    kinds = "k long, x string, v long"
+    store.create_table(spark.createDataFrame([(i, "old", 1) for i in range(200)], kinds), path, "k", 16)
+    files = lambda: {str(f) for f in __import__("pathlib").Path(path).rglob("*.parquet")}
+    before = files()
+    changes = spark.createDataFrame([(3, "new", 2, False), (3, "older", 0, False), (500, "made", 1, False), (7, "", 5, True), (8, "", 0, True)], kinds + ", gone boolean")
+    store.merge(path, changes, "k", "v", 16)
+    got = {r.k: (r.x, r.v) for r in spark.read.parquet(path).collect()}
+    assert got == {i: ("old", 1) for i in range(200) if i != 7} | {3: ("new", 2), 500: ("made", 1)}
+    kept = before & files()
+    assert len({f.split("part=")[1].split("/")[0] for f in before - kept}) <= 4 and len(kept) >= 12
+    now = files()
+    store.merge(path, changes.where("false"), "k", "v", 16)
+    assert files() == now
+
+
+def test_a_stream_retracts_what_it_revises(spark, tmp_path):
+    land = f"{tmp_path}/land"
+    kinds = "ts timestamp, event_type string, value double"
+    days = [("2024-01-01 10:00:00", "a", 1.0), ("2024-01-02 10:00:00", "a", 2.0)], [("2024-01-01 23:00:00", "a", 5.0), ("2024-01-05 01:00:00", "b", 1.5)], [("2023-12-01 00:00:00", "a", 9.0), ("2024-01-05 02:00:00", "b", 1.0)]
+    for k, rows in enumerate(days):
+        made = spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "value")
+        made.coalesce(1).write.mode("append").parquet(land)
+        if k == 0:
+            stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(land)
+    log = streams.roll(spark, stream, "10 days")
+    names = ["day", "event_type"]
+    standing = {(str(r.day), r.event_type, r.n, float(r.total)) for r in streams.net(log, names).collect()}
+    assert standing == {("2024-01-01", "a", 2, 6.0), ("2024-01-02", "a", 1, 2.0), ("2024-01-05", "b", 2, 2.5)}
+    assert {(str(r.day), r.event_type, r.n, float(r.total)) for r in streams.latest(log, names).collect()} == standing
+    assert log.where("sign = -1").count() == 2 and log.where("batch = 0").agg(F.sum("n")).first()[0] == 2
