@@ -310,6 +310,7 @@ def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame |
 
     index: the second value of an earlier call, with the bits of its bucket numbers; buckets are not fewer than its own,
     unless given, and runs of another bucket number are dealt again by their fingerprints; history: the (doc_id, text) that it covers.
+    An index alone cannot tell which windows of an ambiguous fingerprint its documents had, so it is refused without them.
     result: docs' doc_id, n_words, n_removed, kept_sha256; with keep_texts docs' columns instead, text holding the kept
     words, without documents that lose every word.
     A word goes if a window over it starts in a document of a smaller doc_id, in docs or history, on input texts.
@@ -317,6 +318,8 @@ def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame |
     nothing to each other. Null doc_ids come after all and do not precede each other. Columns of any other name pass
     with keep_texts, and are not read without. Empty tables give empty results.
     """
+    if index is not None and history is None:
+        raise ValueError("an index needs the history that it covers: windows of fingerprints with several contexts are compared among texts")
     ship(docs.sparkSession)
     had = [r.bits for r in index.select("bits").distinct().collect()] if index is not None else []
     bits = buckets.bit_length() - 1 if buckets else max([bucket_count(docs).bit_length() - 1, *had])

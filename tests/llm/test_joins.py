@@ -223,3 +223,10 @@ def test_increments_with_another_number_of_buckets(spark, first_buckets, second_
     second, grown = substring_dedup.ingest(new, index=index, history=old, batches=1, buckets=second_buckets)
     check_removed(rows, first.union(second))
     assert {r.bits for r in grown.select("bits").collect()} == {(second_buckets or 2048).bit_length() - 1}
+
+
+def test_an_index_without_its_history_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], SIMPLE)
+    _, index = substring_dedup.ingest(docs, batches=1, buckets=16)
+    with pytest.raises(ValueError, match="history"):
+        substring_dedup.ingest(docs, index=index, batches=1, buckets=16)
