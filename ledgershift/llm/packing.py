@@ -86,7 +86,7 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic
     return pieces, costs + cost
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, group_tokens: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, group_tokens: int, cached: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     names = [x.split()[0] for x in PIECES.split(", ")]
     made = held = 0
@@ -110,7 +110,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: i
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
 
     for block in blocks(batches, size=1 << 20):
-        ids += encode_column(block.column("text"), path, end_id, CACHED)
+        ids += encode_column(block.column("text"), path, end_id, cached)
         docs += block.column("doc_id").to_pylist()
         held += sum(map(len, ids[len(ids) - block.num_rows :]))
         if held >= group_tokens:
@@ -120,14 +120,14 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: i
         yield packed()
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, cached: int = CACHED) -> DataFrame:
     """Pieces of every row of docs(doc_id long, text string, ...) in sequences of at most `capacity` tokens.
 
     path: a tokenizer file; end_id follows each document's ids, so a null or empty text is a document of one token.
     Repeated rows are packed each; equal lengths go in the order of the split; a text of any length is cut into full
     sequences and a rest. A null doc_id stays null. Other columns are not read. An empty table gives no piece.
-    sequence_id: the split's number, then a number in it.
+    sequence_id: the split's number, then a number in it. cached: words that a worker keeps; it changes time and memory only.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_pack, path=path, end_id=end_id, capacity=capacity, group_tokens=group_tokens), PIECES)
+    return rows.mapInArrow(partial(_pack, path=path, end_id=end_id, capacity=capacity, group_tokens=group_tokens, cached=cached), PIECES)
