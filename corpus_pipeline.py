@@ -19,6 +19,9 @@ from ledgershift.llm.packing import pack_documents
 from ledgershift.llm.queries import TOKENIZER
 from ledgershift.llm.substring_dedup import remove_repeats
 
+#: Words that a worker of the last stage keeps: fewer than alone, as its workers hold what other stages left.
+CACHED = 200_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws. Empty and null texts have log ratio 0 and are drawn like any other; repeated rows alike.
@@ -66,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens; a null or empty text is one token, each repeated row a document."""
-    return pack_documents(docs, TOKENIZER, end_id=2)
+    return pack_documents(docs, TOKENIZER, end_id=2, cached=CACHED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
