@@ -27,8 +27,8 @@ from .token_ids import encode_column
 
 CAPACITY = 4096
 GROUP_TOKENS = 4 << 20
-#: Words that a worker keeps: fewer than where nothing else is held, as packing often shares its workers with other stages.
-CACHED = 200_000
+#: Words that a worker keeps.
+CACHED = 600_000
 #: Cost of a token, and of a pair of tokens of one piece, in the units of a model of width 4096.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
