@@ -38,6 +38,26 @@ def matrix_cells(owned: DataFrame) -> DataFrame:
     return grid.join(cell, ["fn", "owner"], "left").select("fn", "owner", state.alias("cell"))
 
 
+def first_seen(producers: list[DataFrame], key: str) -> DataFrame:
+    """key, place: each key of the producers(ord, key) once, numbered where it is first seen, one producer after another."""
+    rows = None
+    for i, some in enumerate(producers):
+        part = some.select(F.col(key), F.lit(i).alias("producer"), "ord").where(F.col(key).isNotNull())
+        rows = part if rows is None else rows.unionByName(part)
+    first = rows.groupBy(key).agg(F.min(F.struct("producer", "ord")).alias("at"))
+    return numbered(first, "at.producer", "at.ord", key, name="place").select(key, F.col("place").cast("long").alias("place"))
+
+
+def collected_sources(producers: list[DataFrame], key: str, text: str) -> DataFrame:
+    """key, place, text of the producers(ord, key, text): a source keeps the place where it was first given and what was given last."""
+    rows = None
+    for i, some in enumerate(producers):
+        part = some.select(F.col(key), F.lit(i).alias("producer"), "ord", F.col(text)).where(F.col(key).isNotNull())
+        rows = part if rows is None else rows.unionByName(part)
+    last = rows.groupBy(key).agg(F.max(F.struct("producer", "ord", text)).alias("last"))
+    return first_seen(producers, key).join(last.select(key, F.col("last")[text].alias(text)), key)
+
+
 def resolve_labels(rows: DataFrame, key: str, label: str, aliases: DataFrame) -> DataFrame:
     """key, codes, state: a label's codes by its normal form; resolved with one, ambiguous with more, unknown with none."""
     known = aliases.select(label_key(F.col("label")).alias("_k"), "code").distinct()

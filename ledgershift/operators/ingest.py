@@ -197,8 +197,46 @@ def check_extracted(found: DataFrame, fragments: DataFrame, known: DataFrame, su
 
 
 def confirm(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(values, queue left) after decisions(id, value): the number must stand in the quote; a decision clears its whole key."""
+    """(values, queue left) after decisions(id, value) that keep everything but the value; the number must stand in the quote."""
     said = queue.join(decisions.select("id", F.col("value").alias("said")), "id").where(literal_in(F.col("said"), F.col("quote"), grouped=True))
     values = said.select("id", "code", "scope", "start", "end", F.col("said").alias("value"), "quote")
-    left = queue.join(values.select("id"), "id", "left_anti").join(values.where("code is not null").select("code", "scope", "start", "end"), ["code", "scope", "start", "end"], "left_anti")
-    return values, left
+    return values, still_queued(queue, values.select("id"))
+
+
+def still_queued(queue: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """queue without the confirmed ids; one of a conflict takes all conflicts of its key along, and nothing else of that key."""
+    key = ["code", "scope", "start", "end"]
+    clash = F.col("reason") == "conflict"
+    solved = queue.where(clash).join(confirmed.select("id").distinct(), "id", "left_semi").select(*(F.col(c).alias(f"_{c}") for c in key)).distinct()
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return queue.join(confirmed.select("id").distinct(), "id", "left_anti").join(solved, clash & same, "left_anti")
+
+
+def confirmations(queue: DataFrame, decisions: DataFrame, known: DataFrame) -> DataFrame:
+    """id, state, code, scope, start, end, granularity, value, unit, quote of what a human decided, by the order `ord`.
+
+    decisions: ord, id, code, scope, start, end, granularity, value, unit; a null value keeps the proposed one. state is
+    the first rule that the decision breaks (unknown_item, number, scope_or_period, metric, custom_metric), `resolved` where an earlier
+    one has taken the item or, among conflicts, its key; else `confirmed`. A proposed custom metric needs a unit and a name.
+    """
+    held = queue.select("id", "quote", "label", "reason", F.col("value").alias("_value"), *(F.col(c).alias(f"_{c}") for c in ("code", "scope", "start", "end")))
+    codes = known.groupBy("code").agg(F.max("unit").alias("_unit"))
+    rows = decisions.withColumn("value", F.col("value").cast("double")).join(held, "id", "left").join(codes, "code", "left")
+    rows = rows.withColumn("value", F.coalesce("value", "_value"))
+    full = F.coalesce(*(F.when(F.col("granularity") == k, is_full_period(F.col("start"), F.col("end"), k)) for k in MONTHS), F.lit(False))
+    custom = F.coalesce(F.col("code").startswith("custom_"), F.lit(False))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    listed = F.col("_unit").isNotNull() | (custom & F.coalesce(F.col("code") == F.col("_code"), F.lit(False)))
+    state = first_reason(
+        unknown_item=F.col("reason").isNull(), number=~F.coalesce(finite(F.col("value")) & literal_in(F.col("value"), F.col("quote"), grouped=True), F.lit(False)),
+        scope_or_period=blank("scope") | ~full, metric=~listed, custom_metric=custom & (blank("unit") | blank("label")),
+    )
+    rows = rows.withColumns({"state": state, "unit": F.when(blank("unit"), F.col("_unit")).otherwise(F.col("unit")), "scope": scope_name(F.col("scope"))})
+    once = F.when(F.col("reason") == "conflict", F.to_json(F.struct("_code", "_scope", "_start", "_end"), {"ignoreNullFields": "false"})).otherwise(F.concat(F.lit("id "), F.col("id")))
+    first = F.min(F.when(F.col("state").isNull(), F.col("ord"))).over(Window.partitionBy("once"))
+    rows = rows.withColumn("once", once).withColumn("first", first)
+    late = F.col("reason").isNotNull() & (F.col("ord") > F.col("first"))
+    state = F.when(late, "resolved").otherwise(F.coalesce("state", F.lit("confirmed")))
+    return rows.select("ord", "id", state.alias("state"), "code", "scope", "start", "end", "granularity", "value", "unit", "quote")

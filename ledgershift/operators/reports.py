@@ -65,6 +65,20 @@ def markdown(findings: DataFrame, sources: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
+def value_rows(values: DataFrame, known: DataFrame) -> DataFrame:
+    """Values as a table shows them: namespace, id, metric by its first name in known(code, name), code, value, unit, scope, period, source, confirmed.
+
+    values: id, metric, value, unit, scope, start, end, synthetic, confirmed, file, sheet, cell, page, locator; of a source
+    what is given is joined.
+    """
+    names = known.groupBy("code").agg(F.min("name").alias("name"))
+    some = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    source = F.concat_ws(" · ", some("file"), some("sheet"), some("cell"), F.when(F.col("page") > 0, F.concat(F.lit("p. "), F.col("page").cast("string"))), some("locator"))
+    rows = values.join(names, F.col("metric") == F.col("code"), "left")
+    label = F.when(F.col("synthetic"), "SYNTHETIC DATA").otherwise("REPORT DATA")
+    return rows.select(label.alias("data"), "id", F.coalesce("name", "metric").alias("metric_name"), "metric", "value", "unit", "scope", "start", "end", source.alias("source"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+
+
 def first_items(rows: DataFrame, by: str, order: list[str | Column], most: int) -> DataFrame:
     """The first `most` rows of each value of `by`."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_nth") <= most).drop("_nth")

@@ -23,6 +23,8 @@ QUOTE, QUOTE_MOST, SOURCES_MOST = 12, 300, 20
 FULL_CATALOG, PAYLOAD, CLAIMS = 600_000, 160_000, 45
 COMPARISONS, RISKS, ATTRIBUTIONS, EVENTS = 30, 15, 8, 12
 REPORTED_CAP = 0.89
+#: Items of each kind that an answer may bring.
+ANSWERS = {"comparison": COMPARISONS, "risk": RISKS, "attribution": ATTRIBUTIONS, "event": EVENTS}
 # Kinds of risks and of comparisons, words that hedge a title, states of an interface and what a user may see of them.
 RISK_KINDS, COMPARISON_KINDS = ("loss", "duplicate", "conflict"), ("retained", "changed", "moved", "added", "possibly_lost")
 HEDGED = "(?iU)возможн|потенциальн|кандидат"
@@ -87,6 +89,18 @@ def check_risks(risks: DataFrame, sources: DataFrame, prohibitions: DataFrame) -
     return by.select("risk_id", F.coalesce(reason, F.lit("accepted")).alias("reason"), F.when(reason.isNull(), title).alias("title"), F.when(reason.isNull(), clamp_score(F.col("confidence"), REPORTED_CAP)).alias("score"))
 
 
+def within_answer(items: DataFrame, limits: dict[str, int] = ANSWERS) -> DataFrame:
+    """items(run, kind, signature, ord) with `state`: taken, repeated (its signature came before), over_limit, unknown_kind.
+
+    Only first occurrences count towards a kind's limit.
+    """
+    most = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("kind")]
+    rows = items.withColumn("_nth", F.row_number().over(Window.partitionBy("run", "kind", "signature").orderBy("ord")))
+    rows = rows.withColumn("_place", F.sum(F.when(F.col("_nth") == 1, 1)).over(Window.partitionBy("run", "kind").orderBy("ord")))
+    state = F.when(most.isNull(), "unknown_kind").when(F.col("_nth") > 1, "repeated").when(F.col("_place") > most, "over_limit").otherwise("taken")
+    return rows.withColumn("state", state).drop("_nth", "_place")
+
+
 def reason_counts(checked: DataFrame, reason: str = "reason") -> DataFrame:
     """reason, n of rejected items."""
     return checked.where(F.col(reason) != "accepted").groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n"))

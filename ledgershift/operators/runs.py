@@ -15,6 +15,8 @@ from .numbering import numbered
 STAGES = ("M1_ingest", "M2_events", "M3_alignment", "M4_compare", "M5_attribute", "M6_hypotheses", "M7_knowledge", "M8_recommend", "M9_report")
 DECISIONS = ("accept", "reject", "discuss")
 GRANULARITIES = ("month", "quarter", "year")
+# Fixed value: the metric that a chart opens with.
+FAVOURITE = "report_delay_days"
 # Settings that switch the module off.
 OFF = ("off", "0", "false", "no")
 
@@ -58,6 +60,26 @@ def comparable_series(values: DataFrame, like_metric: str, like_scope: str) -> D
     return rows.join(default, ["metric", "granularity", "unit"]).groupBy("metric", "scope", "granularity", "unit").agg(F.count("*").alias("n"))
 
 
+def default_chart(values: DataFrame, compared: str | None = None, favourite: str = FAVOURITE) -> DataFrame:
+    """metric, granularity, unit that a chart opens with, one row, none without values(metric, granularity, unit).
+
+    The favourite metric if it has values, else the first compared one, else the first by code; its most frequent
+    granularity (ties: the finer), then that granularity's most frequent unit.
+    """
+    n = values.groupBy("metric", "granularity", F.trim(F.coalesce("unit", F.lit(""))).alias("unit")).agg(F.count("*").alias("n"))
+    place = F.when(F.col("metric") == favourite, 0).when(F.col("metric") == F.lit(compared), 1).otherwise(2)
+    fine = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(x) for x in GRANULARITIES)), F.col("granularity")), F.lit(0)), F.lit(9))
+    n = n.withColumn("of_granularity", F.sum("n").over(Window.partitionBy("metric", "granularity")))
+    return n.orderBy(place, "metric", F.desc("of_granularity"), fine, "granularity", F.desc("n"), "unit").select("metric", "granularity", "unit").limit(1)
+
+
+def chart_rows(values: DataFrame, chart: DataFrame, controls: DataFrame) -> DataFrame:
+    """scope, role, start, value of the chart's metric, granularity and unit; a scope among controls(scope) is a control group."""
+    rows = values.withColumn("unit", F.trim(F.coalesce("unit", F.lit("")))).join(F.broadcast(chart), ["metric", "granularity", "unit"])  # one row
+    rows = rows.join(controls.select("scope", F.lit("control").alias("role")).distinct(), "scope", "left")
+    return rows.select("scope", F.coalesce("role", F.lit("observed")).alias("role"), "start", "value")
+
+
 def allowed_metrics(values: DataFrame, catalogue: DataFrame) -> DataFrame:
     """metric, allowed: catalogued, or every value of it confirmed by a human."""
     by = values.groupBy("metric").agg(F.bool_and(F.coalesce("confirmed", F.lit(False))).alias("confirmed"))

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import docs, ingest, kpi, matrix, rules, stored  # noqa: F401
+from . import docs, ingest, kpi, matrix, rules, stored, views  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
