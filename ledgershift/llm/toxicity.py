@@ -7,13 +7,17 @@ copies of one document, exact or near, are no evidence for all of its words. Of
 one with the best ratio stands for the others.
 The label model is a two-class latent model, fitted by expectation maximisation on the votes of all documents that are
 not held out, labelled or not (equal texts once), with the counts of labelled ones held fixed: the share of either class,
-its chance that any voter fires, for each voter its rate in either class (its accuracy), and its correlations inside
-the toxic class: how many more other voters fire with it than fire at large, by which correlated voters share a voice.
-Its posteriors are the labels of a logistic regression over votes and hashed word frequencies of the text.
+its chance that any voter fires, for each voter its rate in either class (its accuracy). Correlations of voters are
+estimated pair by pair inside the toxic class: of the pairs that fire together more often than two independent voters
+would (a likelihood ratio test, its level set by the number of pairs), how much likelier the one is where the other
+fires. Correlated voters share a voice. Rounds and correlations follow each other until the last rounds.
+Its posteriors are the labels of a logistic regression over votes and hashed word frequencies of the text, trained on
+the labelled sample and on a bounded sample of texts without a label, on the posteriors of both.
 
 Scale: two passes over texts, without a shuffle of them. Votes leave the first as patterns (numbers of the voters that
 fired) with counts; a round of the label model is one pass over the table of patterns, summed in two levels in vectors
-of one number a voter. The labelled sample has a bound; nothing else has.
+of one number a voter; pairs are counted on executors, and only one number a voter comes back. The samples that train the
+classifier have bounds; nothing else has.
 """
 
 from __future__ import annotations
@@ -37,10 +41,14 @@ from .kernels import hash_words, text_buffer
 
 #: Labelled rows used at most, and beginnings of words tried as patterns.
 LABELLED, BEGINNINGS = 20_000, (3, 4, 5, 6)
+#: Texts without a label that the classifier is trained on at most, besides the labelled sample (the smallest hashes of doc_id).
+UNLABELLED = 10_000
 #: Toxic training documents that a voter has at least, and the least share of toxic ones among the documents that have it.
 SUPPORT, PRECISION = 3, 0.9
 #: Rounds of the label model, hashed word features, tasks added up in one group.
 ROUNDS, HASHED, _TASKS = 12, 512, 256
+#: Times that correlations are estimated, and pairs of voters that are counted at once.
+STRUCTURES, _PAIRS = 2, 1 << 21
 
 
 def marks(text: str) -> set[str]:
@@ -161,8 +169,8 @@ def expected(post: np.ndarray, voter: np.ndarray, row: np.ndarray, n: np.ndarray
     return np.concatenate([[n.sum(), toxic.sum(), n[cast > 0].sum(), toxic[cast > 0].sum(), (toxic * cast).sum()], *each])
 
 
-def improved(sums: np.ndarray) -> LabelModel:
-    """The model of expected counts; a voter's voice is one over one more than the votes that come with it beyond the usual."""
+def improved(sums: np.ndarray, voice: np.ndarray | None = None) -> LabelModel:
+    """The model of expected counts; without given voices, one over one more than the votes that come with a voter beyond the usual."""
     n, toxic, some, some_toxic, cast = sums[:5]
     fired, fired_toxic, fired_cast = sums[5:].reshape(3, -1)
     usual = (fired + 1e-3) / (some + 1)
@@ -170,7 +178,7 @@ def improved(sums: np.ndarray) -> LabelModel:
     any_ = np.array([(some - some_toxic + 0.5) / (n - toxic + 1), (some_toxic + 0.5) / (toxic + 1)]).clip(1e-9, 1 - 1e-6)
     share = float(np.clip(toxic / max(n, 1), 1e-5, 0.9))
     more = fired_cast / np.maximum(fired_toxic, 1e-9) - 1 - (cast - fired_toxic) / max(some_toxic, 1e-9)
-    return LabelModel(np.array([1 - share, share]), any_, rate, 1 / (1 + np.maximum(0, more)))
+    return LabelModel(np.array([1 - share, share]), any_, rate, 1 / (1 + np.maximum(0, more)) if voice is None else voice)
 
 
 def _expected(batches: Iterator[pa.RecordBatch], model: LabelModel) -> Iterator[pa.RecordBatch]:
@@ -193,16 +201,83 @@ def _add(rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_sums(rows.column("tasks")[0].as_py(), total)])
 
 
-def label_model(patterns: DataFrame, known: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+def label_model(patterns: DataFrame, known: np.ndarray, rounds: int = ROUNDS, start: LabelModel | None = None) -> LabelModel:
     """The label model fitted to patterns(votes binary, n long), a written table, and to the expected counts `known` of labelled documents.
 
-    Without the known ones the two classes could become those of two languages' voters.
+    Without the known ones the two classes could become those of two languages' voters. start: the model to go on from,
+    whose voices stay.
     """
-    model, kind = improved(known), "tasks int, sums binary"
+    model, kind, voice = start or improved(known), "tasks int, sums binary", start.voice if start else None
     for _ in range(rounds):
         parts = patterns.mapInArrow(partial(_expected, model=model), kind).groupBy("tasks").applyInArrow(lambda x: _add(x), kind)
         got = [np.frombuffer(r["sums"], "<f8") for r in parts.sort("tasks").collect()]  # a row for 256 tasks
-        model = improved(np.sum([known, *got], axis=0))
+        model = improved(np.sum([known, *got], axis=0), voice)
+    return model
+
+
+def paired(voter: np.ndarray, size: np.ndarray, weight: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys a * m + b of voters a <= b, summed weights) of all pairs inside rows; row i has the next size[i] of voter, ascending."""
+    first = np.repeat(np.cumsum(size) - size, size)
+    left = np.arange(len(voter))
+    count = first + np.repeat(size, size) - left  # partners from the voter itself to the row's last
+    right = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    key, at = np.unique(np.repeat(voter, count) * m + voter[right], return_inverse=True)
+    return key, np.bincount(at, weights=np.repeat(np.repeat(weight, size), count), minlength=len(key))
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch], model: LabelModel) -> Iterator[pa.RecordBatch]:
+    """(a, b, n): toxic documents expected to have voters a and b; a = b: one voter, -1: any."""
+    m, some = len(model.voice), 0.0
+    keys, sums = np.zeros(0, np.int64), np.zeros(0)
+    for b in batches:
+        patterns = b.column("votes").to_pylist()
+        cost = np.cumsum([(len(x) // 4) ** 2 for x in patterns])
+        cuts = [0, *(np.flatnonzero(np.diff(cost // _PAIRS)) + 1), len(patterns)]
+        for i, j in zip(cuts, cuts[1:], strict=False):  # a few million pairs at once
+            voter, row = _flat(patterns[i:j])
+            size = np.bincount(row, minlength=j - i)
+            toxic = model.posterior(voter, row, j - i) * b.column("n").to_numpy()[i:j]
+            some += toxic[size > 0].sum()
+            key, n = paired(voter, size, toxic, m)
+            keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([sums, n]), minlength=len(keys))
+    a, b = np.append(keys // max(m, 1), -1), np.append(keys % max(m, 1), -1)
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(np.append(sums, some), pa.float64())], names=["a", "b", "n"])
+
+
+def correlations(patterns: DataFrame, model: LabelModel) -> DataFrame:
+    """(a, b, given_a, given_b) of voters a < b that depend on each other where a document is toxic: how much likelier b is where a fires, and a where b does.
+
+    Only pairs that fire together more than independent ones would, by the test; nulls and empty patterns have no pair.
+    """
+    sums = patterns.mapInArrow(partial(_pair_sums, model=model), "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sums = materialize(sums, "toxic-pairs")
+    some = (sums.where("a = -1").agg(F.sum("n")).first()[0] or 0.0) + 1e-9
+    own = F.broadcast(sums.where("a = b and a >= 0").select(F.col("a").alias("v"), F.col("n").alias("own")))  # a row a voter
+    pairs = sums.where("a < b and a >= 0")
+    level = 2 * float(np.log(max(2, pairs.count())))
+    pairs = pairs.join(own.withColumnsRenamed({"v": "a", "own": "n_a"}), "a").join(own.withColumnsRenamed({"v": "b", "own": "n_b"}), "b")
+    due = F.col("n_a") * F.col("n_b") / F.lit(some)
+    excess = 2 * (F.col("n") * F.log(F.col("n") / due) - (F.col("n") - due))
+    dependent = pairs.where((F.col("n") > due) & (due > 0) & (excess >= level))
+    return dependent.select("a", "b", (F.col("n") / F.col("n_a") - F.col("n_b") / F.lit(some)).alias("given_a"), (F.col("n") / F.col("n_b") - F.col("n_a") / F.lit(some)).alias("given_b"))
+
+
+def voices(dependent: DataFrame, m: int) -> np.ndarray:
+    """Each voter's voice: one over one more than what its correlated voters are likelier where it fires."""
+    each = dependent.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("given_a").alias("more")), F.struct(F.col("b").alias("v"), F.col("given_b").alias("more")))).alias("x"))
+    out = np.ones(m)
+    for r in each.groupBy("x.v").agg(F.sum("x.more").alias("more")).collect():  # at most a row a voter
+        out[r["v"]] = 1 / (1 + max(0.0, r["more"]))
+    return out
+
+
+def correlated_model(patterns: DataFrame, known: np.ndarray, rounds: int = ROUNDS, structures: int = STRUCTURES) -> LabelModel:
+    """The label model with pairwise correlations: half of the rounds with voices by all votes, the rest with those of correlated pairs."""
+    model = label_model(patterns, known, rounds - rounds // 2)
+    for _ in range(structures):
+        found = voices(correlations(patterns, model), len(model.voice))
+        model = label_model(patterns, known, max(1, rounds // 2 // structures), LabelModel(model.share, model.some, model.rate, found))
     return model
 
 
@@ -259,7 +334,7 @@ def _vote(batches: Iterator[pa.RecordBatch], voters: tuple[str, ...]) -> Iterato
 
 
 def _train(batches: Iterator[pa.RecordBatch], voters: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Label, votes and word frequencies (32-bit floats) of the labelled sample."""
+    """Label, votes and word frequencies (32-bit floats) of the rows that train the classifier."""
     for b in batches:
         for k in range(0, b.num_rows, 512):
             texts = b.column("text").slice(k, 512)
@@ -287,9 +362,19 @@ def _mined(rows: DataFrame, bad: int, good: int) -> list[tuple[str, int, int]]:
     return _distinct([x for x in able if x[1] >= max(SUPPORT, PRECISION * (x[1] + x[2])) and ratio(x[1], x[2], share) >= level], share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
+def _unlabelled(plain: DataFrame, sample: DataFrame, most: int) -> DataFrame:
+    """(label null, text) of at most `most` different texts of plain(doc_id, text) whose doc_id is not in the sample, by the hash of their smallest doc_id."""
+    ids = plain.groupBy(F.xxhash64("text").alias("key")).agg(F.min("doc_id").alias("doc_id")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
+    ids = materialize(ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "toxic-unlabelled")
+    rows = plain.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return rows.select(F.lit(None).cast("int").alias("label"), "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
     """Learn from labels(doc_id, toxic) of training rows, at most `most` (the smallest hashes), and from the votes of all training rows.
 
+    The classifier learns the label model's posteriors of the labelled sample and of at most `unlabelled` other texts.
+
     Without labels of both kinds no voter is found.
     """
     ship(docs.sparkSession)
@@ -303,12 +388,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     if not mined:
         return Model((), np.zeros(1 + HASHED), -5.0)
     voters, m = tuple(x[0] for x in mined), len(mined)
-    seen = rows.mapInArrow(partial(_train, voters=voters), "label int, votes binary, words binary").toPandas()  # at most `most` rows
-    voter, row = _flat(seen["votes"].tolist())
-    known = expected(seen["label"].to_numpy(float), voter, row, np.ones(len(seen)), m)
+    taught = rows.unionByName(_unlabelled(plain, sample, unlabelled))
+    seen = taught.mapInArrow(partial(_train, voters=voters), "label int, votes binary, words binary").toPandas()  # at most `most` + `unlabelled` rows
+    labelled = seen[seen["label"].notna()]
+    voter, row = _flat(labelled["votes"].tolist())
+    known = expected(labelled["label"].to_numpy(float), voter, row, np.ones(len(labelled)), m)
     fired = plain.select("text", F.xxhash64("text").alias("key")).mapInArrow(partial(_vote, voters=voters), "votes binary, key long")
     patterns = fired.groupBy("key").agg(F.first("votes").alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))  # equal texts, equal votes
-    model = label_model(materialize(patterns, "toxic-votes"), known)
+    model = correlated_model(materialize(patterns, "toxic-votes"), known)
+    voter, row = _flat(seen["votes"].tolist())
     x = np.zeros((len(seen), m + 1 + HASHED))
     x[row, voter] = 1
     x[:, m] = x[:, :m].any(axis=1)

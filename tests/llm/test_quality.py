@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from ledgershift.llm import chat, importance, line_rules, mixing, toxicity
 from pyspark.sql import functions as F
@@ -324,6 +325,59 @@ def test_label_model_lowers_the_voice_of_copies(spark):
     assert ((post > 0.5) == y).mean() > 0.9 and model.voice[[0, 4, 5]].max() < 0.6 * model.voice[1:4].min()
 
 
+def test_correlations_by_hand(spark):
+    """Pairs of voters and their voices against plain loops over documents."""
+    rng = np.random.default_rng(3)
+    y = rng.random(400) < 0.4
+    votes = np.column_stack([y & (rng.random(400) < 0.4) | (rng.random(400) < 0.02) for _ in range(3)])
+    votes = np.column_stack([votes, votes[:, 0] & (rng.random(400) < 0.9), np.zeros(400, bool)])
+    m = votes.shape[1]
+    model = toxicity.LabelModel(np.array([0.6, 0.4]), np.array([0.1, 0.7]), np.array([[0.3] * m, [0.5, 0.6, 0.7, 0.4, 0.1]]), np.array([0.5, 1.0, 0.8, 0.7, 1.0]))
+    post = []
+    for v in votes:
+        on = [j for j in range(m) if v[j]]
+        z = np.log(0.4 / 0.6)
+        if on:
+            heard = sum(model.voice[j] * np.log(model.rate[1, j] / model.rate[0, j]) for j in on)
+            z += np.log(0.7 / 0.1) + heard / min(1, sum(model.voice[j] for j in on))
+        else:
+            z += np.log(0.3 / 0.9)
+        post.append(1 / (1 + np.exp(-z)))
+    some = sum(p for p, v in zip(post, votes, strict=True) if v.any())
+    n = [[sum(p for p, v in zip(post, votes, strict=True) if v[a] and v[b]) for b in range(m)] for a in range(m)]
+    pairs = [(a, b) for a in range(m) for b in range(a + 1, m) if any(v[a] and v[b] for v in votes)]
+    want, more = {}, [0.0] * m
+    for a, b in pairs:
+        due = n[a][a] * n[b][b] / some
+        if n[a][b] > due and 2 * (n[a][b] * np.log(n[a][b] / due) - (n[a][b] - due)) >= 2 * np.log(len(pairs)):
+            want[a, b] = (n[a][b] / n[a][a] - n[b][b] / some, n[a][b] / n[b][b] - n[a][a] / some)
+            more[a] += want[a, b][0]
+            more[b] += want[a, b][1]
+    found = toxicity.correlations(_patterns(spark, votes), model)
+    got = {(r.a, r.b): (r.given_a, r.given_b) for r in found.collect()}
+    assert (0, 3) in want and got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    assert np.allclose(toxicity.voices(found, m), [1 / (1 + x) for x in more], atol=1e-6)
+
+
+def test_pairs_of_nothing(spark):
+    model = toxicity.LabelModel(np.array([0.6, 0.4]), np.array([0.1, 0.7]), np.array([[0.3], [0.5]]), np.ones(1))
+    none = _patterns(spark, np.zeros((3, 1), bool))
+    assert toxicity.correlations(none, model).count() == 0 == toxicity.correlations(none.limit(0), model).count()
+    key, n = toxicity.paired(np.array([1, 4, 2]), np.array([2, 0, 1]), np.array([0.5, 1.0, 2.0]), 5)
+    assert dict(zip(key.tolist(), n.tolist(), strict=True)) == {1 * 5 + 1: 0.5, 1 * 5 + 4: 0.5, 4 * 5 + 4: 0.5, 2 * 5 + 2: 2.0}
+
+
+def test_classifier_learns_from_unlabelled_texts(spark, words):
+    """A word that only texts without a label have, always beside a voter, raises a score; without those texts it does not."""
+    rows = [(i, " ".join([*words(i, 12), *(["blarg"] if i % 4 == 0 else [])])) for i in range(400)]
+    rows += [(1000 + i, " ".join([*words(5000 + i, 6), "blarg", "quumix", "quumix", "quumix"])) for i in range(200)]
+    rows += [(3000, "quumix quumix quumix quumix quumix"), (3001, " ".join(words(9999, 5)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    score = lambda model: model.logits(pa.array([rows[-2][1]]))[0] - model.bias
+    assert score(toxicity.fit(docs, labels)) > score(toxicity.fit(docs, labels, unlabelled=0)) + 0.5
+
+
 def test_many_voters_are_all_used(spark, words):
     """More toxic words than any fixed number of voters: each has its own few documents, and all are found."""
     rows = [(i, " ".join([*words(i, 20), f"bad{i % 300:03d}x", *words(i + 9000, 5)])) for i in range(3000)]
