@@ -47,8 +47,8 @@ UNLABELLED = 10_000
 SUPPORT, PRECISION = 3, 0.9
 #: Rounds of the label model, hashed word features, tasks added up in one group.
 ROUNDS, HASHED, _TASKS = 12, 512, 256
-#: Times that correlations are estimated, and pairs of voters that are counted at once.
-STRUCTURES, _PAIRS = 2, 1 << 21
+#: Times that correlations are estimated, pairs of voters that are counted at once, and rows of the classifier in one block.
+STRUCTURES, _PAIRS, _BLOCK = 2, 1 << 21, 2048
 
 
 def marks(text: str) -> set[str]:
@@ -283,14 +283,17 @@ def correlated_model(patterns: DataFrame, known: np.ndarray, rounds: int = ROUND
 
 def linear_classifier(x: np.ndarray, target: np.ndarray, n_votes: int, decay: float = 1e-4, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps; the first n_votes features (votes) only add to the score."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), decay * len(x))
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - target) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), grad)
+        grad, curve = ridge * w, np.diag(ridge)
+        for k in range(0, len(x), _BLOCK):
+            some = np.column_stack([x[k : k + _BLOCK], np.ones(len(x[k : k + _BLOCK]))]).astype(float)
+            p = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
+            grad += some.T @ (p - target[k : k + _BLOCK])
+            curve += (some * (p * (1 - p) + 1e-6)[:, None]).T @ some
+        step = np.linalg.solve(curve, grad)
         step *= min(1.0, 5 / max(1e-9, np.abs(step).max()))
         w = w - step
         w[:n_votes] = np.maximum(w[:n_votes], 0)
@@ -389,19 +392,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled: in
         return Model((), np.zeros(1 + HASHED), -5.0)
     voters, m = tuple(x[0] for x in mined), len(mined)
     taught = rows.unionByName(_unlabelled(plain, sample, unlabelled))
-    seen = taught.mapInArrow(partial(_train, voters=voters), "label int, votes binary, words binary").toPandas()  # at most `most` + `unlabelled` rows
-    labelled = seen[seen["label"].notna()]
-    voter, row = _flat(labelled["votes"].tolist())
-    known = expected(labelled["label"].to_numpy(float), voter, row, np.ones(len(labelled)), m)
+    seen = taught.mapInArrow(partial(_train, voters=voters), "label int, votes binary, words binary").toArrow()  # at most `most` + `unlabelled` rows
+    n, label = seen.num_rows, seen.column("label").to_numpy()
+    patterns = seen.column("votes").to_pylist()
+    x = np.zeros((n, m + 1 + HASHED), "<f4")
+    at = 0
+    for words in seen.column("words").chunks:  # no copy of the sample's largest column
+        x[at : at + len(words), m + 1 :] = [np.frombuffer(w.as_buffer(), "<f4") for w in words]
+        at += len(words)
+    del seen
+    told = np.flatnonzero(~np.isnan(label))
+    voter, row = _flat([patterns[i] for i in told])
+    known = expected(label[told].astype(float), voter, row, np.ones(len(told)), m)
     fired = plain.select("text", F.xxhash64("text").alias("key")).mapInArrow(partial(_vote, voters=voters), "votes binary, key long")
-    patterns = fired.groupBy("key").agg(F.first("votes").alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))  # equal texts, equal votes
-    model = correlated_model(materialize(patterns, "toxic-votes"), known)
-    voter, row = _flat(seen["votes"].tolist())
-    x = np.zeros((len(seen), m + 1 + HASHED))
+    table = fired.groupBy("key").agg(F.first("votes").alias("votes")).groupBy("votes").agg(F.count("*").alias("n"))  # equal texts, equal votes
+    model = correlated_model(materialize(table, "toxic-votes"), known)
+    voter, row = _flat(patterns)
     x[row, voter] = 1
     x[:, m] = x[:, :m].any(axis=1)
-    x[:, m + 1 :] = np.frombuffer(b"".join(seen["words"]), "<f4").reshape(len(seen), HASHED)
-    weights, bias = linear_classifier(x, model.posterior(voter, row, len(seen)), m + 1)
+    weights, bias = linear_classifier(x, model.posterior(voter, row, n), m + 1)
     return Model(voters, weights, bias)
 
 
