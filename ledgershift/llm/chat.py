@@ -126,7 +126,7 @@ def canonical_turns(records: DataFrame, key: str = "conv_id", layouts: tuple[Lay
     A nested field counts as filled if any value of it is not null. Roles or texts that are null in an array, some or
     all, are empty; an empty array gives no turn. `keep` names columns that are no part of a layout; of the name
     fingerprint or turns, they are replaced. A column of a layout's name but another type fits no mapping. Repeated rows
-    give repeated results.
+    give repeated results. An empty table gives no row.
     """
     skip, keep = (key, *keep), tuple(c for c in keep if c not in ("fingerprint", "turns"))
     kinds = {f.name: f.dataType for f in records.schema.fields}
@@ -142,7 +142,8 @@ def format_chats(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """turns(key, turns) -> key, formatted string, loss_mask array<struct<skip, keep, rest>> (characters, one entry a turn).
 
     Null turns: no turn, an empty text. Empty texts and roles are turns. Repeated rows give repeated results; a null key
-    stays null. Other columns are not read.
+    stays null. Other columns are not read. An empty table gives no row. A text may be as long as a row can hold, all of a
+    conversation being one row.
     """
     marked = F.transform(F.coalesce("turns", F.array().cast("array<struct<role:string,text:string>>")), lambda t: F.struct(F.concat(F.lit(OPEN), _role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
     rows = turns.select(key, marked.alias("m"))

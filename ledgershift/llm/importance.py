@@ -172,7 +172,7 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
     columns: those of docs to return, all if not given; without `text` among them texts are scored once, not twice.
     Null or empty text: log ratio 0, so it is drawn like a text that fits both models equally. Repeated rows: equal keys,
     kept or rejected alike; equal keys at the limit are all kept. A null doc_id takes one fixed noise. Empty tables give
-    empty results; without labels of both kinds all is kept. Other columns pass through; columns named like the three
+    empty results; without labels of both kinds all is kept. Texts of any length: a very long one is a block of its own. Other columns pass through; columns named like the three
     new ones are replaced.
     """
     model = fit(docs, labels, most)

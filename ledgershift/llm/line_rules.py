@@ -67,7 +67,7 @@ def quality_rules(docs: DataFrame, host: str = "source", least_docs: int = LEAST
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
     Null or empty text: all counts 0, base_failed. A null host is a host; a null doc_id counts as one document. Repeated
-    rows count once for a line and have equal results. Other columns are not read. An empty table gives no row.
+    rows count once for a line and have equal results. Other columns are not read. An empty table gives no row. A text of any length is one row's arrays.
     """
     key = F.when(F.col(host).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(host).cast("string")))
     base = materialize(base_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), key.alias("host"))), "line-rules")

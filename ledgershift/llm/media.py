@@ -257,7 +257,7 @@ def text_pictures(docs: DataFrame, level: int = 6) -> DataFrame:
     """(doc_id, n_bytes, media) of docs(doc_id long, text string, ...): each text's UTF-8 bytes as a PNG in a binary column.
 
     Null or empty text: one row of zero samples. Repeated rows and equal texts have equal pictures. A null doc_id stays
-    null. Other columns are not read. Texts of any length: a picture has as many rows as it needs.
+    null. Other columns are not read. Texts of any length: a picture has as many rows as it needs. An empty table gives no row.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -265,7 +265,11 @@ def text_pictures(docs: DataFrame, level: int = 6) -> DataFrame:
 
 
 def picture_features(media: DataFrame) -> DataFrame:
-    """Decodes media(doc_id, n_bytes, media) and returns sizes, digests and the hash, as hex (`feature`) and bytes (`phash`)."""
+    """Decodes media(doc_id, n_bytes, media) and returns sizes, digests and the hash, as hex (`feature`) and bytes (`phash`).
+
+    A picture whose checksums fail stops the job. Equal pictures have equal rows, each row its own; a null doc_id stays
+    null. Other columns are not read. An empty table gives no row.
+    """
     ship(media.sparkSession)
     return media.mapInArrow(_features, _FEATURES)
 

@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rare: int = RARE, bucket
     component_id: the smallest doc_id that links reach; n_links: the classes of equal sets that its own class links to.
     Without counts no n_links are given, and a pair inside a component need not be compared. percent: 75 or more.
     Null or empty text: no shingle, its own component. Repeated rows are equal sets and link. A null doc_id stays null,
-    after every id. Other columns are not read. Very long texts are blocks of their own.
+    after every id. Other columns are not read. Very long texts are blocks of their own. An empty table gives no row.
     """
     if percent < 75:
         raise ValueError("prefixes are made for a similarity of 75 % or more")

@@ -316,7 +316,7 @@ def ingest(docs: DataFrame, index: DataFrame | None = None, history: DataFrame |
     A word goes if a window over it starts in a document of a smaller doc_id, in docs or history, on input texts.
     Null, empty and short texts (under 50 words) lose nothing. Repeated rows with one doc_id are one document, and lose
     nothing to each other. Null doc_ids come after all and do not precede each other. Columns of any other name pass
-    with keep_texts, and are not read without. Empty tables give empty results.
+    with keep_texts, and are not read without. Empty tables give empty results. Very long texts are blocks of their own.
     """
     if index is not None and history is None:
         raise ValueError("an index needs the history that it covers: windows of fingerprints with several contexts are compared among texts")

@@ -55,13 +55,16 @@ def _parquet(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, out: str) -> DataFrame:
-    """(doc_id, start, n_tokens) of each document; the token column is not read."""
+    """(doc_id, start, n_tokens) of each document; the token column is not read. Null and repeated doc_ids are rows like any other."""
     rows = _parquet(spark, out)
     return rows.join(_before(rows), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens")
 
 
 def read_tokens(spark: SparkSession, out: str, low: int | None = None, high: int | None = None) -> DataFrame:
-    """(doc_id, n_tokens, tokens) of documents low <= doc_id < high; row groups and pages outside are skipped."""
+    """(doc_id, n_tokens, tokens) of documents low <= doc_id < high; row groups and pages outside are skipped.
+
+    Repeated doc_ids are rows each. Without limits all rows are read, those of a null doc_id too; with one, not those.
+    """
     rows = _parquet(spark, out)
     if low is not None:
         rows = rows.where(F.col("doc_id") >= low)
@@ -89,7 +92,7 @@ def token_digests(docs: DataFrame, path: str, end_id: int = 1, out: str | None =
     """Write docs(doc_id long, text string, ...) as token files, read them back, and return doc_id, start, n_tokens, ids_crc32.
 
     A null or empty text has the end id alone; a null doc_id comes first and stays null; repeated rows are documents
-    each, ties in doc_id go by text. Other columns are not read. An empty table gives no row.
+    each, ties in doc_id go by text. Other columns are not read. An empty table gives no row. A text of any length is one list.
     """
     spark = docs.sparkSession
     out = out or scratch_path(spark, "tokens")

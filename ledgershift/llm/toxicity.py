@@ -427,7 +427,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFr
 
     Null or empty text: no vote and no word, the score of the bias alone. Repeated rows: equal scores; in the labelled
     sample a doc_id counts once. A null doc_id stays null, is held out from nothing (false), and teaches nothing. Labels
-    twice: the larger one. No labels of one kind: all scores low. Other columns are not read.
+    twice: the larger one. No labels of one kind: all scores low. Other columns are not read. An empty table gives no row;
+    a text of any length is scored whole.
     """
     model = fit(docs, labels, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
