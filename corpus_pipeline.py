@@ -26,7 +26,8 @@ CACHED = 200_000
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws. Empty and null texts have log ratio 0 and are drawn like any other; repeated rows alike.
 
-    Ties at the limit stay; without labels of both kinds, all stay. Columns of the operator's names are those of docs.
+    Ties at the limit stay; without labels of both kinds, all stay. Columns of the operator's names are those of docs. An empty
+    table stays empty; a very long text is scored whole.
     """
     aside = {c: f"__{c}" for c in docs.columns if c.lower() in NEW_COLUMNS}
     kept = resample(docs.withColumnsRenamed(aside), table(spark, sf_dir, "labels")).where("kept")
@@ -36,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, that of the smallest doc_id; documents without a word stay.
 
-    Repeated rows of a doc_id go but for one. Rows without a doc_id stay.
+    Repeated rows of a doc_id go but for one. Rows without a doc_id stay. An empty table stays empty; very long texts are compared whole.
     """
     groups = near_duplicates(docs, counts=False).where(~(F.col("doc_id").eqNullSafe(F.col("component_id")))).select("doc_id").distinct()
     kept = docs.join(materialize(groups, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
@@ -53,7 +54,7 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; one that loses all its words goes. n_chars follows the text.
 
     Null and empty texts stay, as empty ones. Repeated rows of a doc_id lose nothing to each other; rows without a doc_id
-    come after all others. Other columns pass.
+    come after all others. Other columns pass. An empty table stays empty; of a very long text all windows count.
     """
     kept = remove_repeats(docs, keep_texts=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
@@ -62,13 +63,16 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, by training position; a row for each time.
 
-    Null and empty texts are not taken; a null source is the last one; each repeated row is taken by itself.
+    Null and empty texts are not taken; a null source is the last one; each repeated row is taken by itself. An empty table
+    stays empty; a very long text is taken whole, some times or none.
     """
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens; a null or empty text is one token, each repeated row a document."""
+    """Pieces of sequences of at most 4096 tokens; a null or empty text is one token, each repeated row a document.
+
+    An empty table gives no piece; a very long text is cut into as many as it needs."""
     return pack_documents(docs, TOKENIZER, end_id=2, cached=CACHED)
 
 
