@@ -92,11 +92,12 @@ def check_risks(risks: DataFrame, sources: DataFrame, prohibitions: DataFrame) -
 def within_answer(items: DataFrame, limits: dict[str, int] = ANSWERS) -> DataFrame:
     """items(run, kind, signature, ord) with `state`: taken, repeated (its signature came before), over_limit, unknown_kind.
 
-    Only first occurrences count towards a kind's limit.
+    Only first occurrences count towards a kind's limit, one by one: those of one ord go by signature.
     """
     most = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("kind")]
     rows = items.withColumn("_nth", F.row_number().over(Window.partitionBy("run", "kind", "signature").orderBy("ord")))
-    rows = rows.withColumn("_place", F.sum(F.when(F.col("_nth") == 1, 1)).over(Window.partitionBy("run", "kind").orderBy("ord")))
+    before = Window.partitionBy("run", "kind").orderBy("ord", "signature", "_nth").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_place", F.sum(F.when(F.col("_nth") == 1, 1)).over(before))
     state = F.when(most.isNull(), "unknown_kind").when(F.col("_nth") > 1, "repeated").when(F.col("_place") > most, "over_limit").otherwise("taken")
     return rows.withColumn("state", state).drop("_nth", "_place")
 

@@ -51,3 +51,10 @@ def test_answers_keep_their_limits(spark):
     rows = [("r", "event", str(i % 14), i) for i in range(20)] + [("r", "risk", None, 0), ("r", "risk", None, 1), ("r", "tale", "x", 0)]
     out = review.within_answer(spark.createDataFrame(rows, "run string, kind string, signature string, ord long")).groupBy("kind", "state").count()
     assert {(r["kind"], r["state"]): r["count"] for r in out.collect()} == {("event", "taken"): 12, ("event", "over_limit"): 2, ("event", "repeated"): 6, ("risk", "taken"): 1, ("risk", "repeated"): 1, ("tale", "unknown_kind"): 1}
+
+
+def test_answers_with_equal_places_keep_their_limits(spark):
+    """Two first occurrences of one ord stand one after the other at the limit."""
+    rows = [("r", "event", str(i), i // 2) for i in range(5, 19)] + [("r", "event", "17", 8)]
+    out = review.within_answer(spark.createDataFrame(rows, "run string, kind string, signature string, ord long"))
+    assert {r["state"]: r["count"] for r in out.groupBy("state").count().collect()} == {"taken": 12, "over_limit": 2, "repeated": 1}
