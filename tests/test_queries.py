@@ -57,3 +57,10 @@ def test_unit_errors_of_all_events(spark, tmp_path):
     events = "select * from values (7, 0, 'view', timestamp '2001-01-02', 1.0), (8, 0, 'view', timestamp '2001-01-03', 2.0), (50, 1, 'view', timestamp '2001-01-04', 5.0) as t(event_id, user_id, event_type, ts, value)"
     spark.sql(events).write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in plans.QUERIES["unit_consistency_errors"](spark, str(tmp_path)).collect()] == [("view", "0", "2001-01-01", "conflicting_values")]
+
+
+def test_period_parse_reads_names_of_months(spark, tmp_path):
+    """A month name and a year of two digits is a month, so that only full dates have no period."""
+    spark.sql("select * from values (3L, timestamp '1997-05-09'), (4L, timestamp '1997-05-09'), (9L, timestamp '1998-12-31') as t(o_orderkey, o_orderdate)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in plans.QUERIES["period_parse"](spark, str(tmp_path)).collect())
+    assert got == [(3, "none", "none"), (4, "month", "2097-05-01"), (9, "month", "2098-12-01")]
