@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import numbers_grounded
 from ..functions.numbers import clamp_score, finite
 from ..functions.text import plain_text_ok
+from ..session import materialize
 from .claims import first_reason
 
 # Limits of texts, quotes and lists in answers, of payloads in characters, and of claims in one request.
@@ -23,6 +24,8 @@ QUOTE, QUOTE_MOST, SOURCES_MOST = 12, 300, 20
 FULL_CATALOG, PAYLOAD, CLAIMS = 600_000, 160_000, 45
 COMPARISONS, RISKS, ATTRIBUTIONS, EVENTS = 30, 15, 8, 12
 REPORTED_CAP = 0.89
+#: Sources that are sent with another one at once, and pairs that one partition compares.
+RELATED_LIST, RELATED_PAIRS = 1000, 1_000_000
 #: Items of each kind that an answer may bring.
 ANSWERS = {"comparison": COMPARISONS, "risk": RISKS, "attribution": ATTRIBUTIONS, "event": EVENTS}
 # Kinds of risks and of comparisons, words that hedge a title, states of an interface and what a user may see of them.
@@ -167,10 +170,22 @@ def bounded_batches(batches: DataFrame, budget: int) -> DataFrame:
 
 
 def related_sources(members: DataFrame) -> DataFrame:
-    """source_id, related_id: sources of one matrix row, and a source with its contexts. members: row_ord, frag_id, contexts."""
-    ids = members.select("row_ord", F.explode(F.array_distinct(F.concat(F.array("frag_id"), "contexts"))).alias("id")).distinct()
-    pair = ids.select("row_ord", F.col("id").alias("source_id")).join(ids.select("row_ord", F.col("id").alias("related_id")), "row_ord")
-    return pair.where("source_id <> related_id").select("source_id", "related_id").distinct()
+    """source_id, related_id: sources of one matrix row, and a source with its contexts. members: row_ord, frag_id, contexts.
+
+    A pair is sent once, under its smaller source, with the others of its row in one list of up to RELATED_LIST (as JSON, which
+    takes half the bytes of an array); each partition of sources then sees all repeats of its pairs. There are enough partitions for RELATED_PAIRS pairs each.
+    """
+    ids = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.concat(F.array("frag_id"), "contexts"))))))
+    rows = materialize(members.where(F.col("row_ord").isNotNull()).groupBy("row_ord").agg(ids.alias("ids")).where(F.size("ids") > 1).select("ids"), "related-rows")
+    n = F.size("ids").cast("long")
+    spark, kind = members.sparkSession, rows.schema["ids"].dataType.simpleString()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0) // RELATED_PAIRS + 1)
+    own = rows.select("ids", F.posexplode("ids").alias("at", "x")).where(F.col("at") + 1 < F.size("ids"))
+    lists = own.select("ids", "x", F.explode(F.sequence(F.col("at") + 2, F.size("ids"), F.lit(RELATED_LIST))).alias("from"))
+    lists = lists.select("x", F.to_json(F.slice("ids", F.col("from"), F.lit(RELATED_LIST))).alias("others")).repartition(int(parts), "x")
+    pair = lists.select("x", F.explode(F.from_json("others", kind)).alias("y")).distinct().sortWithinPartitions("x", "y")
+    ways = F.array(F.struct(F.col("x").alias("source_id"), F.col("y").alias("related_id")), F.struct(F.col("y").alias("source_id"), F.col("x").alias("related_id")))
+    return pair.select(F.inline(ways))
 
 
 def verification_context(cited: DataFrame, lines: DataFrame, members: DataFrame, reach: int = 2) -> DataFrame:
