@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of words.
 
 A tokenizer that drops white space and splits by letters, digits and the rest gives a text the ids of its words one
-after the other. So each distinct word is encoded once a worker (the cache has a bound), and a text is a join of byte
-strings. Any other tokenizer file encodes whole texts.
+after the other. So a worker keeps the ids of words and encodes only those that it does not hold, and a text is a join
+of byte strings. Capitals are folded first where that changes no id, a word and the punctuation behind it are kept
+apart, and when the cache is full its older half goes: common words stay. Any other tokenizer file encodes whole texts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -18,8 +20,8 @@ from tokenizers import Tokenizer
 
 from .kernels import text_buffer
 
-#: Words that a worker keeps, with their ids: some 300 bytes each.
-CACHED = 600_000
+#: Words that a worker keeps, with their ids: some 160 bytes each.
+CACHED = 900_000
 
 # The normaliser and splitter of the word tokenizer for which the ids of words may be joined.
 _NORMALIZER = ["NFC", "Replace", "Lowercase"]
@@ -38,21 +40,47 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_BYTES = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
+_BYTES = "".join(c for _, c in sorted(_byte_characters().items()))
+
+#: Punctuation that is one part of its own behind an ASCII letter or digit; not that of special tokens.
+_TAIL = b".,;:!?)*#&%$\"'"
+
+
+def _folded(text: bytes) -> bytes:
+    """text with ASCII letters in lower case, unless it may hold a special token or a mark (U+0300 to U+036F) that NFC joins to one case only."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 class _Words(dict):
-    """Word -> ids; a word that is not there is encoded when it is asked for."""
+    """Word -> ids; a word that is not there is encoded when it is asked for.
+
+    At half of the encoder's bound the words become the older ones, in place of those before; one that is asked for again comes back.
+    """
 
     def __init__(self, encoder: TextIds):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
+
+    def known(self, word: bytes) -> bytes | None:
+        return self.get(word) or self.older.get(word)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.encoder.most:
+        if 2 * len(self) >= self.encoder.most:
+            self.older = {}  # before the copy, so that no three halves are held
+            self.older = self.copy()
             self.clear()
             self.encoder.parts.clear()
-        out = self[word] = self.encoder._word(word.decode())
+        out = self.older.get(word)
+        if out is None:
+            stem = word.rstrip(_TAIL)
+            if len(stem) < len(word) and stem[-1:].isalnum():
+                tail, out = self[word[len(stem) :]], self.known(stem)
+                if out is None:  # the stem is kept alone: the whole word may not come again
+                    return self[stem] + tail
+                out += tail
+            else:
+                out = self.encoder._word(word.decode())
+        self[word] = out
         return out
 
 
@@ -71,15 +99,14 @@ class TextIds:
     def _encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _part(self, part: str, keep: bool = True) -> bytes:
+    def _tokens(self, part: str) -> bytes:
+        as_bytes = part if part.isascii() else charmap_decode(part.encode(), "strict", _BYTES)[0]
+        return array("I", [t.id for t in self.model.tokenize(as_bytes)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
         known = self.parts.get(part)
         if known is None:
-            known = self.words.get(part.encode())  # a lower-case word by itself
-        if known is None:
-            as_bytes = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
-            known = array("I", [t.id for t in self.model.tokenize(as_bytes)]).tobytes()
-            if keep:
-                self.parts[part] = known
+            known = self.parts[part] = self.words.known(part.encode()) or self._tokens(part)  # a lower-case word by itself
         return known
 
     def _word(self, word: str) -> bytes:
@@ -87,14 +114,14 @@ class TextIds:
             return self._encoded(word)
         word = word.lower()
         if word.isalpha():
-            return self._part(word, keep=False)
+            return self._tokens(word)
         return b"".join(map(self._part, _PARTS.findall(word)))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return [self._encoded(x.decode()) for x in texts]
         get = self.words.__getitem__
-        return [b"".join(map(get, x.split())) for x in texts]
+        return [b"".join(map(get, _folded(x).split())) for x in texts]
 
 
 @lru_cache(2)

@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from ledgershift.llm import media, packing, token_files
-from ledgershift.llm.token_ids import TextIds
+from ledgershift.llm.token_ids import TextIds, text_ids
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,45 @@ def test_cache_has_a_bound():
         assert np.frombuffer(own.ids([text.encode()])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*"aAhHsTéÉıİΣ5²,.;'*|<>—_ \n\u0331\u030c\u0301\x1c\u2028", "<|endoftext|>", "<|STARTOFTEXT|>", "'S", "Word", "word", "über"]), max_size=30))
+def test_folded_and_cut_words_have_the_same_ids(pieces):
+    own = text_ids(PATH, 40)
+    text = "".join(pieces)
+    assert np.frombuffer(own.ids([text.encode()])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+class Counted:
+    """A tokenizer model that counts what it is asked for."""
+
+    def __init__(self, model):
+        self.model, self.asked = model, []
+
+    def tokenize(self, part):
+        self.asked.append(part)
+        return self.model.tokenize(part)
+
+
+def test_common_words_stay_in_a_full_cache():
+    own = TextIds(PATH, most=200)
+    own.model = Counted(own.model)
+    name = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    common = " ".join("common" + name(k) for k in range(40))
+    for k in range(0, 1500, 30):
+        text = common + " " + " ".join("rare" + name(k + i) for i in range(30))
+        assert np.frombuffer(own.ids([text.encode()])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(own.model.asked) == len(set(own.model.asked)) == 1540
+    assert len(own.words) + len(own.words.older) <= 200
+
+
+def test_a_word_is_encoded_once_in_capitals_and_before_punctuation():
+    own = TextIds(PATH)
+    own.model = Counted(own.model)
+    for text in ("Wording wording WORDING", "Wording, wording. WORDING; (wording) wording!"):
+        assert np.frombuffer(own.ids([text.encode()])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.model.asked.count("wording") == 1
+
+
 def test_other_tokenizer_files_encode_whole_texts():
     own = TextIds(public_tokenizers.path("byte_bpe_50k.json"))
     text = "Some  spaces\n and words"
